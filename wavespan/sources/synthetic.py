@@ -17,9 +17,10 @@ SUBSAMPLE_RANGES = {1: (1, 2999), 2: (3001, 4999), 3: (5001, 6999), 4: (7001, 93
 FIRST_INTERVIEW, SECOND_INTERVIEW = "ER30463", "ER30498"
 
 
-def uniform(stream: str, seed: int, person: str = "person") -> Column:
+def uniform(stream: str, seed: int, person: Column | str = "person") -> Column:
     """Deterministic draw in (0, 1), 32 bits wide."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), F.col(person).cast("string"))
+    key = F.col(person) if isinstance(person, str) else person
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), key.cast("string"))
     word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double")
     return (word + F.lit(0.5)) / F.lit(2.0 ** 32)
 
@@ -41,7 +42,9 @@ def synthetic_persons(persons: DataFrame, seed: int = 1, attrition: float = 0.0)
     group = F.pmod(person, F.lit(4)).cast("int") + 1
     low = F.element_at(F.array(*[F.lit(r[0]) for r in SUBSAMPLE_RANGES.values()]), group)
     high = F.element_at(F.array(*[F.lit(r[1]) for r in SUBSAMPLE_RANGES.values()]), group)
-    absent = uniform("absent", seed) < 0.5
+    # one person of every pair is absent from the first wave: exactly half, without ranking
+    which = F.when(uniform("absent", seed, F.floor(person / 2)) < 0.5, 0).otherwise(1)
+    absent = F.pmod(person, F.lit(2)) == which
     lost = ~absent & (uniform("lost", seed) < attrition)
 
     def role(stream: str) -> Column:
@@ -66,7 +69,7 @@ def synthetic_panel(persons: DataFrame, seed: int = 1, attrition: float = 0.0
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, first household wave, second household wave).
 
-    Half of the persons are absent from the first wave and a share ``attrition`` of the others
+    Exactly half of the persons are absent from the first wave and a share ``attrition`` of the others
     from the second. Persons in both waves keep their income plus about 500 and get one year
     older: the second wave carries the first one forward by joining on the person.
     """
@@ -85,5 +88,5 @@ def synthetic_panel(persons: DataFrame, seed: int = 1, attrition: float = 0.0
 
 
 def person_numbers(spark: SparkSession, n: int) -> DataFrame:
-    """``2 n`` persons, of whom about ``n`` are in the first wave."""
+    """``2 n`` persons, of whom ``n`` are in the first wave."""
     return spark.range(2 * n).withColumnRenamed("id", "person")
