@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import is_one_of, na_max
-from wavespan.session import cut_lineage
+from wavespan.session import as_dimension
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -81,7 +81,8 @@ def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
     what meets in one task is at most about ``10 / accuracy`` of a group per point, after equal
     values have been combined. Groups smaller than ``accuracy`` are taken whole.
 
-    The brackets are checkpointed: both passes, and any retry of a task, must see the same ones.
+    The brackets, one row per group, are checkpointed: both passes, and any retry of a task, must
+    see the same ones. They are broadcast if their number proves small.
     """
     points = [float(p) for p in points]
     names = list(names) if names is not None else [f"p{round(p * 100)}" for p in points]
@@ -97,7 +98,7 @@ def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
         return F.when(small, F.lit(whole_range)).otherwise(F.percentile_approx(x, at, accuracy))
 
     slots = range(len(points))
-    brackets = cut_lineage(rows.groupBy(*by).agg(
+    brackets = as_dimension(rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
         *[bracket(i, low[i], float("-inf")).alias(f"__lo{i}") for i in slots],
         *[bracket(i, high[i], float("inf")).alias(f"__hi{i}") for i in slots],
@@ -145,7 +146,8 @@ def level_by_year(df: DataFrame, value: str, year: str = "year") -> DataFrame:
 
 def box_by_year(df: DataFrame, value: str, year: str = "year", reach: float = 1.5) -> DataFrame:
     """Box statistics by wave: quartiles, whiskers within ``reach`` box lengths, outliers."""
-    quartiles = exact_percentiles(df, value, [0.25, 0.5, 0.75], [year], ["q1", "median", "q3"])
+    quartiles = as_dimension(
+        exact_percentiles(df, value, [0.25, 0.5, 0.75], [year], ["q1", "median", "q3"]))
     x = F.col(value).cast("double")
     span = (F.col("q3") - F.col("q1")) * F.lit(float(reach))
     near = (x >= F.col("q1") - span) & (x <= F.col("q3") + span)

@@ -1,7 +1,8 @@
 """Joins with small code tables: harmonisation, hierarchies, unmatched codes.
 
-Code tables come without a broadcast hint. Spark broadcasts them by their measured size and falls
-back to a sort-merge join with skew handling when one is unexpectedly large.
+Code tables read from files carry no hint: Spark broadcasts them by their measured size. Tables
+derived here are materialised, counted and broadcast if they prove small. Beyond that, both fall
+back to a sort-merge join with skew handling.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import known
+from wavespan.session import as_dimension
 
 
 def last_match(table: DataFrame, keys: Sequence[str], values: Sequence[str],
@@ -53,8 +55,8 @@ def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int,
             ["__code"], values, order).withColumn("__era", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part)
         era = F.when(F.col(year).between(lo, hi), F.lit(i)).otherwise(era)
-    renamed = stacked.select("__era", "__code",
-                             *[F.col(v).alias(out) for out, v in outputs.items()])
+    renamed = as_dimension(stacked.select(
+        "__era", "__code", *[F.col(v).alias(out) for out, v in outputs.items()]))
     keyed = panel.withColumns({"__era": era, "__code": F.col(code).cast("double")})
     joined = keyed.join(renamed, ["__era", "__code"], "left").drop("__era", "__code")
     return joined.withColumns({c: F.nullif(F.col(c), F.lit(0)) for c in zero_is_missing})

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import (as_col, gap, is_first_row, is_one_of, known, na_cumsum,
                                    na_ifelse, na_mean, person_window, running, subset_cumsum,
-                                   subset_lag, subset_min)
+                                   subset_lag, subset_min, whole)
 from wavespan.operators import INTENDED, check_semantics
 
 # Waves in which employer tenure accrues, for the short and the long panel.
@@ -27,6 +27,62 @@ def _within(year: Column, eras: Sequence[tuple[int, int]]) -> Column:
     return test
 
 
+GAP, FIRST, SEGMENT, STAYS = "__gap", "__first", "__segment", "__stays_"
+
+
+def person_columns(panel: DataFrame, code_spells: Sequence[str] = (), tenure: str = "tenure",
+                   employed: str = "emp_status", pid: str = "pid", year: str = "year",
+                   reset_year: int = TENURE_RESET_YEAR) -> DataFrame:
+    """What the totals below need from neighbouring waves, in one pass over the person window.
+
+    The totals then only look inside a spell, so everything that concerns one kind of spell
+    shares one sort. Drop the helper columns with :func:`drop_person_columns`.
+    """
+    w = person_window(pid, year)
+    reset = (F.col(year) == reset_year) & F.col(tenure).isNotNull()
+    next_employed = is_one_of(F.lead(employed).over(w), [1])
+    return panel.withColumns({
+        GAP: gap(w, year),
+        FIRST: is_first_row(w, year),
+        SEGMENT: F.sum(reset.cast("int")).over(running(w)),
+        **{STAYS + s: next_employed & is_one_of(F.col(s) - F.lead(s).over(w), [0])
+           for s in code_spells},
+    })
+
+
+def drop_person_columns(panel: DataFrame) -> DataFrame:
+    return panel.drop(*[c for c in panel.columns if c in (GAP, FIRST, SEGMENT)
+                        or c.startswith(STAYS)])
+
+
+def tenure_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
+                 employed: str = "emp_status", hours: str = "hours", pid: str = "pid",
+                 year: str = "year", accrual: Sequence[tuple[int, int]] = ACCRUAL_YEARS_SHORT,
+                 reset_year: int = TENURE_RESET_YEAR, min_hours: float = 800,
+                 semantics: str = INTENDED) -> DataFrame:
+    """The spell part of :func:`employer_tenure`."""
+    literal = check_semantics(semantics)
+    y, t = F.col(year), F.col(tenure)
+    in_spell = person_window([pid, spell], year)
+    first_report = subset_min(year, t.isNotNull(), in_spell)
+    accrues = is_one_of(employed, [1]) & (F.col(hours) >= min_hours) & _within(y, accrual)
+    step = (
+        F.when(known(t.isNotNull() & ((y == reset_year) | (y == first_report))), t)
+        .when(known(accrues), F.coalesce(F.col(GAP), F.lit(0)))
+        .otherwise(F.lit(0)).cast("double")
+    )
+    df = panel.withColumn("__step", step)
+    upto = running(in_spell)
+    if literal:
+        total = F.sum("__step").over(upto)
+    else:
+        # two running sums in the same window: before the reset wave, and from it on
+        after = F.col(SEGMENT) > 0
+        total = (F.when(after, F.sum(F.when(after, F.col("__step"))).over(upto))
+                 .otherwise(F.sum(F.when(~after, F.col("__step"))).over(upto)))
+    return df.withColumn(out, total).drop("__step")
+
+
 def employer_tenure(panel: DataFrame, spell: str = "emp_spell", out: str = "emp_tenure",
                     tenure: str = "tenure", employed: str = "emp_status", hours: str = "hours",
                     pid: str = "pid", year: str = "year",
@@ -38,25 +94,23 @@ def employer_tenure(panel: DataFrame, spell: str = "emp_spell", out: str = "emp_
     In ``reset_year`` the reported value, where there is one, replaces what was accumulated. The
     literal reading merely adds it to the running sum.
     """
-    literal = check_semantics(semantics)
-    w = person_window(pid, year)
-    y, t = F.col(year), F.col(tenure)
+    df = person_columns(panel, (), tenure, employed, pid, year, reset_year)
+    df = tenure_total(df, spell, out, tenure, employed, hours, pid, year, accrual, reset_year,
+                      min_hours, semantics)
+    return drop_person_columns(df)
+
+
+def experience_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
+                     hours: str = "hours", pid: str = "pid", year: str = "year",
+                     min_hours: float = 800, restart: float = RESTART_VALUE) -> DataFrame:
+    """The spell part of :func:`code_experience`."""
+    first = F.col(FIRST)
+    accrues = ~first & (F.col(hours) > min_hours) & F.col(STAYS + spell)
+    step = na_ifelse(accrues, F.col(GAP), F.when(first, F.col(tenure)).otherwise(F.lit(0)))
     in_spell = person_window([pid, spell], year)
-    first_report = subset_min(year, t.isNotNull(), in_spell)
-    accrues = (is_one_of(employed, [1]) & (F.col(hours) >= min_hours) & _within(y, accrual))
-    reset = (y == reset_year) & t.isNotNull()
-    step = (
-        F.when(known(reset | (t.isNotNull() & (y == first_report))), t)
-        .when(known(accrues), F.coalesce(F.col("__gap"), F.lit(0)))
-        .otherwise(F.lit(0)).cast("double")
-    )
-    df = panel.withColumns({
-        "__gap": gap(w, year),
-        "__segment": F.lit(0) if literal else F.sum(reset.cast("int")).over(running(w)),
-    }).withColumn("__step", step)
-    keys = [pid, spell] if literal else [pid, spell, "__segment"]
-    total = F.sum("__step").over(running(person_window(keys, year)))
-    return df.withColumn(out, total).drop("__gap", "__segment", "__step")
+    opens = known(F.col(spell) > 1) & is_first_row(in_spell, year)
+    df = panel.withColumn("__step", F.when(opens, F.lit(restart)).otherwise(step.cast("double")))
+    return df.withColumn(out, na_cumsum(F.col("__step"), running(in_spell))).drop("__step")
 
 
 def code_experience(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
@@ -70,22 +124,9 @@ def code_experience(panel: DataFrame, spell: str, out: str, tenure: str = "tenur
     therefore never accrues. Every spell after the first restarts at ``restart``. Unknown hours
     in an otherwise accruing wave make the rest of the spell unknown.
     """
-    w = person_window(pid, year)
-    first = F.col("__first")
-    stays = (is_one_of(F.lead(employed).over(w), [1])
-             & is_one_of(F.col(spell) - F.lead(spell).over(w), [0]))
-    accrues = ~first & (F.col(hours) > min_hours) & F.col("__stays")
-    step = na_ifelse(accrues, F.col("__gap"), F.when(first, F.col(tenure)).otherwise(F.lit(0)))
-    in_spell = person_window([pid, spell], year)
-    df = panel.withColumns({
-        "__first": is_first_row(w, year), "__gap": gap(w, year), "__stays": stays,
-    }).withColumn("__step", step.cast("double"))
-    opens = known(F.col(spell) > 1) & is_first_row(in_spell, year)
-    df = df.withColumn("__step", F.when(opens, F.lit(restart)).otherwise(F.col("__step")))
-    return (
-        df.withColumn(out, na_cumsum(F.col("__step"), running(in_spell)))
-        .drop("__first", "__gap", "__stays", "__step")
-    )
+    df = person_columns(panel, [spell], tenure, employed, pid, year)
+    df = experience_total(df, spell, out, tenure, hours, pid, year, min_hours, restart)
+    return drop_person_columns(df)
 
 
 def work_experience(panel: DataFrame, reported: str = "work_exp", out: str = "work_total",
@@ -138,12 +179,13 @@ def _power(x: Column, p: int) -> Column:
 
 
 def demean(panel: DataFrame, terms: dict[str, tuple[str, int, float]],
-           by: Sequence[str] = ("pid", "emp_spell")) -> DataFrame:
+           by: Sequence[str] = ("pid", "emp_spell"), year: str = "year") -> DataFrame:
     """Deviation from the group mean: ``(x**p - mean(x)**p) * factor`` for each term.
 
     The mean itself is raised, not the powers averaged; one missing member makes the group NULL.
     """
-    group = Window.partitionBy(*by)
+    # the group's rows in wave order: the sort is that of the running totals of the same spell
+    group = whole(person_window(list(by), year))
     means = {f"__mean_{c}": na_mean(as_col(c).cast("double"), group)
              for c in dict.fromkeys(c for c, _, _ in terms.values())}
     df = panel.withColumns(means)

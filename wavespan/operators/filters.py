@@ -166,9 +166,9 @@ def one_row_per_wave(df: DataFrame, order: Sequence[str], pid: str = "pid",
                      year: str = "year") -> DataFrame:
     """Keep the first row per (person, wave) by ``order``.
 
-    The grouped ``min_by`` combines on the map side, so a person with very many raw rows never
-    meets in one task; every later person window holds at most one row per wave.
+    Spark limits each group to its first row on the map side (``WindowGroupLimit``), so a person
+    with very many raw rows never meets in one task, and columns nobody reads are pruned. Every
+    later person window holds at most one row per wave.
     """
-    rest = [c for c in df.columns if c not in (pid, year)]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    return df.groupBy(pid, year).agg(best).select(pid, year, "__row.*")
+    w = Window.partitionBy(pid, year).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")

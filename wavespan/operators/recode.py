@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import as_col, first_valid, is_one_of, known, na_ifelse, to_number
+from wavespan.session import as_dimension
 
 
 @dataclass(frozen=True)
@@ -110,11 +111,12 @@ def deflate(df: DataFrame, index: DataFrame, wage: str, out: str, base_year: int
             year: str = "year", value: str = "value") -> DataFrame:
     """Wage in base-year prices; NULL where the index has no value for the year.
 
-    The index has one row per year. It is joined without a hint: a real index is far below the
-    auto-broadcast threshold, and the base-year value is a scalar subquery rather than a join.
+    The index has one row per year; the factors are computed once and broadcast if their number
+    proves small, so the panel is never shuffled on the year. The base-year value is a scalar
+    subquery rather than a join.
     """
     base = index.filter(F.col(year) == base_year).agg(F.max(value)).scalar()
-    factors = index.select(F.col(year), (base / F.col(value)).alias("__factor"))
+    factors = as_dimension(index.select(F.col(year), (base / F.col(value)).alias("__factor")))
     return (
         df.join(factors, year, "left")
         .withColumn(out, F.col(wage) * F.col("__factor")).drop("__factor")

@@ -109,17 +109,18 @@ def code_spells(panel: DataFrame, changes: dict[str, tuple[str, str]],
 
 
 def spell_code(panel: DataFrame, code: str, spell: str, out: str, pid: str = "pid",
-               semantics: str = INTENDED) -> DataFrame:
+               year: str = "year", semantics: str = INTENDED) -> DataFrame:
     """Most frequent code of each spell on all its rows (ties: the smallest).
 
     The literal reading takes the least frequent code. Missing codes do not count. A spell has at
-    most one row per wave, so two windows under the person partitioning replace a group-by and
+    most one row per wave, so a window under the person partitioning replaces a group-by and
     join back.
     """
-    literal = check_semantics(semantics)
+    if not check_semantics(semantics):
+        in_spell = whole(person_window([pid, spell], year))
+        return panel.withColumn(out, F.mode(F.col(code), deterministic=True).over(in_spell))
     n = F.count(code).over(Window.partitionBy(pid, spell, code))
-    rank = F.when(F.col(code).isNotNull(),
-                  F.struct((n if literal else -n).alias("n"), F.col(code).alias("code")))
+    rank = F.when(F.col(code).isNotNull(), F.struct(n.alias("n"), F.col(code).alias("code")))
     df = panel.withColumn("__rank", rank)
     return df.withColumn(
         out, F.min("__rank").over(Window.partitionBy(pid, spell))["code"]).drop("__rank")

@@ -185,67 +185,55 @@ def career_spells(panel: DataFrame, preset: Preset = SHORT, semantics: str = INT
         "occ_spell_24t": ("occ_change_24t", preset.occ_present),
         "ind_spell_24t": ("ind_change_24t", preset.ind_present),
     }, late_era_from=preset.late_era_from)
-    for kind, code in (("occ", preset.occ_code), ("ind", preset.ind_code)):
-        for suffix in ("", "_24t"):
-            df = spells.spell_code(df, code, f"{kind}_spell{suffix}", f"{kind}_mode{suffix}",
-                                   semantics=semantics)
     return df
 
 
 def career_exposure(panel: DataFrame, preset: Preset = SHORT, semantics: str = INTENDED
                     ) -> DataFrame:
-    """Employer tenure, occupation, industry and work experience, first-wave dummies."""
+    """Modal codes, tenure and experience, polynomial terms and deviations from spell means.
+
+    First everything that looks at neighbouring waves, then one kind of spell after the other, so
+    that each kind needs one sort. Deviations and terms of higher powers carry the factor 100.
+    """
+    codes = {"occ": preset.occ_code, "ind": preset.ind_code}
+    suffixes = ("", "_24t")
     df = recode.recode(panel, [Recode("work_exp", WORK_EXPERIENCE_UNKNOWN)])
-    for suffix in ("", "_24t"):
-        df = exposure.employer_tenure(df, f"emp_spell{suffix}", f"emp_tenure{suffix}",
-                                      accrual=preset.accrual, semantics=semantics)
+    df = exposure.person_columns(df, [f"{k}_spell{s}" for k in codes for s in suffixes])
     df = exposure.work_experience(df)
-    for kind in ("occ", "ind"):
-        for suffix in ("", "_24t"):
-            df = exposure.code_experience(df, f"{kind}_spell{suffix}", f"{kind}_exp{suffix}")
-    for suffix in ("", "_24t"):
-        df = exposure.on_job(df, f"emp_spell{suffix}", f"on_job{suffix}")
-    return df
-
-
-def career_instruments(panel: DataFrame) -> DataFrame:
-    """Polynomial terms and their deviations from spell means (factor 100 on higher powers)."""
-    terms: dict[str, tuple[str, int, float]] = {
-        "work2": ("work_exp", 2, 1), "work3_100": ("work_exp", 3, 100)}
-    for suffix in ("", "_24t"):
-        terms[f"emp2_100{suffix}"] = (f"emp_tenure{suffix}", 2, 100)
-        for kind in ("occ", "ind"):
-            terms[f"{kind}2_100{suffix}"] = (f"{kind}_exp{suffix}", 2, 100)
-            terms[f"{kind}3_100{suffix}"] = (f"{kind}_exp{suffix}", 3, 100)
-    df = exposure.powers(panel, terms)
     df = exposure.demean(df, {
         "instr_work": ("work_total", 1, 1), "instr_work2": ("work_total", 2, 1),
         "instr_work3_100": ("work_total", 3, 100)}, by=["pid"])
-    for suffix in ("", "_24t"):
+    terms: dict[str, tuple[str, int, float]] = {
+        "work2": ("work_exp", 2, 1), "work3_100": ("work_exp", 3, 100)}
+    for s in suffixes:
+        spell, x = f"emp_spell{s}", f"emp_tenure{s}"
+        df = exposure.tenure_total(df, spell, x, accrual=preset.accrual, semantics=semantics)
+        df = exposure.on_job(df, spell, f"on_job{s}")
         df = exposure.demean(df, {
-            f"instr_emp{suffix}": (f"emp_tenure{suffix}", 1, 1),
-            f"instr_emp2_100{suffix}": (f"emp_tenure{suffix}", 2, 100),
-            f"instr_oj{suffix}": (f"on_job{suffix}", 1, 1)}, by=["pid", f"emp_spell{suffix}"])
-        for kind in ("occ", "ind"):
-            x = f"{kind}_exp{suffix}"
+            f"instr_emp{s}": (x, 1, 1), f"instr_emp2_100{s}": (x, 2, 100),
+            f"instr_oj{s}": (f"on_job{s}", 1, 1)}, by=["pid", spell])
+        terms[f"emp2_100{s}"] = (x, 2, 100)
+        for kind, code in codes.items():
+            spell, x = f"{kind}_spell{s}", f"{kind}_exp{s}"
+            df = exposure.experience_total(df, spell, x)
             df = exposure.demean(df, {
-                f"instr_{kind}{suffix}": (x, 1, 1), f"instr_{kind}2_100{suffix}": (x, 2, 100),
-                f"instr_{kind}3_100{suffix}": (x, 3, 100)}, by=["pid", f"{kind}_spell{suffix}"])
-    return df
+                f"instr_{kind}{s}": (x, 1, 1), f"instr_{kind}2_100{s}": (x, 2, 100),
+                f"instr_{kind}3_100{s}": (x, 3, 100)}, by=["pid", spell])
+            df = spells.spell_code(df, code, spell, f"{kind}_mode{s}", semantics=semantics)
+            terms[f"{kind}2_100{s}"] = (x, 2, 100)
+            terms[f"{kind}3_100{s}"] = (x, 3, 100)
+    return exposure.powers(exposure.drop_person_columns(df), terms)
 
 
 def careers(sample: DataFrame, preset: Preset = SHORT, rules: ChangeRules = DEFAULT_RULES,
-            semantics: str = INTENDED, cut: bool = True) -> DataFrame:
+            semantics: str = INTENDED, cut: bool = False) -> DataFrame:
     """The whole per-person chain after one exchange on the person key.
 
-    ``cut`` writes reliable checkpoints between the stages, which bounds plan size and what has
-    to be recomputed after a lost executor.
+    ``cut`` checkpoints the spells before exposure is accumulated. That bounds the plan and what
+    a lost executor makes Spark recompute, at the price of one more write and exchange.
     """
-    step = cut_lineage if cut else (lambda df: df)
-    df = career_changes(step(sample), preset, rules, semantics)
-    df = step(career_spells(df, preset, semantics))
-    df = step(career_exposure(df, preset, semantics))
-    return career_instruments(df)
+    df = career_spells(career_changes(sample, preset, rules, semantics), preset, semantics)
+    return career_exposure(cut_lineage(df) if cut else df, preset, semantics)
 
 
 def attach_hierarchies(panel: DataFrame, occupations: DataFrame, industries: DataFrame,

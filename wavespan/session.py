@@ -6,6 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -47,3 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="wavespan-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def as_dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a derived lookup table and broadcast it only if it proves small.
+
+    Spark estimates a derived table (an aggregate, say) by the size of its input, so it would
+    shuffle the big side on a handful of lookup keys. Counting the materialised rows settles it;
+    above ``max_rows`` the join is left to Spark's own choice and skew handling.
+    """
+    table = cut_lineage(df)
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(table)
+    return table
