@@ -27,7 +27,8 @@ def _within(year: Column, eras: Sequence[tuple[int, int]]) -> Column:
     return test
 
 
-GAP, FIRST, SEGMENT, STAYS = "__gap", "__first", "__segment", "__stays_"
+GAP, FIRST, SEGMENT, STAYS, STEP = "__gap", "__first", "__segment", "__stays_", "__step"
+MEAN = "__mean_"
 
 
 def person_columns(panel: DataFrame, code_spells: Sequence[str] = (), tenure: str = "tenure",
@@ -51,8 +52,8 @@ def person_columns(panel: DataFrame, code_spells: Sequence[str] = (), tenure: st
 
 
 def drop_person_columns(panel: DataFrame) -> DataFrame:
-    return panel.drop(*[c for c in panel.columns if c in (GAP, FIRST, SEGMENT)
-                        or c.startswith(STAYS)])
+    return panel.drop(*[c for c in panel.columns if c in (GAP, FIRST, SEGMENT, STEP)
+                        or c.startswith((STAYS, MEAN))])
 
 
 def tenure_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
@@ -60,7 +61,7 @@ def tenure_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
                  year: str = "year", accrual: Sequence[tuple[int, int]] = ACCRUAL_YEARS_SHORT,
                  reset_year: int = TENURE_RESET_YEAR, min_hours: float = 800,
                  semantics: str = INTENDED) -> DataFrame:
-    """The spell part of :func:`employer_tenure`."""
+    """The spell part of :func:`employer_tenure`; leaves helper columns behind."""
     literal = check_semantics(semantics)
     y, t = F.col(year), F.col(tenure)
     in_spell = person_window([pid, spell], year)
@@ -71,16 +72,14 @@ def tenure_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
         .when(known(accrues), F.coalesce(F.col(GAP), F.lit(0)))
         .otherwise(F.lit(0)).cast("double")
     )
-    df = panel.withColumn("__step", step)
+    df = panel.withColumn(STEP, step)
     upto = running(in_spell)
     if literal:
-        total = F.sum("__step").over(upto)
-    else:
-        # two running sums in the same window: before the reset wave, and from it on
-        after = F.col(SEGMENT) > 0
-        total = (F.when(after, F.sum(F.when(after, F.col("__step"))).over(upto))
-                 .otherwise(F.sum(F.when(~after, F.col("__step"))).over(upto)))
-    return df.withColumn(out, total).drop("__step")
+        return df.withColumn(out, F.sum(STEP).over(upto))
+    # two running sums in the same window: before the reset wave, and from it on
+    after = F.col(SEGMENT) > 0
+    return df.withColumn(out, F.when(after, F.sum(F.when(after, F.col(STEP))).over(upto))
+                         .otherwise(F.sum(F.when(~after, F.col(STEP))).over(upto)))
 
 
 def employer_tenure(panel: DataFrame, spell: str = "emp_spell", out: str = "emp_tenure",
@@ -103,14 +102,14 @@ def employer_tenure(panel: DataFrame, spell: str = "emp_spell", out: str = "emp_
 def experience_total(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
                      hours: str = "hours", pid: str = "pid", year: str = "year",
                      min_hours: float = 800, restart: float = RESTART_VALUE) -> DataFrame:
-    """The spell part of :func:`code_experience`."""
+    """The spell part of :func:`code_experience`; leaves helper columns behind."""
     first = F.col(FIRST)
     accrues = ~first & (F.col(hours) > min_hours) & F.col(STAYS + spell)
     step = na_ifelse(accrues, F.col(GAP), F.when(first, F.col(tenure)).otherwise(F.lit(0)))
     in_spell = person_window([pid, spell], year)
     opens = known(F.col(spell) > 1) & is_first_row(in_spell, year)
-    df = panel.withColumn("__step", F.when(opens, F.lit(restart)).otherwise(step.cast("double")))
-    return df.withColumn(out, na_cumsum(F.col("__step"), running(in_spell))).drop("__step")
+    df = panel.withColumn(STEP, F.when(opens, F.lit(restart)).otherwise(step.cast("double")))
+    return df.withColumn(out, na_cumsum(F.col(STEP), running(in_spell)))
 
 
 def code_experience(panel: DataFrame, spell: str, out: str, tenure: str = "tenure",
@@ -166,32 +165,29 @@ def on_job(panel: DataFrame, spell: str = "emp_spell", out: str = "on_job", pid:
 def powers(panel: DataFrame, terms: dict[str, tuple[str, int, float]]) -> DataFrame:
     """Polynomial terms: output name -> (column, power, factor)."""
     return panel.withColumns({
-        out: _power(F.col(c).cast("double"), p) * F.lit(float(factor))
+        out: F.expr(f"{_power(f'double({c})', p)} * {float(factor)}D")
         for out, (c, p, factor) in terms.items()
     })
 
 
-def _power(x: Column, p: int) -> Column:
-    result = x
-    for _ in range(p - 1):
-        result = result * x
-    return result
+def _power(x: str, p: int) -> str:
+    return " * ".join([x] * p)
 
 
 def demean(panel: DataFrame, terms: dict[str, tuple[str, int, float]],
-           by: Sequence[str] = ("pid", "emp_spell"), year: str = "year") -> DataFrame:
+           by: Sequence[str] = ("pid", "emp_spell"), year: str = "year",
+           keep_means: bool = False) -> DataFrame:
     """Deviation from the group mean: ``(x**p - mean(x)**p) * factor`` for each term.
 
     The mean itself is raised, not the powers averaged; one missing member makes the group NULL.
     """
     # the group's rows in wave order: the sort is that of the running totals of the same spell
     group = whole(person_window(list(by), year))
-    means = {f"__mean_{c}": na_mean(as_col(c).cast("double"), group)
+    means = {MEAN + c: na_mean(as_col(c).cast("double"), group)
              for c in dict.fromkeys(c for c, _, _ in terms.values())}
     df = panel.withColumns(means)
     df = df.withColumns({
-        out: (_power(F.col(c).cast("double"), p) - _power(F.col(f"__mean_{c}"), p))
-        * F.lit(float(factor))
+        out: F.expr(f"({_power(f'double({c})', p)} - {_power(MEAN + c, p)}) * {float(factor)}D")
         for out, (c, p, factor) in terms.items()
     })
-    return df.drop(*means)
+    return df if keep_means else df.drop(*means)

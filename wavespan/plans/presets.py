@@ -202,7 +202,7 @@ def career_exposure(panel: DataFrame, preset: Preset = SHORT, semantics: str = I
     df = exposure.work_experience(df)
     df = exposure.demean(df, {
         "instr_work": ("work_total", 1, 1), "instr_work2": ("work_total", 2, 1),
-        "instr_work3_100": ("work_total", 3, 100)}, by=["pid"])
+        "instr_work3_100": ("work_total", 3, 100)}, by=["pid"], keep_means=True)
     terms: dict[str, tuple[str, int, float]] = {
         "work2": ("work_exp", 2, 1), "work3_100": ("work_exp", 3, 100)}
     for s in suffixes:
@@ -211,14 +211,15 @@ def career_exposure(panel: DataFrame, preset: Preset = SHORT, semantics: str = I
         df = exposure.on_job(df, spell, f"on_job{s}")
         df = exposure.demean(df, {
             f"instr_emp{s}": (x, 1, 1), f"instr_emp2_100{s}": (x, 2, 100),
-            f"instr_oj{s}": (f"on_job{s}", 1, 1)}, by=["pid", spell])
+            f"instr_oj{s}": (f"on_job{s}", 1, 1)}, by=["pid", spell],
+            keep_means=True)
         terms[f"emp2_100{s}"] = (x, 2, 100)
         for kind, code in codes.items():
             spell, x = f"{kind}_spell{s}", f"{kind}_exp{s}"
             df = exposure.experience_total(df, spell, x)
             df = exposure.demean(df, {
                 f"instr_{kind}{s}": (x, 1, 1), f"instr_{kind}2_100{s}": (x, 2, 100),
-                f"instr_{kind}3_100{s}": (x, 3, 100)}, by=["pid", spell])
+                f"instr_{kind}3_100{s}": (x, 3, 100)}, by=["pid", spell], keep_means=True)
             df = spells.spell_code(df, code, spell, f"{kind}_mode{s}", semantics=semantics)
             terms[f"{kind}2_100{s}"] = (x, 2, 100)
             terms[f"{kind}3_100{s}"] = (x, 3, 100)

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture costs several driver round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
