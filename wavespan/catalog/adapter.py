@@ -178,8 +178,7 @@ SQL_CODES = f"{SQL_SPELLS},{SQL_CODES_ON_SPELLS}"
 
 
 def changed_panel(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    entered = filters.first_appearance(panel(spark, sf_dir, *extra))
-    return change.job_change(entered, rules=RULES)
+    return change.job_change(panel(spark, sf_dir, *extra), rules=RULES)
 
 
 def spelled_panel(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
@@ -192,10 +191,9 @@ CODE_GATES = {"{}_emp": "change_t", "{}_24t": "change_24t"}
 def with_code_changes(df: DataFrame, codes: Sequence[str] = ("occ", "ind"),
                       ungated_until: int = 1980) -> DataFrame:
     df = df.withColumn("ind", F.nullif(F.col("ind3"), F.lit(0))).withColumn("occ", F.col("occ3"))
-    for code in codes:
-        df = change.code_change(df, code, {k.format(code): v for k, v in CODE_GATES.items()},
-                                out=f"{code}_unc", ungated_until=ungated_until)
-    return df
+    return change.code_changes(df, {
+        f"{code}_unc": (code, {k.format(code): v for k, v in CODE_GATES.items()}) for code in codes
+    }, ungated_until=ungated_until)
 
 
 def coded_panel(spark: SparkSession, sf_dir: str, *extra: str,

@@ -56,25 +56,28 @@ def employer_spells(panel: DataFrame, change: str = "change_t", change_tolerant:
     y = F.col(year)
 
     if late_era_from is None:
-        opening = F.when(known(y == first_year_where(working, w, year)), F.lit(1))
-        in_era = F.lit(True)
+        eras = [(F.lit(True), 1)]
     else:
-        late = y >= late_era_from
-        early = y < (late_era_from - 1 if literal else late_era_from)
-        opening = (
-            F.when(known(early & (y == first_year_where(working & early, w, year))), F.lit(1))
-            .when(known(late & (y == first_year_where(working & late, w, year))), F.lit(2))
-        )
-        in_era = early | late
+        eras = [(y < (late_era_from - 1 if literal else late_era_from), 1), (y >= late_era_from, 2)]
+    # who never was employed has no first employed wave in any era
+    first_jobs = {f"__job{i}": first_year_where(working & era, w, year)
+                  for i, (era, _) in enumerate(eras)}
+    df = panel.withColumns(first_jobs | {"__first_job": first_year_where(working, w, year)})
+    df = df.filter(F.col("__first_job").isNotNull())
+
+    opening, in_era = F.lit(None).cast("int"), F.lit(False)
+    for i, (era, step) in enumerate(eras):
+        opening = F.when(known(era & (y == F.col(f"__job{i}"))), F.lit(step)).otherwise(opening)
+        in_era = in_era | era
 
     def steps(flag: str | None):
         later = F.lit(0) if flag is None else F.col(flag).cast("int")
         return F.coalesce(opening, F.when(in_era, later))
 
-    df = ever_employed(panel, employed, pid, year).withColumns({
+    df = df.withColumns({
         out: steps(change_tolerant if literal else change),
         out_tolerant: steps(None if literal else change_tolerant),
-    })
+    }).drop(*first_jobs, "__first_job")
     df = df.withColumns({
         name: na_cumsum(F.col(name), running(w)).cast("int") for name in (out, out_tolerant)
     })

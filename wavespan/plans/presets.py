@@ -163,15 +163,15 @@ def career_changes(panel: DataFrame, preset: Preset = SHORT, rules: ChangeRules
                    semantics: str = INTENDED) -> DataFrame:
     """Job, occupation and industry change flags."""
     literal = check_semantics(semantics)
-    df = filters.first_appearance(panel)
+    df = panel
     if not literal:   # code 0 is no code, neither for changes nor for opening a spell
         df = recode.recode(df, [Recode(c, (0,)) for c in ("occ3", "ind3")])
     df = change.job_change(df, rules=rules, semantics=semantics)
-    for kind, code in (("occ", preset.occ_code), ("ind", preset.ind_code)):
-        df = change.code_change(
-            df, code, {f"{kind}_change": "change_t", f"{kind}_change_24t": "change_24t"},
-            out=f"{kind}_change_unc", zero_is_missing=not literal)
-    return df
+    gates = {"{}_change": "change_t", "{}_change_24t": "change_24t"}
+    return change.code_changes(df, {
+        f"{kind}_change_unc": (code, {name.format(kind): flag for name, flag in gates.items()})
+        for kind, code in (("occ", preset.occ_code), ("ind", preset.ind_code))
+    }, zero_is_missing=not literal)
 
 
 def career_spells(panel: DataFrame, preset: Preset = SHORT, semantics: str = INTENDED
