@@ -312,7 +312,32 @@ def synthetic_second_wave(spark, sf_dir):
     return second.select("V12502", rounded("Money86", 3).alias("Money86"), "age86")
 
 
-@query("synthetic_panel")
+@query("synthetic_panel", f"""
+with {SQL_SYNTHETIC},
+second_wave as (
+    select i.person, i86, coalesce(f.age + 1, (20 + floor({_draw("age2", "i.person")} * 61))::int) as age,
+           coalesce(f.money + 500 + 30 * {_normal('raise').replace('person', 'i.person')},
+                    exp(10 + {_normal('money2').replace('person', 'i.person')})) as money
+    from idx i left join first_wave f on f.person = i.person where i86 > 0),
+members as (
+    select (lo + floor({_draw("household")} * (hi - lo + 1)))::bigint as id1968, person + 1 as pernum,
+           i85, i86, case when {_draw("role1")} < 0.5 then 10 else 20 end as role1,
+           case when {_draw("role2")} < 0.5 then 10 else 20 end as role2,
+           case when {_draw("place1")} < 0.75 then 1 else 20 end as place1,
+           case when {_draw("place2")} < 0.75 then 1 else 20 end as place2,
+           {_draw("weight1")} as weight1, {_draw("weight2")} as weight2 from idx),
+both_waves as (
+    select 1985 as year, m.i85 as interview, w.money, w.age, id1968, pernum, place1 as sequence,
+           role1 as relation, weight1 as weight
+    from members m join first_wave w on w.i85 = m.i85 where role1 = 10
+    union all
+    select 1986, m.i86, w.money, w.age, id1968, pernum, place2, role2, weight2
+    from members m join second_wave w on w.i86 = m.i86 where role2 = 10)
+select year, interview, age::double as age, id1968, pernum, sequence, relation,
+       id1968 * 1000 + pernum as pid, {sql_rounded("money", 3)} as money,
+       {sql_rounded("weight")} as weight
+from (select *, count(*) over (partition by id1968 * 1000 + pernum) as n from both_waves)
+where n = 2""")
 def synthetic_panel(spark, sf_dir):
     """The synthetic waves assembled again, heads only."""
     index, first, second = _synthetic(spark, sf_dir)

@@ -94,12 +94,64 @@ def ols_full(spark, sf_dir):
     return _shown(fit.filter(F.col("term").isin("tenure", "age")))
 
 
-@query("ols_dummies")
+def least_squares_sql(source: str, y: str, terms: dict[str, str], digits: int = 6) -> str:
+    """All coefficients of a regression, by successive orthogonalisation.
+
+    ``terms`` maps names to SQL expressions (a constant among them). Each step removes the current
+    regressor from the later ones and from the response; the coefficients follow backwards.
+    """
+    k = len(terms)
+    names, expressions = list(terms), list(terms.values())
+    ctes = [f"z0 as (select {y}::double as y, " + ", ".join(
+        f"({e})::double as x{i}" for i, e in enumerate(expressions)) +
+        f" from {source} where " + " and ".join(f"({e}) is not null" for e in (y, *expressions)) + ")"]
+    loadings = []
+    for j in range(k):
+        later = [f"x{l}" for l in range(j + 1, k)]
+        # a regressor without a rest of its own is aliased: it takes no part and has no coefficient
+        own = f"sum(x{j} * x{j}) > 1e-9"
+        ctes.append(f"g{j} as (select {own} as own, case when {own} then sum(x{j} * y) / "
+                    f"sum(x{j} * x{j}) else 0 end as a" + "".join(
+                        f", case when {own} then sum(x{j} * {c}) / sum(x{j} * x{j}) else 0 end as {c}"
+                        for c in later) + f" from z{j})")
+        ctes.append(f"z{j + 1} as (select z.y - g.a * z.x{j} as y" + "".join(
+            f", z.{c} - g.{c} * z.x{j} as {c}" for c in later) + f" from z{j} z, g{j} g)")
+        loadings.append(later)
+    ctes.append(f"b{k} as (select 0 as rank)")
+    for j in reversed(range(k)):
+        rest = "".join(f" - g.{c} * p.beta{c[1:]}" for c in loadings[j])
+        ctes.append(f"b{j} as (select p.* exclude (rank), p.rank + g.own::int as rank, "
+                    f"case when g.own then g.a{rest} else 0 end as beta{j}, g.own as own{j} "
+                    f"from b{j + 1} p, g{j} g)")
+    ctes.append(f"fit as (select (select count(*) from z0) as n, 1 - (select sum(y * y) from z{k})"
+                " / (select var_pop(y) * count(*) from z0) as r2)")
+    rows = " union all ".join(f"select '{n}' as term, case when own{i} then beta{i} end as estimate, "
+                              "rank from b0" for i, n in enumerate(names))
+    return ",\n".join(ctes) + f"""
+select term, {sql_rounded("estimate", digits)} as estimate, n, n - rank as dof,
+       {sql_rounded("r2")} as r2
+from ({rows}), fit"""
+
+
+def dummies_sql(column: str, levels) -> dict[str, str]:
+    """0/1 terms of a factor without its first level."""
+    return {f"{column}_{v}": f"({column} = {v})::int" for v in list(levels)[1:]}
+
+
+def _fit(coefficients, digits=6):
+    return coefficients.select("term", rounded("estimate", digits).alias("estimate"), "n", "dof",
+                               rounded("r2").alias("r2"))
+
+
+@query("ols_dummies", f"""
+with {SQL_PANEL},
+{least_squares_sql("panel", "ln(wage)", {
+    "(Intercept)": "1", **dummies_sql("year", range(1995, 2002)), **dummies_sql("region", range(5)),
+    "tenure": "tenure", "age": "age", "hours": "hours"})}""")
 def ols_dummies(spark, sf_dir):
-    """All coefficients, with wave and region dummies, intercept and p values."""
+    """All coefficients, with wave and region dummies and intercept."""
     df = recode.log_positive(panel(spark, sf_dir, region=True), "wage", "log_wage")
-    return regress.ols(df, "log_wage", ["tenure", "age", "hours"], ["year", "region"]).select(
-        "term", rounded("estimate").alias("estimate"), rounded("p_value", 4).alias("p_value"), "n")
+    return _fit(regress.ols(df, "log_wage", ["tenure", "age", "hours"], ["year", "region"]))
 
 
 @query("gls_instruments", f"""
@@ -153,7 +205,9 @@ sample as (
 spaced as (
     select *, year - lag(year) over w as since, year = min(year) over (partition by pid) as entry,
            coalesce(lead(emp_status) over w = 1 and lead(occ_spell) over w = occ_spell, false)
-               as stays
+               as stays,
+           coalesce(lead(emp_status) over w = 1 and lead(ind_spell) over w = ind_spell, false)
+               as ind_stays
     from code_spells window w as (partition by pid order by year)),
 stepped as (
     select *, case when tenure is not null
@@ -163,6 +217,9 @@ stepped as (
            case when occ_spell > 1 and year = min(year) over (partition by pid, occ_spell) then 0.5
                 when not entry and hours > 800 and stays then since
                 when entry then tenure else 0 end::double as o_step,
+           case when ind_spell > 1 and year = min(year) over (partition by pid, ind_spell) then 0.5
+                when not entry and hours > 800 and ind_stays then since
+                when entry then tenure else 0 end::double as i_step,
            case when work_exp is not null
                 then min(case when work_exp is not null then year end) over (partition by pid) end
                as seed_year
@@ -181,6 +238,10 @@ exposed as (
                                                       rows unbounded preceding) = 0
                 then sum(o_step) over (partition by pid, occ_spell order by year
                                        rows unbounded preceding) end as occ_exp,
+           case when sum((i_step is null)::int) over (partition by pid, ind_spell order by year
+                                                      rows unbounded preceding) = 0
+                then sum(i_step) over (partition by pid, ind_spell order by year
+                                       rows unbounded preceding) end as ind_exp,
            case when sum((w_step is null)::int) over (partition by pid order by year
                                                       rows unbounded preceding) = 0
                 then sum(w_step) over (partition by pid order by year
@@ -238,9 +299,20 @@ def careers_table(spark, sf_dir):
         "variable", "n", rounded("mean", 5).alias("mean"), rounded("sd", 5).alias("sd"))
 
 
-@query("careers_wage_model")
+@query("careers_wage_model", f"""
+with {SQL_CAREERS},
+instruments as (
+    select *, emp_tenure - avg(emp_tenure) over (partition by pid, emp_spell) as instr_emp,
+           occ_exp - avg(occ_exp) over (partition by pid, occ_spell) as instr_occ,
+           ind_exp - avg(ind_exp) over (partition by pid, ind_spell) as instr_ind,
+           case when count(*) filter (where work_total is null) over (partition by pid) = 0
+                then work_total - avg(work_total) over (partition by pid) end as instr_work
+    from exposed),
+{least_squares_sql("instruments", "ln(wage_real)", {
+    "(Intercept)": "1", "grades": "grades", "instr_work": "instr_work", "instr_occ": "instr_occ",
+    "instr_ind": "instr_ind", "instr_emp": "instr_emp", "on_job": "on_job", "married": "married",
+    **dummies_sql("year", range(1995, 2002)), **dummies_sql("region", range(1, 5))},
+    4)}""")
 def careers_wage_model(spark, sf_dir):
-    """Wage model on demeaned exposure with wave and region dummies."""
-    preset = replace(PRESET, model_years=(1995, 2001))
-    fit = presets.wage_regression(careers(spark, sf_dir), preset, "instruments")
-    return fit.select("term", rounded("estimate", 4).alias("estimate"), "n", "dof")
+    """Wage model on demeaned exposure with wave and region dummies; NULL where aliased."""
+    return _fit(presets.wage_regression(careers(spark, sf_dir), PRESET, "instruments"), 4)

@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 
 
+ALIASED = 1e-11     # share of a regressor's variance below which the others explain it
+
+
 def ols(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[str] = ()
         ) -> DataFrame:
     """Linear regression with category dummies: one row per coefficient.
 
     Rows with a missing value in any variable are dropped. The reference level of a factor is its
-    alphabetically first one. The fit is one Gram-matrix pass (normal equations); only that small
-    matrix and the factor levels reach the driver. Generalised least squares without a
-    correlation or variance structure has the same coefficients, so it is this function applied
-    to demeaned regressors.
+    alphabetically first one. A regressor that the ones before it explain completely is aliased:
+    its coefficient is NULL and it does not count as a parameter. The fit is one Gram-matrix pass
+    (normal equations) after one correlation pass; only those small matrices and the factor levels
+    reach the driver. Generalised least squares without a correlation or variance structure has
+    the same coefficients, so it is this function applied to demeaned regressors.
     """
-    from pyspark.ml.feature import RFormula
+    from pyspark.ml.feature import RFormula, VectorSlicer
     from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.stat import Correlation, Summarizer
 
     spark = df.sparkSession
     design = df.select(
@@ -35,26 +40,38 @@ def ols(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
         formula = RFormula(formula=f"{response} ~ {' + '.join([*terms, *factors])}",
                            stringIndexerOrderType="alphabetDesc")
         encoded = formula.fit(design).transform(design).select("features", "label")
-        fit = LinearRegression(solver="normal", regParam=0.0).fit(encoded)
+        names = _feature_names(encoded, "features")
+        spread = encoded.select(Summarizer.variance("features")).first()[0].toArray()
+        kept = _independent(Correlation.corr(encoded, "features").first()[0].toArray(), spread)
+        chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=kept)
+        fit = LinearRegression(featuresCol="chosen", solver="normal", regParam=0.0).fit(
+            chosen.transform(encoded))
         summary = fit.summary
-        coefficients = [float(c) for c in fit.coefficients] + [float(fit.intercept)]
-        count = len(coefficients)
-        try:
-            errors, t_values, p_values = ([float(v) for v in values] for values in (
-                summary.coefficientStandardErrors, summary.tValues, summary.pValues))
-        except Exception:   # collinear design: the solver has no closed-form standard errors
-            errors = t_values = p_values = [None] * count
+        shown = [names[i] for i in kept] + ["(Intercept)"]
+        columns = zip(*([float(v) for v in values] for values in (
+            [*fit.coefficients, fit.intercept], summary.coefficientStandardErrors,
+            summary.tValues, summary.pValues)))
+        results = dict(zip(shown, columns))
         n, r2 = int(summary.numInstances), float(summary.r2)
-        names = _feature_names(encoded, "features") + ["(Intercept)"]
     finally:
         design.unpersist()
-    rows = [(name, c, e, t, p, n, n - count, r2) for name, c, e, t, p in
-            zip(names, coefficients, errors, t_values, p_values)]
+    rows = [(name, *results.get(name, (None,) * 4), n, n - len(results), r2)
+            for name in [*names, "(Intercept)"]]
     return spark.createDataFrame(
         rows, "term string, estimate double, std_error double, t_value double, p_value double, "
               "n long, dof long, r2 double")
 
 
+def _independent(correlation: np.ndarray, variance: np.ndarray) -> list[int]:
+    """Positions of the regressors that the intercept and the ones before do not explain."""
+    kept: list[int] = []
+    for i in np.flatnonzero(variance > 0):
+        inner, cross = correlation[np.ix_(kept, kept)], correlation[i, kept]
+        if not kept or 1 - cross @ np.linalg.solve(inner, cross) > ALIASED:
+            kept.append(int(i))
+    return kept
+
+
 def _feature_names(encoded: DataFrame, column: str) -> list[str]:
     groups = encoded.schema[column].metadata["ml_attr"]["attrs"]
     indexed = [a for group in groups.values() for a in group]
