@@ -41,7 +41,7 @@ def ols(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
                            stringIndexerOrderType="alphabetDesc")
         encoded = formula.fit(design).transform(design).select("features", "label")
         names = _feature_names(encoded, "features")
-        spread = encoded.select(Summarizer.variance("features")).first()[0].toArray()
+        spread = encoded.select(Summarizer.variance(F.col("features"))).first()[0].toArray()
         kept = _independent(Correlation.corr(encoded, "features").first()[0].toArray(), spread)
         chosen = VectorSlicer(inputCol="features", outputCol="chosen", indices=kept)
         fit = LinearRegression(featuresCol="chosen", solver="normal", regParam=0.0).fit(
