@@ -93,16 +93,20 @@ def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
     low = [max(p - margin, 0.0) for p in points]
     high = [min(p + margin, 1.0) for p in points]
 
-    def bracket(i: int, at: float, whole_range: float) -> Column:
-        small = F.count(F.lit(1)) < accuracy
-        return F.when(small, F.lit(whole_range)).otherwise(F.percentile_approx(x, at, accuracy))
-
+    # one sketch serves all ranks: every further one would cost its own buffer per group and task
     slots = range(len(points))
-    brackets = as_dimension(rows.groupBy(*by).agg(
+    sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
-        *[bracket(i, low[i], float("-inf")).alias(f"__lo{i}") for i in slots],
-        *[bracket(i, high[i], float("inf")).alias(f"__hi{i}") for i in slots],
-    ).withColumnsRenamed({b: f"__by_{b}" for b in by}))
+        F.percentile_approx(x, low + high, accuracy).alias("__at"))
+    small = F.col("__n") < accuracy
+
+    def bracket(i: int, whole_range: float) -> Column:
+        return F.when(small, F.lit(whole_range)).otherwise(F.col("__at")[i])
+
+    brackets = as_dimension(sketch.select(
+        *[F.col(b).alias(f"__by_{b}") for b in by], "__n",
+        *[bracket(i, float("-inf")).alias(f"__lo{i}") for i in slots],
+        *[bracket(len(points) + i, float("inf")).alias(f"__hi{i}") for i in slots]))
 
     same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by])
     inside = reduce(Column.__or__, [x.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in slots])
