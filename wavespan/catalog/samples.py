@@ -86,6 +86,83 @@ def select_sample_ascoded(spark, sf_dir):
     return _sample(spark, sf_dir, "as_coded")
 
 
+SQL_LONG = f"""{SQL_SURVEY},
+p as (
+    select * replace (year + 4 as year), occ3 as occ3_early, ind3 as occ3_late, ind3 as ind3_early,
+           occ3 as ind3_late, modality as modality_early,
+           case when pid % 29 = 0 then 3 else 1 end as modality_late,
+           government as government_early, case when pid % 31 = 0 then 1 else 5 end as government_late
+    from survey),
+eras as (
+    select p.* replace (case when p.year >= 2003 then occ3_late else occ3_early end as occ3,
+                        case when p.year >= 2003 then ind3_late else ind3_early end as ind3,
+                        case when p.year >= 2003 then modality_late else modality_early end as modality,
+                        case when p.year >= 2003 then government_late else government_early end
+                            as government,
+                        coalesce(married in (1, 2, 3), false)::int as married),
+           wage * (select max(value) from prices where year = 1997) / value as wage_real
+    from p left join prices i on i.year = p.year - 4
+    where sex = 1 and relation in (1, 10) and age between 18 and 64 and region in (1, 2, 3, 4)),
+flags as (
+    select * from (
+        select *, bool_or(government = 1) over w as gov, bool_or(modality in (2, 3)) over w as own,
+               bool_or(wage_real > 0 and wage_real < 1) over w as low
+        from eras window w as (partition by pid))
+    where not gov and not own and not coalesce(low, false)),
+cw as (
+    select (p_partkey % 8)::varchar as code_1970, (p_partkey % 5 + 1)::varchar as code_2000,
+           case when p_partkey % 8 = 3 then 6005 else nullif(p_size, 50) end as code_common,
+           p_brand as one_digit, p_partkey as ord from part),
+a as (select code_1970 as code, code_common, one_digit, min(ord) as ord from cw group by all),
+b as (select code_2000 as code, code_common, one_digit, min(ord) as ord from cw group by all),
+early as (select code::int as code, code_common, one_digit from (
+    select *, row_number() over (partition by code order by ord desc) as rn from a) where rn = 1),
+late as (select code::int as code, code_common, one_digit from (
+    select *, row_number() over (partition by code order by ord desc) as rn from b) where rn = 1),
+occ as (
+    select f.*, coalesce(e.code_common, l.code_common) as occ_common,
+           coalesce(e.one_digit, l.one_digit) as occ_one_digit
+    from flags f left join early e on e.code = nullif(f.occ3, 0) and f.year <= 2001
+    left join late l on l.code = nullif(f.occ3, 0) and f.year >= 2003),
+kept as (
+    select * from (select *, bool_or(coalesce(occ_common in (9840, 6005, 6020, 6040, 6050), false))
+                                 over (partition by pid) as farm from occ) where not farm)
+select k.pid, k.year, nullif(k.occ3, 0) as occ3, nullif(k.ind3, 0) as ind3, occ_common,
+       occ_one_digit, nullif(coalesce(e.code_common, l.code_common), 0) as ind_common, married,
+       {sql_rounded("wage_real", 5)} as wage_real,
+       case when tenure in (98, 99) then null else tenure end as tenure,
+       hours <= 500 as short_hours, wage_real is null or wage_real = 0 as no_income
+from kept k left join early e on e.code = nullif(k.ind3, 0) and k.year <= 2001
+left join late l on l.code = nullif(k.ind3, 0) and k.year >= 2003"""
+
+
+def long_survey(spark, sf_dir):
+    """The survey moved to 1999-2005, so that both code eras occur."""
+    pid = F.col("pid")
+    return survey(spark, sf_dir).withColumns({
+        "year": F.col("year") + 4, "occ3_early": F.col("occ3"), "occ3_late": F.col("ind3"),
+        "ind3_early": F.col("ind3"), "ind3_late": F.col("occ3"), "modality_early": F.col("modality"),
+        "modality_late": F.when(pid % 29 == 0, 3).otherwise(1),
+        "government_early": F.col("government"),
+        "government_late": F.when(pid % 31 == 0, 1).otherwise(5),
+    }).drop("occ3", "ind3", "modality", "government")
+
+
+@query("select_sample_long", f"with {SQL_LONG}")
+def select_sample_long(spark, sf_dir):
+    key = F.col("p_partkey")
+    codes = table(spark, sf_dir, "part").select(
+        (key % 8).cast("string").alias("code_1970"), (key % 5 + 1).cast("string").alias("code_2000"),
+        F.when(key % 8 == 3, 6005).otherwise(F.nullif(F.col("p_size"), F.lit(50)))
+        .alias("code_common"), F.col("p_brand").alias("one_digit"), key.alias("ord"))
+    index = price_index(spark, sf_dir).withColumn("year", F.col("year") + 4)
+    sample = presets.select_sample_long(long_survey(spark, sf_dir), index, codes, codes,
+                                        base_year=2001)
+    return sample.select("pid", "year", "occ3", "ind3", "occ_common", "occ_one_digit", "ind_common",
+                         "married", rounded("wage_real", 5).alias("wage_real"), "tenure",
+                         "short_hours", "no_income")
+
+
 @query("exclude_persons", f"""
 with {SQL_PANEL}
 select pid, year from (
