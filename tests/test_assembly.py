@@ -256,5 +256,5 @@ def test_declared_series(frame, spark, tmp_path):
                     (at["hours_spouse"], at["tenure_head"], N)]
     literal = series.role_pairs("as_coded")
     assert literal["ind3_job3"] == ("ind3_job3_head", "ind3_job1_spouse")
-    assert len(series.role_pairs()) == 32
+    assert len(series.role_pairs()) == 31
     assert {"occ3", "ind3"} <= set(series.short_columns(panel).columns)

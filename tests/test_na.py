@@ -90,8 +90,11 @@ def test_null_keys_form_one_group(frame):
 
 
 def test_text_to_number_never_throws(frame):
-    out = frame("a string", [("12",), ("n/a",), (N,), ("3.5",)]).select(na.to_number("a").alias("v"))
-    assert [r["v"] for r in out.collect()] == [12.0, N, N, 3.5]
+    texts = ["12", "n/a", N, "3.5", "", " 7 ", "-.5", "1e3", "1d", ".", "+4"]
+    out = frame("a string", [(t,) for t in texts]).select(
+        na.to_number("a").alias("v"), na.to_number("a", "int").alias("i"))
+    assert [r["v"] for r in out.collect()] == [12.0, N, N, 3.5, N, 7.0, -0.5, 1000.0, N, N, 4.0]
+    assert [r["i"] for r in out.collect()] == [12, N, N, N, N, 7, N, N, N, N, 4]
 
 
 def test_first_valid_skips_zero_and_missing(frame):

@@ -142,9 +142,19 @@ def is_first_row(w: WindowSpec, year: str = "year") -> Column:
     return F.col(year) == F.min(year).over(whole(w))
 
 
-def to_number(x: Column | str, kind: str = "double") -> Column:
-    """Number, or NULL where the text is not numeric (plain casts throw under ANSI mode)."""
-    return as_col(x).try_cast(kind)
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def to_number(text: Column | str, kind: str = "double") -> Column:
+    """Number, or NULL where the text is not numeric (plain casts throw under ANSI mode).
+
+    The pattern is tested first: a failing ``try_cast`` raises and catches an exception per row,
+    which dominates the scan of files with many blank fields.
+    """
+    pattern = DECIMAL_TEXT if kind in ("double", "float") else INTEGER_TEXT
+    value = as_col(text)
+    return F.when(value.rlike(pattern), value.try_cast(kind))
 
 
 def first_valid(values: Sequence[Column | str], invalid=0) -> Column:

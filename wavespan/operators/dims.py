@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.functions.na import known
+from wavespan.functions.na import known, to_number
 from wavespan.session import as_dimension
 
 
@@ -51,7 +51,7 @@ def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int,
     era = F.lit(None).cast("int")
     for i, (lo, hi, table, key) in enumerate(eras):
         part = last_match(
-            table.select(F.col(key).try_cast("double").alias("__code"), *values, order),
+            table.select(to_number(key).alias("__code"), *values, order),
             ["__code"], values, order).withColumn("__era", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part)
         era = F.when(F.col(year).between(lo, hi), F.lit(i)).otherwise(era)

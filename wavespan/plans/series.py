@@ -64,6 +64,7 @@ SPOUSE_CODES = (20, 22)
 WORK_SPOUSE_CODES = (2, 20, 22)
 HEAD_ONLY = ("tenure",)         # the head's value stands for every member
 BLANKED_FOR_SPOUSES = ("union_member",)
+NOT_COLLAPSED = ("grades_role",)    # declared, but the person's own grades are used
 SHORT_NAMES = {"occ3": "occ3_early", "ind3": "ind3_early", "modality": "modality_early",
                "government": "government_early"}
 
@@ -129,7 +130,7 @@ def role_pairs(semantics: str = INTENDED) -> dict[str, tuple[str, str]]:
     the second and third one.
     """
     literal = check_semantics(semantics)
-    names = [r[0] for r in _lines(ROLE_SERIES) if r[2] != "-"]
+    names = [r[0] for r in _lines(ROLE_SERIES) if r[2] != "-" and r[0] not in NOT_COLLAPSED]
     names += list(dict.fromkeys(r[0] for r in _lines(SPLICED_SERIES) if r[4] != "-"))
     pairs = {n: (f"{n}_head", f"{n}_spouse") for n in names}
     if literal:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavespan.functions.na import to_number
+
 
 @dataclass(frozen=True)
 class Field:
@@ -28,9 +30,9 @@ def parse_fixed_width(lines: DataFrame, layout: Sequence[Field], text: str = "va
         if f.kind == "string":
             value = F.nullif(raw, F.lit(""))
         elif f.decimals:
-            value = raw.try_cast("double") / F.lit(float(10 ** f.decimals))
+            value = to_number(raw, "double") / F.lit(float(10 ** f.decimals))
         else:
-            value = raw.try_cast(f.kind)
+            value = to_number(raw, f.kind)
         columns.append(value.alias(f.name))
     return lines.select(*columns)
 
@@ -43,7 +45,7 @@ def format_fixed_width(df: DataFrame, layout: Sequence[Field], text: str = "valu
             parts.append(F.lit(" " * (f.start - position)))
         value = F.col(f.name)
         if f.decimals:
-            value = F.round(value * F.lit(float(10 ** f.decimals))).cast("long")
+            value = F.rint(value * F.lit(float(10 ** f.decimals))).cast("long")
         shown = F.coalesce(value.cast("string"), F.lit(""))
         parts.append(F.lpad(shown, f.width, " ") if f.kind != "string"
                      else F.rpad(shown, f.width, " "))
