@@ -2,4 +2,5 @@
 
 from wavespan.catalog.registry import ORACLES, QUERIES, query  # noqa: F401
 from wavespan.catalog import (  # noqa: F401,E402
-    assembly, changes, codes, descriptive, exposure, models, recodes, samples, semantics, spells)
+    assembly, changes, codes, descriptive, events, exposure, models, recodes, samples, semantics,
+    spells)
