@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the small tables."""
+"""Every registered query against its SQL, on tables large enough for the regressions."""
 
 import os
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
 
-SF = os.environ.get("WAVESPAN_TEST_SF", "/root/testdata/sf0.001")
+SF = os.environ.get("WAVESPAN_TEST_SF", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not mounted")
 
 
