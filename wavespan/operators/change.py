@@ -42,7 +42,8 @@ def wave_gap(panel: DataFrame, pid: str = "pid", year: str = "year", out: str =
 
 def job_change(panel: DataFrame, tenure: str = "tenure", pid: str = "pid", year: str = "year",
                out: str = "change_t", out_tolerant: str = "change_24t", out_gap: str = "gap",
-               out_first: str = "first_year", rules: ChangeRules = DEFAULT_RULES, semantics: str = INTENDED) -> DataFrame:
+               out_first: str = "first_year", rules: ChangeRules = DEFAULT_RULES,
+               semantics: str = INTENDED) -> DataFrame:
     """Flag waves in which a person works for a new employer.
 
     ``out`` holds the strict rule, ``out_tolerant`` the rule that compares tenure growth with the
