@@ -8,7 +8,7 @@ from wavespan.catalog.adapter import (SQL_CODES_ON_SPELLS, SQL_PANEL, SQL_SPELLS
                                       SQL_SPELLS_ON_CHANGES, panel, rounded, spelled_panel,
                                       sql_changes, sql_rounded, table)
 from wavespan.catalog.registry import query
-from wavespan.catalog.samples import SQL_SURVEY, price_index, survey
+from wavespan.catalog.samples import SQL_LONG, SQL_SURVEY, long_sample, price_index, survey
 from wavespan.operators import exposure, recode, regress
 from wavespan.operators.change import ChangeRules
 from wavespan.plans import presets
@@ -316,3 +316,76 @@ instruments as (
 def careers_wage_model(spark, sf_dir):
     """Wage model on demeaned exposure with wave and region dummies; NULL where aliased."""
     return _fit(presets.wage_regression(careers(spark, sf_dir), PRESET, "instruments"), 4)
+
+
+LATE_ERA = 2003
+LONG_PRESET = replace(presets.LONG, late_era_from=LATE_ERA)
+
+
+@query("careers_long", f"""
+with {SQL_LONG},
+{sql_changes("sample", RULES.tolerance)},
+occ_rows as (
+    select pid, year, occ_common <> lag(occ_common) over (partition by pid order by year) as differs
+    from changes where occ_common is not null),
+ind_rows as (
+    select pid, year, ind_common <> lag(ind_common) over (partition by pid order by year) as differs
+    from changes where ind_common is not null),
+gated as (
+    select c.*, coalesce(o.differs, false) and change_t as occ_emp,
+           coalesce(o.differs, false) and change_24t as occ_24t,
+           coalesce(i.differs, false) and change_24t as ind_24t
+    from changes c
+    left join occ_rows o on o.pid = c.pid and o.year = c.year
+    left join ind_rows i on i.pid = c.pid and i.year = c.year),
+jobs as (
+    select *, min(case when emp_status = 1 and year < {LATE_ERA} then year end)
+                  over (partition by pid) as early_job,
+           min(case when emp_status = 1 and year >= {LATE_ERA} then year end)
+               over (partition by pid) as late_job
+    from gated),
+numbered as (
+    select *, (sum(case when year = early_job then 1 when year = late_job then 2
+                        else change_t::int end) over w)::int as n,
+           (sum(case when year = early_job then 1 when year = late_job then 2
+                     else change_24t::int end) over w)::int as n24
+    from jobs where early_job is not null or late_job is not null
+    window w as (partition by pid order by year rows unbounded preceding)),
+employed as (
+    select *, case when bool_or(coalesce(emp_status = 1, false)) over (partition by pid, n)
+                   then n end as emp_spell,
+           case when bool_or(coalesce(emp_status = 1, false)) over (partition by pid, n24)
+                then n24 end as emp_spell_24t
+    from numbered),
+reported as (
+    select * from (
+        select *, min(case when tenure is not null then year end) over (partition by pid) as start
+        from employed) where year >= start),
+starts as (
+    select *, min(case when emp_status = 1 and occ3 is not null then year end)
+                  over (partition by pid) as occ_start,
+           min(case when emp_status = 1 and ind3 is not null then year end)
+               over (partition by pid) as ind_start,
+           case when year >= {LATE_ERA} then 2 else 1 end as weight
+    from reported),
+coded as (
+    select *, nullif((sum(case when year = occ_start then 1 when occ_emp then weight else 0 end)
+                      over w)::int, 0) as occ_spell,
+           nullif((sum(case when year = occ_start then 1 when occ_24t then weight else 0 end)
+                   over w)::int, 0) as occ_spell_24t,
+           nullif((sum(case when year = ind_start then 1 when ind_24t then weight else 0 end)
+                   over w)::int, 0) as ind_spell_24t,
+           year - lag(year) over (partition by pid order by year) as since,
+           min(case when tenure is not null then year end) over (partition by pid, emp_spell)
+               as first_report
+    from starts window w as (partition by pid order by year rows unbounded preceding))
+select pid, year, emp_spell, emp_spell_24t, occ_spell, occ_spell_24t, ind_spell_24t,
+       {sql_rounded("""sum(case when tenure is not null and year = first_report then tenure
+            when emp_status = 1 and hours >= 800 then coalesce(since, 0) else 0 end)
+       over (partition by pid, emp_spell order by year rows unbounded preceding)""")} as emp_tenure
+from coded""")
+def careers_long(spark, sf_dir):
+    """The long chain: common codes of two census schemes, late changes counted twice."""
+    return presets.careers(long_sample(spark, sf_dir), LONG_PRESET, RULES).select(
+        "pid", "year", "emp_spell", "emp_spell_24t", "occ_spell", "occ_spell_24t", "ind_spell_24t",
+        rounded("emp_tenure").alias("emp_tenure"))

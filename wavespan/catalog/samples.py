@@ -126,14 +126,14 @@ occ as (
     left join late l on l.code = nullif(f.occ3, 0) and f.year >= 2003),
 kept as (
     select * from (select *, bool_or(coalesce(occ_common in (9840, 6005, 6020, 6040, 6050), false))
-                                 over (partition by pid) as farm from occ) where not farm)
-select k.pid, k.year, nullif(k.occ3, 0) as occ3, nullif(k.ind3, 0) as ind3, occ_common,
-       occ_one_digit, nullif(coalesce(e.code_common, l.code_common), 0) as ind_common, married,
-       {sql_rounded("wage_real", 5)} as wage_real,
-       case when tenure in (98, 99) then null else tenure end as tenure,
-       hours <= 500 as short_hours, wage_real is null or wage_real = 0 as no_income
-from kept k left join early e on e.code = nullif(k.ind3, 0) and k.year <= 2001
-left join late l on l.code = nullif(k.ind3, 0) and k.year >= 2003"""
+                                 over (partition by pid) as farm from occ) where not farm),
+sample as (
+    select k.* replace (nullif(k.occ3, 0) as occ3, nullif(k.ind3, 0) as ind3,
+                        case when tenure in (98, 99) then null else tenure end as tenure),
+           nullif(coalesce(e.code_common, l.code_common), 0) as ind_common,
+           hours <= 500 as short_hours, wage_real is null or wage_real = 0 as no_income
+    from kept k left join early e on e.code = nullif(k.ind3, 0) and k.year <= 2001
+    left join late l on l.code = nullif(k.ind3, 0) and k.year >= 2003)"""
 
 
 def long_survey(spark, sf_dir):
@@ -148,19 +148,26 @@ def long_survey(spark, sf_dir):
     }).drop("occ3", "ind3", "modality", "government")
 
 
-@query("select_sample_long", f"with {SQL_LONG}")
-def select_sample_long(spark, sf_dir):
+def long_sample(spark, sf_dir):
     key = F.col("p_partkey")
     codes = table(spark, sf_dir, "part").select(
         (key % 8).cast("string").alias("code_1970"), (key % 5 + 1).cast("string").alias("code_2000"),
         F.when(key % 8 == 3, 6005).otherwise(F.nullif(F.col("p_size"), F.lit(50)))
         .alias("code_common"), F.col("p_brand").alias("one_digit"), key.alias("ord"))
     index = price_index(spark, sf_dir).withColumn("year", F.col("year") + 4)
-    sample = presets.select_sample_long(long_survey(spark, sf_dir), index, codes, codes,
-                                        base_year=2001)
-    return sample.select("pid", "year", "occ3", "ind3", "occ_common", "occ_one_digit", "ind_common",
-                         "married", rounded("wage_real", 5).alias("wage_real"), "tenure",
-                         "short_hours", "no_income")
+    return presets.select_sample_long(long_survey(spark, sf_dir), index, codes, codes,
+                                      base_year=2001)
+
+
+@query("select_sample_long", f"""
+with {SQL_LONG}
+select pid, year, occ3, ind3, occ_common, occ_one_digit, ind_common, married,
+       {sql_rounded("wage_real", 5)} as wage_real, tenure, short_hours, no_income
+from sample""")
+def select_sample_long(spark, sf_dir):
+    return long_sample(spark, sf_dir).select(
+        "pid", "year", "occ3", "ind3", "occ_common", "occ_one_digit", "ind_common", "married",
+        rounded("wage_real", 5).alias("wage_real"), "tenure", "short_hours", "no_income")
 
 
 @query("exclude_persons", f"""
