@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavespan.llm import packing, tokenfile
+from wavespan.llm import mixing, packing, quality, tokenfile, urls
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder, stored
@@ -23,3 +24,67 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/wavespan/{uuid.uuid4().hex}"
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, default_path())
     return tokenfile.read_tokens(spark, path)
+
+
+MIX_SQL = r"""
+with sized as (
+  select doc_id, source, text,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), weighted as (
+  select *, case (row_number() over (order by source asc nulls last) - 1) % 3
+              when 0 then 5 when 1 then 2 else 1 end as weight
+  from sources
+), shares as (
+  select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over stopped, 0))::double
+            / (sum(weight) over () - coalesce(sum(weight) over stopped, 0)) as share
+  from weighted
+  window stopped as (order by 3 * source_size / weight::double, source asc nulls last
+                     rows between unbounded preceding and 1 preceding)
+), level as (
+  select max(share) as level from shares where share * weight <= 3 * source_size
+), targets as (
+  select source, source_size,
+         case when level is null or 3 * source_size / weight::double <= level
+              then (3 * source_size)::double else level * weight end as target
+  from shares, level
+), rates as (
+  select *, case when source_size > 0 then least(target / source_size, 3.0::double)
+                 else 0.0::double end as rate
+  from targets
+)
+select doc_id, size::bigint as size, source_size, target,
+       (size * (floor(rate)::bigint + case when
+          ('0x' || substr(md5(concat('20240229:', coalesce(doc_id::varchar, ''), ':',
+                                     coalesce(d.source, ''), ':', md5(coalesce(text, '')))),
+                          1, 13))::bigint / 4503599627370496.0::double
+          < rate - floor(rate) then 1 else 0 end))::bigint as taken
+from sized d join rates r on d.source is not distinct from r.source
+"""
+
+
+@query("op4_mixing", MIX_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target",
+                       (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op6_url_reputation")
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path names the document whose text it carries; that document's label is its
+    outcome: bad if of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract("url", r"://[^/?#]*/[^/?#]*/(\d{1,18})", 1)
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    named = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
+    outcomes = named.join(labels.select("doc_id", bad.alias("bad")), "doc_id")
+    judged = urls.judge(pages, outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "p_bad")
+
+
+@query("op7_compression_bands")
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
