@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.llm import mixing, packing, quality, tokenfile, urls
+from wavespan.llm import ann, mixing, packing, quality, tokenfile, toxicity, urls
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder, stored
@@ -88,3 +88,19 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_compression_bands")
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query("op2_block_join")
+def op2_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = toxicity.train(docs, labels.where(fold != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(fold, F.lit(1)) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
