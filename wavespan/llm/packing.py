@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from wavespan.llm.tokens import encoder
 
 CAPACITY = 2048
-RANKED_TOGETHER = 100_000
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
@@ -114,8 +113,8 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarra
 
 def ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """``rank`` from 0 among the pieces of a length, without gathering a length in one task."""
-    total = pieces.count()
-    buckets = max(1, total // RANKED_TOGETHER)
+    # as many parts of a length as there are partitions: no part outgrows a fair share
+    buckets = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     # counted in the same partitions in which the pieces are ranked
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))

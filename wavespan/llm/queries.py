@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.llm import ann, mixing, packing, quality, tokenfile, toxicity, urls
+from wavespan.llm import ann, lm_score, mixing, packing, quality, tokenfile, toxicity, urls
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder, stored
@@ -104,3 +104,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (F.coalesce(fold, F.lit(1)) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_lm_score")
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts are the target, all documents the background."""
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return lm_score.score(table(spark, sf_dir, "documents"), wanted, default_path())

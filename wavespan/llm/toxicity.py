@@ -18,8 +18,8 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: The classifier is fitted on at most this many labelled rows, those of least hash.
 MAX_ROWS = 6_000
-EPOCHS = 6
-RATE = 0.5
+EPOCHS = 8
+RATE = 1.0
 PENALTY = 1e-6
 #: Keeps the sums over a text's thousands of features in the range of the step sizes.
 SCALE = 1 / 30
