@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.llm import ann, lm_score, mixing, packing, quality, tokenfile, toxicity, urls
+from wavespan.llm import ann, linededup, lm_score, mixing, neardup, packing, quality, tokenfile, toxicity, urls
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder, stored
@@ -111,3 +111,79 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's texts are the target, all documents the background."""
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return lm_score.score(table(spark, sf_dir, "documents"), wanted, default_path())
+
+
+@query("op5_minhash")
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+LINES_SQL = r"""
+with texts as (
+  select doc_id, text, row_number() over () as row from documents
+), exploded as (
+  select doc_id, text, row, pos - 1 as pos, lines[pos] as line
+  from (select *, string_split(text, chr(10)) as lines from texts where text is not null),
+       unnest(range(1, len(lines) + 1)) as u(pos)
+), tokens as (
+  select doc_id, text, row, pos,
+         list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
+                        lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as toks
+  from exploded
+), parsed as (
+  select doc_id, text, row, pos, toks, array_to_string(toks, ' ') as m,
+         len(toks)::varchar || ' ' || array_to_string(toks[1:3], ' ') as leaf
+  from tokens where len(list_filter(toks, lambda x: x not in ('', '<*>'))) > 0
+), lines as (
+  select leaf, m, any_value(toks) as toks, count(distinct text) as texts
+  from parsed group by leaf, m
+), open_leaves as (
+  select leaf from lines group by leaf having count(*) > 1 and sum(texts) >= 3
+), round1 as (
+  select l.*, h.head,
+         len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = h.head_toks[i]))
+         >= 0.6::double * len(toks) as near
+  from lines l join (
+    select leaf, first(m order by texts desc, m) as head,
+           first(toks order by texts desc, m) as head_toks
+    from lines where leaf in (select leaf from open_leaves) group by leaf) h using (leaf)
+), round2 as (
+  select l.leaf, l.m, h.head,
+         len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = h.head_toks[i]))
+         >= 0.6::double * len(toks) as near
+  from (select * from round1 where not near) l join (
+    select leaf, first(m order by texts desc, m) as head,
+           first(toks order by texts desc, m) as head_toks
+    from round1 where not near group by leaf) h using (leaf)
+), templates as (
+  select leaf, m, head from round1 where near
+  union all select leaf, m, head from round2 where near
+), named as (
+  select p.*, coalesce(t.head, p.m) as template
+  from parsed p left join templates t on p.leaf = t.leaf and p.m = t.m
+), again as (
+  select leaf, template, min(doc_id) as first_id
+  from named group by leaf, template having count(distinct text) >= 3
+), gone as (
+  select row, pos from named n join again a
+    on n.leaf = a.leaf and n.template = a.template and n.doc_id is distinct from a.first_id
+), left_over as (
+  select t.row, count(*) as n_lines, count(g.pos) as n_dropped,
+         string_agg(case when g.pos is null then e.line end, chr(10) order by e.pos) as kept
+  from texts t join exploded e on t.row = e.row
+  left join gone g on g.row = e.row and g.pos = e.pos
+  group by t.row
+)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped,
+       length(coalesce(kept, ''))::bigint as chars_left, md5(coalesce(kept, '')) as text_md5
+from texts left join left_over using (row)
+"""
+
+
+@query("op10_line_templates", LINES_SQL)
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_recurring(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.length(text).cast("long").alias("chars_left"),
+                       F.md5(text).alias("text_md5"))
