@@ -95,7 +95,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, depth
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH,
                    similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """Every row of ``docs`` (doc_id, text and any others) without its recurring lines, and with
-    n_lines and n_dropped before them.
+    n_lines and n_dropped before them (columns of those names are replaced).
 
     Lines without a token, or of masked tokens only, stay. The first document of a template, by
     least ``doc_id``, keeps its lines; rows that share that id all do, and where no row has an id,
@@ -105,15 +105,16 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     lines = stored(parsed(docs, F.col("doc_id"), th, depth=depth).drop("m"))
     again = recurring(docs, lines, min_docs, depth, similarity, rounds)
     gone = lines.join(again, LINE).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(
-        F.col("doc_id").alias("of"), F.col("th").alias("of_text")).agg(
+        F.col("doc_id").alias("__of"), F.col("th").alias("__of_text")).agg(
         F.collect_set("pos").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of"))
-                       & (F.xxhash64("text") == F.col("of_text")), "left").drop("of", "of_text")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__of"))
+                       & (F.xxhash64("text") == F.col("__of_text")), "left")
     every = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(every, i)), "\n"))
     n_dropped = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns
+               if c not in ("n_lines", "n_dropped")]
     return joined.select(n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), *columns)

@@ -63,29 +63,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     return rows.select("source", "source_size", "weight", "target", rate.alias("rate"))
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __copies."""
+    sized = docs.withColumn("__size", words("text"))
+    table = stored(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")),
+                           weights, max_repeats))
+    if table.count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+    table = table.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"),
+                         F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    joined = sized.join(table, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    floor = F.floor("__rate")
+    copies = floor + (coin(seed) < F.col("__rate") - floor).cast("long")
+    return joined.withColumn("__copies", copies.cast("long")).drop("__rate")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
          seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, source and any others) with size, source_size, target
-    and copies.
+    """doc_id, size, source_size, target and copies for every row of ``docs`` (doc_id, text,
+    source; other columns are ignored).
 
     A null text has size 0, a null source is a source of its own, and a row without ``doc_id``
     tosses its coin by source and text. Rows equal in all three share one toss.
     """
-    sized = docs.withColumn("size", words("text"))
-    table = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
-                           weights, max_repeats))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    table = table.select(F.col("source").alias("of"), "source_size", "target", "rate")
-    joined = sized.join(table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    floor = F.floor("rate")
-    copies = floor + (coin(seed) < F.col("rate") - floor).cast("long")
-    return joined.withColumn("copies", copies.cast("long")).drop("rate")
+    rows = _planned(docs.select("doc_id", "text", "source"), weights, max_repeats, seed)
+    return rows.select("doc_id", *[F.col(f"__{c}").alias(c)
+                                   for c in ("size", "source_size", "target", "copies")])
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
         seed: int = SEED) -> DataFrame:
-    """The mixed rows themselves: ``docs`` with each row repeated as planned."""
-    rows = plan(docs, weights, max_repeats, seed)
-    copies = F.explode(F.expr("sequence(1, int(copies))"))
-    return rows.where("copies > 0").select(*docs.columns, copies.alias("__copy")).drop("__copy")
+    """The mixed rows themselves: ``docs``, all its columns, with each row repeated as planned."""
+    rows = _planned(docs, weights, max_repeats, seed).where("__copies > 0")
+    return rows.select(*docs.columns, F.explode(F.expr("sequence(1, int(__copies))")).alias(
+        "__copy")).drop("__copy")

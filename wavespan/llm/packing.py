@@ -112,21 +112,21 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarra
 
 
 def ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """``rank`` from 0 among the pieces of a length, without gathering a length in one task."""
+    """``__rank`` from 0 among the pieces of a length, without gathering a length in one task."""
     # as many parts of a length as there are partitions: no part outgrows a fair share
     buckets = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     # counted in the same partitions in which the pieces are ranked
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(
+    sizes = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "bucket",
-                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy(*keys)
-    return (dealt.withColumn("place", F.row_number().over(within) - 1)
-            .join(sizes, ["length", "bucket"])
-            .withColumn("rank", F.col("before") + F.col("place"))
-            .drop("bucket", "before", "place"))
+    sizes = sizes.select("length", "__bucket",
+                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("length", "__bucket").orderBy(*keys)
+    return (dealt.withColumn("__place", F.row_number().over(within) - 1)
+            .join(sizes, ["length", "__bucket"])
+            .withColumn("__rank", F.col("__before") + F.col("__place"))
+            .drop("__bucket", "__before", "__place"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY,
@@ -143,7 +143,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
     places = slots(patterns(histogram, capacity))
     rows = ranked(pieces, list(keys))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    at, of = rows.columns.index("rank"), rows.columns.index("length")
+    at, of = rows.columns.index("__rank"), rows.columns.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
                 [*batch.columns, pa.array(sequence), pa.array(offset)],
                 names=[*batch.schema.names, "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, schema + ", sequence_id bigint, offset bigint").drop("rank")
+    return rows.mapInArrow(place, schema + ", sequence_id bigint, offset bigint").drop("__rank")
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

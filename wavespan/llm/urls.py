@@ -174,8 +174,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
 
     The longest rule that fits decides; else a host goes if its share of bad pages is above
     ``limit`` with probability ``confidence``. A null url, or one without ``://``, has an empty
-    host and path and is judged as a host of that name. Repeated rows stay.
+    host and path and is judged as a host of that name. Repeated rows stay;
+    columns of the names that are added are replaced.
     """
+    pages = pages.drop("host", "path", "rule", "p_bad", "verdict")
     named = (pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
              .withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)))
     known = reputation(named, outcomes, limit).select("host", "p_bad")
