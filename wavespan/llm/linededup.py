@@ -31,20 +31,30 @@ LINE = ["leaf", "k", "k2"]
 
 def masked(line: Column) -> Column:
     """Tokens separated by one space, those with a digit masked."""
-    odd = line.rlike(r"[\t\x0B\f\r]|^ | $|  ")
+    odd = line.startswith(" ") | line.endswith(" ")
+    for mark in ("  ", "\t", "\r", "\v", "\f"):
+        odd = odd | line.contains(mark)
     line = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(
         line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", F.lit(MASK))).otherwise(line)
 
 
-def parsed(docs: DataFrame, *more: Column | str, depth: int = DEPTH) -> DataFrame:
-    """The lines of ``docs`` that hold a literal token: pos, m (masked), leaf, k, k2 and more."""
+def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc_id, th (hash of the text), pos, m (masked), leaf, k and k2 for every line of ``docs``.
+
+    ``leaf`` is 0 for lines without a literal token. It is a value rather than a filter because a
+    filter would have Spark mask every line twice.
+    """
     lines = docs.where("text is not null").select(
-        *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select(*[c for c in lines.columns if c != "line"], masked(F.col("line")).alias("m"))
-    lines = lines.where(F.regexp_replace("m", r"^(<\*>| )*$", "") != "")
-    tokens = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    return lines.select("*", F.xxhash64(tokens, F.substring_index("m", " ", depth)).alias("leaf"),
+        "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias(
+            "pos", "line"))
+    lines = lines.select("doc_id", "th", "pos", masked(F.col("line")).alias("m"))
+    space, nothing = F.lit(" "), F.lit("")
+    literal = F.when(F.col("m").contains(MASK), F.replace(
+        F.replace("m", F.lit(MASK), nothing), space, nothing)).otherwise(F.col("m")) != ""
+    tokens = F.octet_length("m") - F.octet_length(F.replace("m", space, nothing)) + 1
+    leaf = F.xxhash64(tokens, F.substring_index("m", " ", depth))
+    return lines.select("*", F.when(literal, leaf).otherwise(0).alias("leaf"),
                         F.xxhash64("m").alias("k"), F.hash("m").alias("k2"))
 
 
@@ -54,9 +64,9 @@ def leaf_templates(lines: DataFrame, similarity: float = SIMILARITY,
     their own generalised template. Ties for the standing line go to the least text."""
     found, rest = None, lines.withColumn("tokens", F.split("m", " "))
     for _ in range(rounds):
-        heads = rest.groupBy("leaf").agg(
+        heads = stored(rest.groupBy("leaf").agg(
             F.min(F.struct((-F.col("texts")).alias("t"), "m", "k")).alias("head")).select(
-            "leaf", F.col("head.k").alias("template"), F.split("head.m", " ").alias("standing"))
+            "leaf", F.col("head.k").alias("template"), F.split("head.m", " ").alias("standing")))
         equal = F.size(F.filter(F.zip_with("tokens", "standing", lambda a, b: a == b), lambda x: x))
         near = stored(rest.join(heads, "leaf").withColumn(
             "near", equal >= F.lit(similarity) * F.size("tokens")).drop("standing"))
@@ -66,12 +76,11 @@ def leaf_templates(lines: DataFrame, similarity: float = SIMILARITY,
     return found
 
 
-def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH,
-              similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
+              rounds: int = ROUNDS) -> DataFrame:
     """(leaf, k, k2, first_id): lines of recurring templates and their first document.
 
-    ``lines``: doc_id, th (hash of the text) and ``LINE`` for every line of ``docs``. Documents of
-    the same text count once.
+    ``lines`` as ``parsed``, without leaf 0. Documents of the same text count once.
     """
     by_text = lines.groupBy(*LINE, "th").agg(F.min("doc_id").alias("doc_id"))
     counted = stored(by_text.groupBy(*LINE).agg(F.count("*").alias("texts"),
@@ -79,7 +88,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, depth
     open_leaves = stored(counted.groupBy("leaf").agg(
         F.count("*").alias("lines"), F.sum("texts").alias("support")).where(
         (F.col("lines") > 1) & (F.col("support") >= min_docs)).select("leaf"))
-    several = parsed(docs, depth=depth).join(open_leaves, "leaf").select(*LINE, "m").distinct()
+    several = lines.join(open_leaves, "leaf").select(*LINE, "m").distinct()
     templates = stored(leaf_templates(several.join(counted.drop("first_id"), LINE), similarity,
                                       rounds))
     spread = lines.join(templates, LINE).groupBy("leaf", "template", "th").agg(
@@ -101,9 +110,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     least ``doc_id``, keeps its lines; rows that share that id all do, and where no row has an id,
     all. A null text stays null and has 0 lines. Repeated rows give repeated results.
     """
-    th = F.xxhash64("text").alias("th")
-    lines = stored(parsed(docs, F.col("doc_id"), th, depth=depth).drop("m"))
-    again = recurring(docs, lines, min_docs, depth, similarity, rounds)
+    lines = stored(parsed(docs, depth)).where("leaf <> 0")
+    again = recurring(lines, min_docs, similarity, rounds)
     gone = lines.join(again, LINE).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(
         F.col("doc_id").alias("__of"), F.col("th").alias("__of_text")).agg(
         F.collect_set("pos").alias("__gone"))
