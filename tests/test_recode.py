@@ -74,6 +74,14 @@ def test_last_match_counts_repeats_at_their_first_place(crosswalk):
         [("1", 20), ("2", N), ("3", N), ("4", 0), ("x", 5)], key=lambda r: r[0])
 
 
+def test_last_match_tells_duplicates_by_unseen_columns(frame):
+    table = frame("k int, v string, detail string, ord int",
+                  [(1, "A", "x", 0), (1, "B", "y", 1), (1, "A", "z", 2)])
+    assert [r["v"] for r in dims.last_match(table, ["k"], ["v"]).collect()] == ["B"]
+    assert [r["v"] for r in dims.last_match(table, ["k"], ["v"], distinct_on=["detail"]).collect()
+            ] == ["A"]
+
+
 def test_harmonise_by_era(frame, crosswalk):
     df = frame("pid int, year int, code int", [
         (1, 1990, 1), (1, 1991, 2), (1, 1992, 9), (1, 1993, N), (1, 1994, 4), (1, 2002, 1),
@@ -95,12 +103,6 @@ def test_code_joins(frame):
     assert [r["code"] for r in dims.code_difference(df, codes, "code", "k").collect()] == [5]
 
 
-def test_three_valued_filters(frame):
-    df = frame("pid int, year int, p boolean", [(1, 1, True), (1, 2, False), (1, 3, N)])
-    assert values(dims.three_valued_filter(df, F.col("p")), "year") == [2]
-    assert values(dims.keep_unless(df, F.col("p")), "year") == [2, 3]
-
-
 def test_exclude_persons_keeps_unknown_flags(frame):
     df = frame("pid int, year int, w double, g int", [
         (1, 1, 0.5, 5), (1, 2, 5.0, 5), (2, 1, N, N), (2, 2, 5.0, 5), (3, 1, 5.0, 1), (4, 1, 5.0, 5)])

@@ -11,7 +11,8 @@ SQL_CROSSWALK = """
 crosswalk as (
     select case when p_partkey % 10 = 9 then 'n/a' else (p_partkey % 8)::varchar end as code_a,
            (p_partkey % 5 + 1)::varchar as code_b,
-           nullif(p_size, 50) as code_common, p_brand as one_digit, p_partkey as ord
+           nullif(p_size, 50) as code_common, p_brand as one_digit, p_partkey as ord,
+           p_type as code_detail
     from part)"""
 
 
@@ -21,7 +22,7 @@ def crosswalk(spark, sf_dir):
         F.when(key % 10 == 9, "n/a").otherwise((key % 8).cast("string")).alias("code_a"),
         (key % 5 + 1).cast("string").alias("code_b"),
         F.nullif(F.col("p_size"), F.lit(50)).alias("code_common"),
-        F.col("p_brand").alias("one_digit"), key.alias("ord"))
+        F.col("p_brand").alias("one_digit"), key.alias("ord"), F.col("p_type").alias("code_detail"))
 
 
 def _last_sql(key: str) -> str:
@@ -43,6 +44,25 @@ def crosswalk_last_match(spark, sf_dir):
     return dims.last_match(table_, ["code"], ["code_common", "one_digit"])
 
 
+@query("crosswalk_last_match_detail", f"""
+with {SQL_CROSSWALK},
+narrow as (select code_a as code, case when ord % 3 = 0 then 1 else 2 end as code_common,
+                  case when ord % 3 = 0 then 1 else 2 end as one_digit, code_detail, ord
+           from crosswalk),
+firsts as (select *, row_number() over (partition by code, code_common, one_digit, code_detail
+                                        order by ord) as nth from narrow)
+select code, code_common, one_digit from (
+    select *, row_number() over (partition by code order by ord desc) as rn
+    from firsts where nth = 1) where rn = 1""")
+def crosswalk_last_match_detail(spark, sf_dir):
+    """Few values and a finer code that is not shown: it decides which row counts as the last."""
+    few = F.when(F.col("ord") % 3 == 0, 1).otherwise(2)
+    table_ = crosswalk(spark, sf_dir).withColumnRenamed("code_a", "code")
+    table_ = table_.withColumns({"code_common": few, "one_digit": few})
+    return dims.last_match(table_, ["code"], ["code_common", "one_digit"],
+                           distinct_on=["code_detail"])
+
+
 SQL_HARMONISED = f"""{SQL_PANEL},{SQL_CROSSWALK},
 early as ({_last_sql("code_a")}),
 late as ({_last_sql("code_b")}),

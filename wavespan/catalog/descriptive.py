@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from wavespan.catalog.adapter import (SQL_CHANGES, SQL_CODES, SQL_PANEL, SQL_SPELLS, changed_panel,
-                                      coded_panel, panel, rounded, spelled_panel, sql_rounded)
+                                      coded_panel, panel, rounded, spelled_panel, sql_rounded,
+                                      table)
 from wavespan.catalog.registry import query
 from wavespan.operators import describe, recode
 
@@ -68,6 +69,65 @@ def crosstab_flags(spark, sf_dir):
     return describe.crosstab(changed_panel(spark, sf_dir), "change_t", "change_24t", [False, True])
 
 
+@query("crosstab_codes", f"""
+with {SQL_PANEL}
+select occ3, ind3, count(*) as n from panel where occ3 is not null and ind3 is not null
+group by occ3, ind3""")
+def crosstab_codes(spark, sf_dir):
+    """Levels of both variables as they come in the data."""
+    return describe.crosstab_long(panel(spark, sf_dir), "occ3", "ind3")
+
+
+SQL_TENURE_BY_CODE = f"""
+with {SQL_PANEL}, coded as (select nullif(ind3, 0) as code, tenure from panel)"""
+
+
+def _tenure_by_code(spark, sf_dir):
+    return panel(spark, sf_dir).select(F.nullif("ind3", F.lit(0)).alias("code"), "tenure")
+
+
+@query("tenure_by_code", f"""{SQL_TENURE_BY_CODE}
+select code, {sql_rounded("avg(tenure)")} as mean_value,
+       {sql_rounded("quantile_cont(tenure, 0.5)")} as median_value, count(*) as n_rows
+from coded group by code""")
+def tenure_by_code(spark, sf_dir):
+    """A missing code is a group of its own."""
+    return describe.level_by_year(_tenure_by_code(spark, sf_dir), "tenure", "code").select(
+        "code", rounded("mean_value").alias("mean_value"),
+        rounded("median_value").alias("median_value"), "n_rows")
+
+
+@query("box_by_code", f"""{SQL_TENURE_BY_CODE},
+q as (select code, quantile_cont(tenure, 0.25) as q1, quantile_cont(tenure, 0.5) as median,
+             quantile_cont(tenure, 0.75) as q3 from coded where tenure is not null group by code),
+r as (select q.*, tenure, tenure between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as near
+      from coded c join q on q.code is not distinct from c.code where tenure is not null)
+select code, {sql_rounded("q1")} as q1, {sql_rounded("median")} as median, {sql_rounded("q3")} as q3,
+       min(tenure) filter (where near) as whisker_low,
+       max(tenure) filter (where near) as whisker_high,
+       count(*) filter (where not near) as outliers, count(*) as n
+from r group by r.code, r.q1, r.median, r.q3""")
+def box_by_code(spark, sf_dir):
+    box = describe.box_by_year(_tenure_by_code(spark, sf_dir), "tenure", "code")
+    return box.select("code", *[rounded(c).alias(c) for c in ("q1", "median", "q3")],
+                      "whisker_low", "whisker_high", "outliers", "n")
+
+
+@query("price_quantiles_by_ship_year", f"""
+with lines as (select year(l_shipdate)::int as year, l_extendedprice::double as price from lineitem)
+select year, {", ".join(f"{sql_rounded(f'quantile_cont(price, {p})')} as p{round(p * 100)}"
+                        for p in (0.01, 0.25, 0.5, 0.75, 0.99))}
+from lines group by year""")
+def price_quantiles_by_ship_year(spark, sf_dir):
+    """Every line of every order, large groups of nearly distinct values."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").alias("year"), F.col("l_extendedprice").cast("double").alias("price"))
+    points = [0.01, 0.25, 0.5, 0.75, 0.99]
+    q = describe.exact_percentiles(lines, "price", points)
+    return q.select("year", *[rounded(f"p{round(p * 100)}").alias(f"p{round(p * 100)}")
+                              for p in points])
+
+
 @query("spell_count_dist", f"""
 with {SQL_SPELLS},
 per_person as (select pid, case when count(*) = count(emp_spell) then max(emp_spell) end as most

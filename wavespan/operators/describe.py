@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import is_one_of, na_max
-from wavespan.session import as_dimension
+from wavespan.session import stored
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,12 +39,24 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str
     return df.unpivot(list(ids), list(values), name, value)
 
 
+def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """Two-way frequency table without missing values: a row for each pair of levels met."""
+    return df.dropna(subset=[rows, columns]).groupBy(rows, columns).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
-    """Two-way frequency table without missing values; ``values`` lists the column levels."""
-    kept = df.dropna(subset=[rows, columns])
-    return kept.groupBy(rows).agg(*[
-        F.count_if(F.col(columns) == v).alias(f"{columns}_{str(v).lower()}") for v in values
-    ])
+    """``crosstab_long`` with a column for each of ``values``, the levels of ``columns``.
+
+    A level that is not listed raises when the table is computed.
+    """
+    counts = crosstab_long(df, rows, columns)
+    stray = F.raise_error(F.concat(F.lit(f"{columns} has a level that is not listed: "),
+                                   F.col(columns).cast("string")))
+    n = F.when(F.col(columns).isin(list(values)), F.col("n")).otherwise(stray)
+    return counts.withColumn("n", n).groupBy(rows).agg(*[
+        F.coalesce(F.sum(F.when(F.col(columns) == v, F.col("n"))), F.lit(0)).alias(
+            f"{columns}_{str(v).lower()}") for v in values])
 
 
 def count_distribution(df: DataFrame, value: str, pid: str = "pid", out: str = "max_value"
@@ -70,93 +82,121 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,
     )
 
 
-def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
-                      by: Sequence[str] = ("year",), names: Sequence[str] | None = None,
-                      accuracy: int = 100_000) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group, for groups of any size.
+#: Bits of a value's key still to be told apart after each pass.
+SHIFTS = (48, 32, 16, 0)
+
 
-    The built-in exact percentile gathers every distinct value of a group in one task. Here a
-    first pass brackets each wanted rank with a sketch whose rank error is guaranteed. The second
-    pass keeps individual values only inside the brackets and counts the rows between them, so
-    what meets in one task is at most about ``10 / accuracy`` of a group per point, after equal
-    values have been combined. Groups smaller than ``accuracy`` are taken whole.
+def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Group columns, the value and a whole number in the order of the values, NULL with them.
 
-    The brackets, one row per group, are checkpointed: both passes, and any retry of a task, must
-    see the same ones. They are broadcast if their number proves small.
+    The bits of a double, read as a number, ascend with it if it is positive and descend if not.
     """
-    points = [float(p) for p in points]
-    names = list(names) if names is not None else [f"p{round(p * 100)}" for p in points]
-    by = list(by)
-    x = F.col("__x")
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
-    margin = 4.0 / accuracy
-    low = [max(p - margin, 0.0) for p in points]
-    high = [min(p + margin, 1.0) for p in points]
-
-    # one sketch serves all ranks: every further one would cost its own buffer per group and task
-    slots = range(len(points))
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(x, low + high, accuracy).alias("__at"))
-    small = F.col("__n") < accuracy
-
-    def bracket(i: int, whole_range: float) -> Column:
-        return F.when(small, F.lit(whole_range)).otherwise(F.col("__at")[i])
-
-    brackets = as_dimension(sketch.select(
-        *[F.col(b).alias(f"__by_{b}") for b in by], "__n",
-        *[bracket(i, float("-inf")).alias(f"__lo{i}") for i in slots],
-        *[bracket(len(points) + i, float("inf")).alias(f"__hi{i}") for i in slots]))
-
-    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by])
-    inside = reduce(Column.__or__, [x.between(F.col(f"__lo{i}"), F.col(f"__hi{i}")) for i in slots])
-    passed = [F.when(F.col(f"__hi{i}") < x, F.col(f"__hi{i}")) for i in slots]
-    below = F.greatest(*passed) if len(passed) > 1 else passed[0]
-    cells = (
-        rows.join(brackets, same)
-        .select(*by, "__n", F.when(inside, x).otherwise(below).alias("__cell"),
-                (~inside).alias("__between"))
-        .groupBy(*by, "__n", "__cell", "__between")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-    )
-    ordered = Window.partitionBy(*by).orderBy(F.asc_nulls_first("__cell"), "__between")
-    upto = F.sum("__rows").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = cells.withColumn("__upto", upto)
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("__upto") > rank, F.col("__cell")))
-
-    aggregates = []
-    for i, p in enumerate(points):
-        k = F.floor((F.col("__n") - 1) * F.lit(p))
-        aggregates += [at_rank(k).alias(f"__a{i}"), at_rank(k + 1).alias(f"__b{i}")]
-    result = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *aggregates)
+    x = F.col(value).cast("double") + 0.0     # one zero
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long")
+    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), bits).alias("__bits"))
+    key = F.when(F.col("__bits") < 0, F.col("__bits").bitwiseXOR(F.lit((1 << 63) - 1)))
+    return rows.select(*by, "__x", F.coalesce(key, "__bits").alias("__key"))
+
+
+def _from_key(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(key)
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def _same(columns: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns])
+
+
+def _beside(df: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Join on ``columns``, in which NULL equals NULL."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in columns})
+    return df.join(right, _same(columns)).drop(*[f"__r_{c}" for c in columns])
+
+
+def _quantiles(rows: DataFrame, points: Sequence[float], by: Sequence[str], names: Sequence[str]
+               ) -> DataFrame:
+    """Quantiles of stored rows of ``_keyed``."""
+    known = rows.filter(F.col("__key").isNotNull())
+    n = F.sum("__n").over(Window.partitionBy(*by))
+    targets = None
+    for shift in SHIFTS:
+        inside = F.lit(0).cast("long") if targets is None else F.shiftright("__key", last)
+        cells = known.withColumn("__in", inside)
+        if targets is not None:
+            cells = _beside(cells, stored(targets.select(*by, F.col("__part").alias("__in"))
+                                          .distinct()), [*by, "__in"])
+        # at most 65,536 cells for a group and prefix, combined where the rows lie
+        cells = cells.groupBy(*by, "__in", F.shiftright("__key", shift).alias("__part")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__low"),
+            F.max("__key").alias("__high"))
+        ordered = Window.partitionBy(*by, "__in").orderBy("__part")
+        cells = stored(cells.withColumn("__upto", F.sum("__n").over(ordered)))
+        if targets is None:
+            sizes = cells.groupBy(*by).agg(F.sum("__n").alias("__size"))
+            ranks = []
+            for p in points:
+                k = F.floor((F.col("__size") - 1) * F.lit(p))
+                ranks += [k, F.least(k + 1, F.col("__size") - 1)]
+            targets = sizes.select(*by, "__size", F.posexplode(F.array(*ranks)).alias(
+                "__slot", "__rank"), F.lit(0).cast("long").alias("__in"))
+        else:
+            targets = targets.select(*by, "__size", "__slot", "__rank",
+                                     F.col("__part").alias("__in"))
+        found = _beside(cells, targets, [*by, "__in"]).filter(
+            (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__n") <= F.col("__rank")))
+        targets = stored(found.select(
+            *by, "__size", "__slot", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"),
+            "__part", "__low", "__high"))
+        if not targets.filter("__low <> __high").limit(1).count():
+            break
+        last = shift
+    at = targets.groupBy(*by, "__size").agg(*[
+        F.max(F.when(F.col("__slot") == i, F.col("__low"))).alias(f"__{i}")
+        for i in range(2 * len(points))])
     interpolated = []
     for i, (p, name) in enumerate(zip(points, names)):
-        h = (F.col("__n") - 1) * F.lit(p)
+        h = (F.col("__size") - 1) * F.lit(p)
         part = h - F.floor(h)
-        a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
+        a, b = _from_key(F.col(f"__{2 * i}")), _from_key(F.col(f"__{2 * i + 1}"))
         interpolated.append(F.when(part == 0, a).otherwise(a + (b - a) * part).alias(name))
-    return result.select(*by, *interpolated)
+    return at.select(*by, *interpolated)
+
+
+def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
+                      by: Sequence[str] = ("year",), names: Sequence[str] | None = None
+                      ) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group, for groups of any size.
+
+    The input is evaluated once and kept as (group, value) rows. Each pass counts the rows of a
+    group by 16 further bits of an order-preserving key and narrows every wanted rank to one
+    prefix; counts combine where the rows lie, so no task meets more than 65,536 of them for a
+    group and prefix. Passes end when each prefix holds one value, after four at most. NULL is a
+    group like any other; groups without a value have no row.
+    """
+    points = [float(p) for p in points]
+    names = list(names) if names is not None else [f"p{round(p * 100)}" for p in points]
+    return _quantiles(stored(_keyed(df, value, list(by))), points, list(by), names)
 
 
 def level_by_year(df: DataFrame, value: str, year: str = "year") -> DataFrame:
     """Mean and median of the non-missing values and the number of rows, by wave."""
-    plain = df.groupBy(year).agg(F.avg(F.col(value).cast("double")).alias("mean_value"),
-                                 F.count(F.lit(1)).alias("n_rows"))
-    medians = exact_percentiles(df, value, [0.5], [year], ["median_value"])
-    return plain.join(medians, year, "left")
+    rows = stored(_keyed(df, value, [year]))
+    plain = rows.groupBy(year).agg(F.avg("__x").alias("mean_value"),
+                                   F.count(F.lit(1)).alias("n_rows"))
+    medians = _quantiles(rows, [0.5], [year], ["median_value"])
+    medians = medians.withColumnRenamed(year, "__year")
+    return plain.join(medians, F.col(year).eqNullSafe(F.col("__year")), "left").drop("__year")
 
 
 def box_by_year(df: DataFrame, value: str, year: str = "year", reach: float = 1.5) -> DataFrame:
     """Box statistics by wave: quartiles, whiskers within ``reach`` box lengths, outliers."""
-    quartiles = as_dimension(
-        exact_percentiles(df, value, [0.25, 0.5, 0.75], [year], ["q1", "median", "q3"]))
-    x = F.col(value).cast("double")
+    rows = stored(_keyed(df, value, [year]))
+    quartiles = stored(_quantiles(rows, [0.25, 0.5, 0.75], [year], ["q1", "median", "q3"]))
+    x = F.col("__x")
     span = (F.col("q3") - F.col("q1")) * F.lit(float(reach))
     near = (x >= F.col("q1") - span) & (x <= F.col("q3") + span)
     return (
-        df.filter(F.col(value).isNotNull()).select(year, value).join(quartiles, year)
+        _beside(rows.filter(x.isNotNull()), quartiles, [year])
         .groupBy(year, "q1", "median", "q3")
         .agg(F.min(F.when(near, x)).alias("whisker_low"), F.max(F.when(near, x)).alias("whisker_high"),
              F.count_if(~near).alias("outliers"), F.count(F.lit(1)).alias("n"))

@@ -12,19 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavespan.functions.na import known, to_number
+from wavespan.functions.na import to_number
 from wavespan.session import as_dimension
 
 
 def last_match(table: DataFrame, keys: Sequence[str], values: Sequence[str],
-               order: str = "ord") -> DataFrame:
-    """One row per key: the last distinct (key, values) row in file order.
+               order: str = "ord", distinct_on: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last row in file order after duplicates are removed.
 
-    Repeated rows count at their first position, as they do when duplicates are removed first.
-    A NULL in the winning row stays NULL.
+    Rows equal in ``keys``, ``values`` and the columns ``distinct_on`` are duplicates, and the
+    first of them stays. A column that is not shown can thus keep a later row apart, which then
+    wins. A NULL in the winning row stays NULL.
     """
-    distinct = table.filter(_all_present(keys)).groupBy(*keys, *values).agg(
-        F.min(order).alias("__ord"))
+    picked = list(dict.fromkeys([*keys, *values, *distinct_on]))
+    distinct = table.filter(_all_present(keys)).groupBy(*picked).agg(F.min(order).alias("__ord"))
     best = F.max_by(F.struct(*values), F.col("__ord")).alias("__best")
     return distinct.groupBy(*keys).agg(best).select(
         *keys, *[F.col(f"__best.{v}").alias(v) for v in values])
@@ -39,11 +40,13 @@ def _all_present(keys: Sequence[str]) -> Column:
 
 def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int, DataFrame, str]],
                     outputs: dict[str, str], year: str = "year", order: str = "ord",
-                    zero_is_missing: Sequence[str] = ()) -> DataFrame:
+                    zero_is_missing: Sequence[str] = (),
+                    distinct_on: Sequence[str] = ()) -> DataFrame:
     """Map codes of several classification eras to common ones.
 
     ``eras`` lists (first year, last year, crosswalk, key column); ``outputs`` maps output column
-    to crosswalk column. Years outside every era and codes without a match give NULL. The eras
+    to crosswalk column. Of repeated codes ``last_match`` takes one; ``distinct_on`` names further
+    crosswalk columns by which it tells duplicates. Years outside every era and codes without a match give NULL. The eras
     are stacked into one dimension keyed by (era, code), so the panel is joined once.
     """
     values = list(outputs.values())
@@ -51,8 +54,9 @@ def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int,
     era = F.lit(None).cast("int")
     for i, (lo, hi, table, key) in enumerate(eras):
         part = last_match(
-            table.select(to_number(key).alias("__code"), *values, order),
-            ["__code"], values, order).withColumn("__era", F.lit(i))
+            table.select(to_number(key).alias("__code"), F.col(key).alias("__text"),
+                         *dict.fromkeys([*values, *distinct_on]), order),
+            ["__code"], values, order, ["__text", *distinct_on]).withColumn("__era", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part)
         era = F.when(F.col(year).between(lo, hi), F.lit(i)).otherwise(era)
     renamed = as_dimension(stacked.select(
@@ -106,12 +110,3 @@ def code_difference(panel: DataFrame, codes: DataFrame, panel_code: str,
         .join(keys, panel_code, "left_anti").orderBy(panel_code)
     )
 
-
-def three_valued_filter(df: DataFrame, drop: Column) -> DataFrame:
-    """Keep the rows where ``drop`` is definitely FALSE; unknown rows go too."""
-    return df.filter(~drop)
-
-
-def keep_unless(df: DataFrame, drop: Column) -> DataFrame:
-    """Keep the rows where ``drop`` is FALSE or unknown."""
-    return df.filter(~known(drop))

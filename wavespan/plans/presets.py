@@ -130,9 +130,11 @@ def select_sample_long(panel: DataFrame, index: DataFrame, occupations: DataFram
     codes; few hours and no income remain flags.
 
     ``occupations`` has ``code_1970, code_2000, code_common, one_digit, ord`` and ``industries``
-    the same columns.
+    the same columns. A column ``code_detail`` of the occupations, if there is one, is not shown
+    but tells which of their rows are repeated.
     """
     literal = check_semantics(semantics)
+    detail = [c for c in occupations.columns if c == "code_detail"]
     df = recode.era_coalesce(panel, {
         "occ3": ("occ3_early", "occ3_late", 2003), "ind3": ("ind3_early", "ind3_late", 2003)},
         until=2017)
@@ -149,7 +151,7 @@ def select_sample_long(panel: DataFrame, index: DataFrame, occupations: DataFram
     df = recode.recode(df, [Recode("occ3", (0,)), Recode("ind3", (0,))])
     df = dims.harmonise_codes(
         df, "occ3", [(1968, 2001, occupations, "code_1970"), (2003, 2015, occupations, "code_2000")],
-        {"occ_common": "code_common", "occ_one_digit": "one_digit"})
+        {"occ_common": "code_common", "occ_one_digit": "one_digit"}, distinct_on=detail)
     farm_army = {"ever_farm_army": is_one_of("occ3" if literal else "occ_common", FARM_ARMY_LONG)}
     df = filters.exclude_persons(filters.person_flags(df, farm_army), ["ever_farm_army"])
     return dims.harmonise_codes(

@@ -10,9 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -87,14 +84,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def as_dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a derived lookup table and broadcast it only if it proves small.
+def as_dimension(df: DataFrame) -> DataFrame:
+    """Materialise a derived lookup table, so that Spark knows its size in bytes.
 
-    Spark estimates a derived table (an aggregate, say) by the size of its input, so it would
-    shuffle the big side on a handful of lookup keys. Counting the materialised rows settles it;
-    above ``max_rows`` the join is left to Spark's own choice and skew handling.
+    Spark estimates a derived table (an aggregate, say) by the size of its input and would shuffle
+    the big side on a handful of lookup keys. Of a stored one it knows the bytes: it broadcasts
+    what is under its own threshold and shuffles, with skew handling, beyond it.
     """
-    table = cut_lineage(df)
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(table)
-    return table
+    return stored(df)
