@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavespan.llm import ann, components, lm_score, neardup
@@ -110,6 +111,25 @@ def test_near_duplicates_of_odd_documents(docs, odd_docs):
     assert neardup.near_duplicates(docs()).count() == 0
 
 
+def test_shingles_of_slices_equal_those_of_whole_batches(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ça", "É", "Foo", "naïve", "A", "日本", "", "\t"])
+                      for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(texts)], names=["a", "b"])
+    want = [x.tolist() for x in neardup.shingle_sets(batch.column(1), 3)]
+    by_set = {}
+    for text, found in zip(texts, want, strict=True):
+        assert by_set.setdefault(shingles(text, 3), found) == found
+        assert len(found) == len(shingles(text, 3))
+    assert len({tuple(x) for x in by_set.values()}) == len(by_set)
+    for limit in (40, 500, 10**6):
+        monkeypatch.setattr(neardup, "SLICE_BYTES", limit)
+        parts = list(neardup.slices(batch))
+        assert sum(p.num_rows for p in parts) == 301
+        assert [x.tolist() for p in parts
+                for x in neardup.shingle_sets(p.column(1), 3)] == want
+
+
 def test_bands_and_densification():
     for percent in (80, 85, 95):
         rows = neardup.rows_per_band(percent)

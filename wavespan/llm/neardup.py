@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
 from wavespan.llm.components import components
 from wavespan.session import stored, unstore
 
@@ -34,6 +35,8 @@ SLACK_DEVIATIONS = 7
 #: Orders in which buckets choose their centres.
 CENTRES = 4
 TILE = 256
+#: Text whose shingles are held at once.
+SLICE_BYTES = 8 << 20
 
 SIGNATURES = ("doc_id bigint, n_shingles bigint, hi bigint, lo bigint, s1 bigint, s2 bigint, "
               "bands array<bigint>")
@@ -64,12 +67,13 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     shingle; no word, or no text, none.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(split.offsets)
     bounds = bounds - bounds[0]
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    of = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    # of bytes, lower() changes A-Z only
+    of = np.array([xxhash.xxh64_intdigest(w.encode().lower()) for w in words], dtype=np.uint64)
     real = np.array([bool(w) for w in words], dtype=bool)
     which = np.asarray(coded.indices)
     hashes, real = of[which], real[which]
@@ -110,7 +114,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     bands = BINS // rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = list(shingle_sets(batch.column(1), width))
             signs = np.zeros((len(sets), BINS), dtype=np.uint64)
             marks = np.zeros((len(sets), 2), dtype=np.int64)
@@ -132,18 +136,29 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                  pa.ListArray.from_arrays(offsets, pa.array(keys))],
                 names=[c.split()[0] for c in SIGNATURES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURES)
+    return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(sign, SIGNATURES)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts (column 1) are of about ``SLICE_BYTES``, whole texts each."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """node and its shingles, for a table of (node, text)."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, found in enumerate(shingle_sets(batch.column(1), width)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1),
-                     pa.array([found.view(np.int64)], pa.list_(pa.int64()))],
-                    names=["node", "shingles"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            sets = list(shingle_sets(batch.column(1), width))
+            cuts = np.cumsum([0, *map(len, sets)], dtype=np.int64).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
+                names=["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(expand, "node bigint, shingles array<bigint>")
 
@@ -169,10 +184,10 @@ def star_edges(members: DataFrame, percent: int) -> DataFrame:
     orders, the same in all buckets of an order, so that buckets of the same documents agree.
     """
     order = F.xxhash64("node", F.pmod("band", F.lit(CENTRES)))
-    centres = members.groupBy("band").agg(
+    centres = stored(members.groupBy("band").agg(
         F.min(F.struct(order.alias("o"), F.col("node").alias("centre"), F.col("n").alias("cn"),
                        F.col("s1").alias("c1"), F.col("s2").alias("c2"))).alias("c"),
-        F.count("*").alias("size")).where("size > 1").select("band", "c.*")
+        F.count("*").alias("size")).where("size > 1").select("band", "c.*"))
     pairs = members.join(centres, "band").where("node <> centre")
     return pairs.where(close("n", "cn", ("s1", "s2"), ("c1", "c2"), percent)).select(
         "centre", "node").distinct()
@@ -224,7 +239,7 @@ def tile_links(percent: int):
 
 
 def remaining_links(members: DataFrame, classes: DataFrame, labels: DataFrame,
-                    sets_of, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+                    sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that stars could not see: between members of one bucket that were not compared
     and are not connected yet.
 
@@ -244,7 +259,6 @@ def remaining_links(members: DataFrame, classes: DataFrame, labels: DataFrame,
     rows = stored(named.join(open_buckets, "band").select(
         "band", "node", "label", "n", "s1", "s2", (F.col("label") != F.col("major")).alias("minor"),
         F.ceil(F.col("size") / TILE).alias("rights"), F.ceil(F.col("minors") / TILE).alias("lefts")))
-    sets = sets_of(rows.select("node").distinct())
     full = rows.join(sets, "node").join(classes.select("node", "bands"), "node")
     place = F.xxhash64("node")
     right = full.select("*", F.explode(F.expr("sequence(0L, lefts - 1)")).alias("i"),
@@ -253,7 +267,7 @@ def remaining_links(members: DataFrame, classes: DataFrame, labels: DataFrame,
                                       F.explode(F.expr("sequence(0L, rights - 1)")).alias("j"))
     found = stored(left.unionByName(right).groupBy("band", "i", "j").applyInArrow(
         tile_links(percent), "a bigint, b bigint"))
-    return found, [open_buckets, rows, sets]
+    return found, [open_buckets, rows]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -275,22 +289,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = stored(members.join(shared.select("band"), "band"))
     edges = stored(star_edges(members, percent))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        return stored(full_sets(wanted.join(nodes, "node", "left_semi"), width))
-
-    ends = edges.select("node").union(edges.select("centre")).distinct()
-    sets = sets_of(ends)
+    # grows with the corpus, so never broadcast: the plan is the same at every size
+    nodes = members.select("node").distinct().hint("merge")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    sets = stored(full_sets(wanted.join(nodes, "node", "left_semi"), width))
     links = stored(
         edges.join(sets, "node").join(
             sets.select(F.col("node").alias("centre"), F.col("shingles").alias("other")), "centre")
         .where(similar(F.col("shingles"), F.col("other"), percent))
         .select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    unstore(sets, edges)
+    unstore(edges)
     labels = components(links)
-    more, used = remaining_links(members, classes, labels, sets_of, percent)
+    more, used = remaining_links(members, classes, labels, sets, percent)
     labels = components(links.unionByName(more))
-    unstore(*used, members)
+    unstore(*used, members, sets)
     named = rows.join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left").join(
         labels, "node", "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
