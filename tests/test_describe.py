@@ -21,10 +21,9 @@ def sample(spark):
     return spark.createDataFrame(rows, "pid int, year int, x double, z double, g string").cache()
 
 
-@pytest.mark.parametrize("accuracy", [50, 400, 100_000])
-def test_exact_percentiles(sample, accuracy):
+def test_exact_percentiles(sample):
     points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = describe.exact_percentiles(sample, "x", points, names=list("abcdefg"), accuracy=accuracy)
+    out = describe.exact_percentiles(sample, "x", points, names=list("abcdefg"))
     pdf = sample.toPandas()
     for row in out.collect():
         data = pdf.x[pdf.year == row["year"]].dropna()
@@ -38,6 +37,29 @@ def test_exact_percentiles_null_group_and_single_row(frame):
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 5.0), (N, 1.5)]
 
 
+def test_exact_percentiles_of_values_of_all_sizes(frame):
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.normal(size=300), 10.0 ** rng.uniform(-320, 308, 200),
+                           -(10.0 ** rng.uniform(-320, 308, 200)), [0.0, -0.0, 5e-324, -5e-324],
+                           1 + np.arange(40) * 2.0 ** -52])
+    df = frame("year int, x double", [(1, float(x)) for x in data])
+    points = [0.0, 0.01, 0.3, 0.5, 0.51, 0.77, 0.999, 1.0]
+    row = describe.exact_percentiles(df, "x", points, names=list("abcdefgh")).first()
+    ordered = np.sort(data)
+    for p, got in zip(points, row[1:]):
+        h = (len(data) - 1) * p
+        a, b = ordered[int(h)], ordered[min(int(h) + 1, len(data) - 1)]
+        assert np.isclose(got, a + (b - a) * (h - int(h)), rtol=1e-9, atol=0)
+
+
+def test_missing_group_has_its_own_box_and_level(frame):
+    df = frame("year int, x double", [(N, 1.0), (N, 2.0), (1, 5.0)])
+    box = {r["year"]: (r["q1"], r["median"], r["n"]) for r in describe.box_by_year(df, "x").collect()}
+    assert box == {N: (1.25, 1.5, 2), 1: (5.0, 5.0, 1)}
+    level = {r["year"]: r["median_value"] for r in describe.level_by_year(df, "x").collect()}
+    assert level == {N: 1.5, 1: 5.0}
+
+
 def test_box(sample):
     pdf = sample.toPandas()
     for row in describe.box_by_year(sample, "x").collect():
@@ -71,6 +93,10 @@ def test_shares_long_and_crosstab(frame):
     assert long.columns == ["year", "variable", "value"] and long.count() == 4
     table = describe.crosstab(df, "f", "g", [False, True])
     assert values(table, "f", "g_false", "g_true", order=["f"]) == [(False, 1, 0), (True, 1, 1)]
+    pairs = describe.crosstab_long(df, "f", "g").collect()
+    assert sorted(map(tuple, pairs)) == [(False, False, 1), (True, False, 1), (True, True, 1)]
+    with pytest.raises(Exception, match="not listed"):
+        describe.crosstab(df, "f", "g", [True]).collect()
 
 
 def test_distributions(frame):
@@ -130,3 +156,27 @@ def test_aliased_regressors_have_no_coefficient(sample):
     for term, row in plain.items():
         for c in ("estimate", "std_error", "p_value", "dof", "r2"):
             assert np.isclose(out[term][c], row[c], rtol=1e-8, atol=1e-12)
+
+
+def test_regressions_without_freedom_or_rows(frame):
+    df = frame("g string, y double, x double", [("a", 1.0, 1.0), ("a", 3.0, 2.0), ("b", N, 3.0)])
+    for fit in (regress.ols(df, "y", ["x"]), regress.within_ols(df, "y", ["x"], "g")):
+        row = {r["term"]: r for r in fit.collect()}["x"]
+        assert np.isclose(row["estimate"], 2.0) and row["dof"] == 0 and row["std_error"] is None
+    for fit in (regress.ols(df.limit(0), "y", ["x"], ["g"]),
+                regress.within_ols(df.limit(0), "y", ["x"], "g")):
+        assert [(r["term"], r["estimate"], r["n"]) for r in fit.collect()] == [("x", N, 0)]
+
+
+def test_absorbed_regression_leaves_out_explained_terms(sample):
+    df = sample.withColumn("x2", 2 * F.col("x")).withColumn("y", F.col("x") + F.hash("pid") / 2e9)
+    out = {r["term"]: r for r in regress.within_ols(df, "y", ["x", "x2", "z"], "year").collect()}
+    plain = {r["term"]: r for r in regress.within_ols(df, "y", ["x", "z"], "year").collect()}
+    assert out["x2"]["estimate"] is None
+    assert np.isclose(out["x"]["estimate"], plain["x"]["estimate"])
+
+
+def test_too_many_levels_raise(spark):
+    df = spark.range(2100).select(F.col("id").alias("g"), F.rand(1).alias("y"), F.rand(2).alias("x"))
+    with pytest.raises(ValueError, match="levels"):
+        regress.ols(df, "y", ["x"], ["g"])

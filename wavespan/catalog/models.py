@@ -83,6 +83,17 @@ def ols_absorbed(spark, sf_dir):
                                      "year"))
 
 
+@query("ols_absorbed_collinear", f"""
+with {SQL_LINES},
+doubled as (select *, quantity * 2 + 1 as twice from lines),{two_regressor_sql("doubled", "log_price", "quantity", "discount", "year")}
+union all
+select 'twice', null, null, null, max(n), max(dof), {sql_rounded("max(1 - rss / total)")} from scaled""")
+def ols_absorbed_collinear(spark, sf_dir):
+    """A regressor that an earlier one explains has no coefficient."""
+    lines = _lines(spark, sf_dir).withColumn("twice", F.col("quantity") * 2 + 1)
+    return _shown(regress.within_ols(lines, "log_price", ["quantity", "twice", "discount"], "year"))
+
+
 @query("ols_full", f"""
 with {SQL_PANEL},
 rows_ as (select *, ln(wage) as log_wage from panel where wage > 0),
@@ -170,6 +181,33 @@ def gls_instruments(spark, sf_dir):
     return _shown(fit.filter(F.col("term").startswith("instr_")))
 
 
+@query("gls_all_terms", f"""
+with {SQL_SPELLS},
+deviations as (
+    select *, case when count(*) filter (where tenure is null) over w = 0
+                   then tenure - avg(tenure) over w end as instr_tenure,
+           hours - avg(hours) over (partition by pid) as instr_hours
+    from spells window w as (partition by pid, emp_spell)),
+{least_squares_sql("deviations", "ln(wage)", {
+    "(Intercept)": "1", "instr_tenure": "instr_tenure", "instr_hours": "instr_hours",
+    **dummies_sql("year", range(1995, 2002))})}""")
+def gls_all_terms(spark, sf_dir):
+    """As ``gls_instruments``, with the intercept and the wave dummies."""
+    df = recode.log_positive(spelled_panel(spark, sf_dir), "wage", "log_wage")
+    df = exposure.demean(df, {"instr_tenure": ("tenure", 1, 1)})
+    df = exposure.demean(df, {"instr_hours": ("hours", 1, 1)}, by=["pid"])
+    return _fit(regress.ols(df, "log_wage", ["instr_tenure", "instr_hours"], ["year"]))
+
+
+@query("ols_full_all_terms", f"""
+with {SQL_PANEL},
+{least_squares_sql("panel", "case when wage > 0 then ln(wage) end", {
+    "(Intercept)": "1", "tenure": "tenure", "age": "age", **dummies_sql("year", range(1995, 2002))})}""")
+def ols_full_all_terms(spark, sf_dir):
+    df = recode.log_positive(panel(spark, sf_dir), "wage", "log_wage")
+    return _fit(regress.ols(df, "log_wage", ["tenure", "age"], ["year"]))
+
+
 # --- end to end ------------------------------------------------------------------------------
 
 PRESET = replace(presets.SHORT, accrual=((1982, 2015),), model_years=(1995, 2001),

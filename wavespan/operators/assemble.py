@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavespan.functions.na import to_number
 from wavespan.operators import filters
 from wavespan.operators.recode import normalise_case, person_id
 from wavespan.sources.keys import HOUSEHOLD_ID, PERSON_NUMBER, WEALTH_KEYS, key_variables
@@ -32,19 +33,60 @@ def union_waves(waves: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), waves)
 
 
+def common_type(kinds: Sequence[str]) -> str:
+    """The type of a variable over all waves: of mixed ones the widest number, or text."""
+    kinds = set(kinds)
+    if len(kinds) <= 1:
+        return next(iter(kinds), "double")
+    if kinds <= {"tinyint", "smallint", "int", "bigint"}:
+        return "bigint"
+    if all(k in NUMBERS or k.startswith("decimal") for k in kinds):
+        return "double"
+    return "string"
+
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def output_types(waves: Mapping[int, DataFrame], request: Request,
+                 types: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Type of each requested variable: the one asked for, or that of its sources."""
+    found: dict[str, list[str]] = {}
+    for year, names in request.items():
+        kinds = {c.lower(): kind for c, kind in waves[year].dtypes}
+        for out, raw in names.items():
+            if raw is not None:
+                found.setdefault(out, []).append(kinds[raw.lower()])
+    return {out: (types or {}).get(out) or common_type(found.get(out, []))
+            for out in _outputs(request)}
+
+
+def converted(source: Column, kind: str, to: str) -> Column:
+    """``source``, of type ``kind``, as ``to``; text that is no number becomes NULL."""
+    if kind == "string" and (to in NUMBERS or to == "long"):
+        return to_number(source, to)
+    return source.cast(to)
+
+
 def harmonise_wave(wave: DataFrame, year: int, names: Mapping[str, str | None], key: str,
                    outputs: Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
-    """Select and rename one wave's variables; requested but absent ones become NULL."""
+    """Select and rename one wave's variables; requested but absent ones become NULL.
+
+    A variable keeps the type of its source unless ``types`` asks for another.
+    """
     lower = normalise_case(wave, upper=False)
-    types = types or {}
+    kinds, types = dict(lower.dtypes), types or {}
     columns = []
     for out in outputs:
         raw = names.get(out)
-        kind = types.get(out, "double")
-        source = F.lit(None) if raw is None else F.col(raw.lower())
-        columns.append(source.cast(kind).alias(out))
-    return lower.select(F.lit(year).alias("year"), F.col(key.lower()).cast("long").alias("interview"),
-                        *columns)
+        if raw is None:
+            column = F.lit(None).cast(types.get(out, "double"))
+        else:
+            kind = kinds[raw.lower()]
+            column = converted(F.col(raw.lower()), kind, types.get(out, kind))
+        columns.append(column.alias(out))
+    interview = converted(F.col(key.lower()), kinds[key.lower()], "long")
+    return lower.select(F.lit(year).alias("year"), interview.alias("interview"), *columns)
 
 
 def household_waves(family: Mapping[int, DataFrame], request: Request,
@@ -52,9 +94,11 @@ def household_waves(family: Mapping[int, DataFrame], request: Request,
                     types: Mapping[str, str] | None = None) -> DataFrame:
     """All household waves in one long table, without the households that did not respond.
 
-    A household that did not respond has no value in the wave's first requested variable.
+    A household that did not respond has no value in the first requested variable, in the order
+    of the request, that its wave has.
     """
     outputs = _outputs(request)
+    types = output_types(family, request, types)
     waves = []
     for year, names in request.items():
         key = keys[year] if keys else key_variables(year).family_interview
@@ -73,13 +117,14 @@ def person_waves(index: DataFrame, years: Sequence[int], request: Request | None
     and are left out before anything is shuffled.
     """
     index = normalise_case(index, upper=True)
-    request = request or {}
-    outputs = _outputs(request)
-    types = types or {}
+    request = {y: n for y, n in (request or {}).items() if y in years}
+    outputs, kinds = _outputs(request), dict(index.dtypes)
+    types = output_types({y: index for y in request}, request, types)
 
     def cell(raw: str | None, kind: str, name: str) -> Column:
-        source = F.lit(None) if raw is None else F.col(raw.upper())
-        return source.cast(kind).alias(name)
+        if raw is None:
+            return F.lit(None).cast(kind).alias(name)
+        return converted(F.col(raw.upper()), kinds[raw.upper()], kind).alias(name)
 
     waves = []
     for year in years:
@@ -90,11 +135,11 @@ def person_waves(index: DataFrame, years: Sequence[int], request: Request | None
             cell(key.interview, "long", "interview"),
             cell(key.sequence, "int", "sequence"),
             cell(key.relation, "int", "relation"),
-            *[cell(names.get(out), types.get(out, "double"), out) for out in outputs],
+            *[cell(names.get(out), types[out], out) for out in outputs],
         ))
     base = filters.subsample(
-        index.withColumns({"id1968": F.col(HOUSEHOLD_ID).cast("long"),
-                           "pernum": F.col(PERSON_NUMBER).cast("long")}), sample)
+        index.withColumns({out: converted(F.col(c), kinds[c], "long") for out, c in (
+            ("id1968", HOUSEHOLD_ID), ("pernum", PERSON_NUMBER))}), sample)
     long = base.select("id1968", "pernum", F.inline(F.array(*waves)))
     present = long.filter(F.col("interview") != 0)
     return person_id(filters.heads(present, heads))
@@ -106,8 +151,10 @@ def wealth_waves(wealth: Mapping[int, DataFrame], request: Request,
     """Supplement waves in one long table; only the years that have one."""
     keys = keys or WEALTH_KEYS
     outputs = _outputs(request)
+    request = {y: names for y, names in request.items() if y in wealth}
+    types = output_types(wealth, request, types)
     waves = [harmonise_wave(wealth[y], y, names, keys[y], outputs, types)
-             for y, names in request.items() if y in wealth]
+             for y, names in request.items()]
     return union_waves(waves) if waves else None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,53 +11,55 @@ from wavespan.operators.assemble import Request
 from wavespan.sources import files
 from wavespan.sources.keys import WAVES
 
-# One raw variable of the survey per series, from which a crosswalk finds the
-# variable of every other wave. Columns: series, head's variable, spouse's variable ("-": none).
-ROLE_SERIES = """
-    modality_early      V198     V6592
-    hours               V47      V53
-    week_hours_all      ER4093   ER4104
-    week_hours_main     V225     V245
-    wage_main           V1297    V6616
-    wage                V337     V338
-    union_covered       V4478    V4861
-    union_belongs       V4479    V4862
-    union_member        V294     -
-    government_early    V3971    V4845
-    occ3_late           ER21145  ER21395
-    occ3_job1           ER21201  ER21451
-    occ3_job2           ER21233  ER21483
-    occ3_job3           ER21265  ER21515
-    ind3_late           ER21146  ER21396
-    ind3_job1           ER21202  ER21452
-    ind3_job2           ER21234  ER21484
-    ind3_job3           ER21266  ER21516
-    modality_late       ER21147  ER21397
-    modality_job1       ER21203  ER21453
-    modality_job2       ER21235  ER21485
-    modality_job3       ER21267  ER21517
-    week_hours_late     ER21176  ER21426
-    week_hours_job1     ER21208  ER21458
-    week_hours_job2     ER21240  ER21490
-    week_hours_job3     ER21272  ER21522
-    government_late     ER21149  ER21399
-    grades_role         V313     V246
-    work_exp            V3620    V3610
-    work_exp_full_time  V3621    V3611
-"""
-# Spliced series: series, first year, last year, head's variable, spouse's variable.
-SPLICED_SERIES = """
-    occ3_early   1968  1980  V197_A   V243_A
-    occ3_early   1981  2017  V7712    V7885
-    ind3_early   1968  1980  V197_B   V243_B
-    ind3_early   1981  2017  V7713    V7886
-    emp_status   1968  1996  ER2068   V4841
-    emp_status   1997  2017  ER25104  ER25362
-    tenure       1968  1993  V200     -
-    tenure       1969  1975  V642     -
-    tenure       1994  2017  ER2098   -
-"""
-HOUSEHOLD_SERIES = {"region": "ER6997E", "race": "V181"}
+FIRST, LAST = WAVES[0], WAVES[-1]
+# Fixed values, in declared order: a household that did not respond is told by the first of these
+# variables that a wave has. Series, first and last year, one raw variable of the head's and the
+# spouse's series, from which a crosswalk finds those of all other waves. Later rows of a series
+# take precedence.
+SERIES = [
+    ("occ3_early", 1968, 1980, "V197_A", "V243_A"),
+    ("occ3_early", 1981, 2017, "V7712", "V7885"),
+    ("ind3_early", 1968, 1980, "V197_B", "V243_B"),
+    ("ind3_early", 1981, 2017, "V7713", "V7886"),
+    ("modality_early", 1968, 2017, "V198", "V6592"),
+    ("hours", 1968, 2017, "V47", "V53"),
+    ("week_hours_all", 1968, 2017, "ER4093", "ER4104"),
+    ("occ3_late", 1968, 2017, "ER21145", "ER21395"),
+    ("occ3_job1", 1968, 2017, "ER21201", "ER21451"),
+    ("occ3_job2", 1968, 2017, "ER21233", "ER21483"),
+    ("occ3_job3", 1968, 2017, "ER21265", "ER21515"),
+    ("ind3_late", 1968, 2017, "ER21146", "ER21396"),
+    ("ind3_job1", 1968, 2017, "ER21202", "ER21452"),
+    ("ind3_job2", 1968, 2017, "ER21234", "ER21484"),
+    ("ind3_job3", 1968, 2017, "ER21266", "ER21516"),
+    ("modality_late", 1968, 2017, "ER21147", "ER21397"),
+    ("modality_job1", 1968, 2017, "ER21203", "ER21453"),
+    ("modality_job2", 1968, 2017, "ER21235", "ER21485"),
+    ("modality_job3", 1968, 2017, "ER21267", "ER21517"),
+    ("week_hours_late", 1968, 2017, "ER21176", "ER21426"),
+    ("week_hours_job1", 1968, 2017, "ER21208", "ER21458"),
+    ("week_hours_job2", 1968, 2017, "ER21240", "ER21490"),
+    ("week_hours_job3", 1968, 2017, "ER21272", "ER21522"),
+    ("week_hours_main", 1968, 2017, "V225", "V245"),
+    ("wage_main", 1968, 2017, "V1297", "V6616"),
+    ("union_covered", 1968, 2017, "V4478", "V4861"),
+    ("union_belongs", 1968, 2017, "V4479", "V4862"),
+    ("union_member", 1968, 2017, "V294", None),
+    ("government_early", 1968, 2017, "V3971", "V4845"),
+    ("government_late", 1968, 2017, "ER21149", "ER21399"),
+    ("grades_role", 1968, 2017, "V313", "V246"),
+    ("emp_status", 1968, 1996, "ER2068", "V4841"),
+    ("emp_status", 1997, 2017, "ER25104", "ER25362"),
+    ("wage", 1968, 2017, "V337", "V338"),
+    ("tenure", 1968, 1993, "V200", None),
+    ("tenure", 1969, 1975, "V642", None),
+    ("tenure", 1994, 2017, "ER2098", None),
+    ("region", 1968, 2017, "ER6997E", None),
+    ("race", 1968, 2017, "V181", None),
+    ("work_exp", 1968, 2017, "V3620", "V3610"),
+    ("work_exp_full_time", 1968, 2017, "V3621", "V3611"),
+]
+HOUSEHOLD_SERIES = ("region", "race")   # of the household, not of head or spouse
 PERSON_SERIES = {"grades": "ER30010", "age": "ER30004", "married": "ER30005"}
 SEX_VARIABLE = "ER32000"        # one variable for all waves
 SPOUSE_CODES = (20, 22)
@@ -71,24 +73,18 @@ SHORT_NAMES = {"occ3": "occ3_early", "ind3": "ind3_early", "modality": "modality
 Row = tuple[str, str, int, int, int]
 
 
-def _lines(text: str) -> list[list[str]]:
-    return [line.split() for line in text.strip().splitlines()]
-
-
-def _role_rows() -> list[Row]:
-    first, last = WAVES[0], WAVES[-1]
-    spans = [(s, first, last, h, p) for s, h, p in _lines(ROLE_SERIES)]
-    spans += [(s, int(lo), int(hi), h, p) for s, lo, hi, h, p in _lines(SPLICED_SERIES)]
+def household_rows() -> list[Row]:
     rows = []
-    for step, (series, lo, hi, *seeds) in enumerate(spans):
+    for step, (series, first, last, *seeds) in enumerate(SERIES):
         for role, seed in zip(("head", "spouse"), seeds):
-            if seed != "-":
-                rows.append((f"{series}_{role}", seed, lo, hi, step))
+            if seed is not None:
+                name = series if series in HOUSEHOLD_SERIES else f"{series}_{role}"
+                rows.append((name, seed, first, last, step))
     return rows
 
 
-def _plain_rows(series: Mapping[str, str]) -> list[Row]:
-    return [(name, seed, WAVES[0], WAVES[-1], 0) for name, seed in series.items()]
+def person_rows() -> list[Row]:
+    return [(name, seed, FIRST, LAST, 0) for name, seed in PERSON_SERIES.items()]
 
 
 def specification(spark: SparkSession, rows: Sequence[Row]) -> DataFrame:
@@ -96,11 +92,11 @@ def specification(spark: SparkSession, rows: Sequence[Row]) -> DataFrame:
 
 
 def household_specification(spark: SparkSession) -> DataFrame:
-    return specification(spark, [*_plain_rows(HOUSEHOLD_SERIES), *_role_rows()])
+    return specification(spark, household_rows())
 
 
 def person_specification(spark: SparkSession) -> DataFrame:
-    return specification(spark, _plain_rows(PERSON_SERIES))
+    return specification(spark, person_rows())
 
 
 def _complete(request: Request, years: Sequence[int], names: Sequence[str]) -> dict:
@@ -113,7 +109,7 @@ def declared_requests(crosswalk: DataFrame, years: Sequence[int] = tuple(WAVES)
     """Household and person requests of the declared series, resolved with a crosswalk."""
     spark = crosswalk.sparkSession
     results = []
-    for rows in ([*_plain_rows(HOUSEHOLD_SERIES), *_role_rows()], _plain_rows(PERSON_SERIES)):
+    for rows in (household_rows(), person_rows()):
         found = assemble.spliced_series(specification(spark, rows), crosswalk)
         names = list(dict.fromkeys(r[0] for r in rows))
         results.append(_complete(assemble.request_from_long(found), years, names))
@@ -130,8 +126,7 @@ def role_pairs(semantics: str = INTENDED) -> dict[str, tuple[str, str]]:
     the second and third one.
     """
     literal = check_semantics(semantics)
-    names = [r[0] for r in _lines(ROLE_SERIES) if r[2] != "-" and r[0] not in NOT_COLLAPSED]
-    names += list(dict.fromkeys(r[0] for r in _lines(SPLICED_SERIES) if r[4] != "-"))
+    names = dict.fromkeys(r[0] for r in SERIES if r[4] is not None and r[0] not in NOT_COLLAPSED)
     pairs = {n: (f"{n}_head", f"{n}_spouse") for n in names}
     if literal:
         for stem in ("ind3", "week_hours"):
