@@ -24,7 +24,9 @@ HEADLINE = [
     "harmonise_codes", "code_right_join", "deflate_by_index", "build_panel_balanced",
     "wealth_left_join", "tenure_by_year", "box_by_year", "descriptive_table", "design_balanced",
     "select_sample", "ols_within_year", "ols_absorbed", "fixed_width_ingest",
-    "synthetic_second_wave", "careers_end_to_end",
+    "careers_end_to_end", "wage_quantiles_by_year", "events_value_box",
+    "price_quantiles_by_ship_year", "ols_dummies", "careers_wage_model", "careers_long",
+    "landed_panel",
 ]
 
 

@@ -1,12 +1,13 @@
 """Panel assembly, sources and formats."""
 
 import pytest
+import synthetic
 from conftest import values
 from pyspark.sql import functions as F
 
 from wavespan.operators import assemble, filters
 from wavespan.plans import series
-from wavespan.sources import files, fixed_width, keys, synthetic
+from wavespan.sources import files, fixed_width, keys
 from wavespan.sources.fixed_width import Field
 
 N = None

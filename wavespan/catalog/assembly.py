@@ -1,4 +1,4 @@
-"""Panel assembly from waves, variable crosswalks, file formats, synthetic waves.
+"""Panel assembly from waves, variable crosswalks, fixed-width text.
 
 Customers are households, orders are persons of the cross-wave index, suppliers carry the wealth
 supplement; raw variable names differ by wave as they do in the survey.
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wavespan.catalog.adapter import rounded, sql_rounded, table
 from wavespan.catalog.registry import query
 from wavespan.operators import assemble
-from wavespan.sources import fixed_width, synthetic
+from wavespan.sources import fixed_width
 from wavespan.sources.fixed_width import Field
 
 FAMILY_REQUEST = {
@@ -152,7 +152,10 @@ def union_waves(spark, sf_dir):
 
     def wave(y):
         value = ("o_totalprice", "income") if y % 2 else ("o_orderstatus", "status")
-        return orders.filter(F.year("o_orderdate") == y).select(
+        # a range of dates, which a scan can hold against its row groups
+        dates = F.col("o_orderdate").between(F.lit(f"{y}-01-01").cast("date"),
+                                             F.lit(f"{y}-12-31").cast("date"))
+        return orders.filter(dates).select(
             F.col("o_custkey").alias("pid"), F.lit(y).alias("year"), F.col(value[0]).alias(value[1]))
 
     return assemble.union_waves([wave(y) for y in range(1995, 2002)])
@@ -255,95 +258,45 @@ def fixed_width_ingest(spark, sf_dir):
     return fixed_width.parse_fixed_width(lines, LAYOUT)
 
 
-def _draw(stream: str, person: str = "person", seed: int = 7) -> str:
-    word = f"('0x' || substr(md5('{seed}|{stream}|' || {person}), 1, 8))::ubigint"
-    return f"(({word} + 0.5::double) / 4294967296)"
-
-
-def _normal(stream: str) -> str:
-    return f"(sqrt(-2 * ln({_draw(stream + 'a')})) * cos(2 * pi() * {_draw(stream + 'b')}))"
-
-
-SQL_SYNTHETIC = f"""
-people as (select c_custkey as person from customer),
-drawn as (
-    select *, person % 2 = case when {_draw("absent", "(person // 2)")} < 0.5 then 0 else 1 end
-                  as absent,
-           {_draw("lost")} < 0.2 as drop_out from people),
-idx as (
-    select person, (person % 4 + 1)::int as smpls,
-           case person % 4 when 0 then 1 when 1 then 3001 when 2 then 5001 else 7001 end as lo,
-           case person % 4 when 0 then 2999 when 1 then 4999 when 2 then 6999 else 9308 end as hi,
-           case when absent then 0 else person + 1 end as i85,
-           case when not absent and drop_out then 0 else person + 1 end as i86 from drawn),
-first_wave as (
-    select person, i85, exp(10 + {_normal("money1")}) as money,
-           (20 + floor({_draw("age1")} * 61))::int as age from idx where i85 > 0)"""
-
-
-def _synthetic(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
-    return synthetic.synthetic_panel(people, seed=7, attrition=0.2)
-
-
-@query("synthetic_index", f"""
-with {SQL_SYNTHETIC}
-select smpls, (lo + floor({_draw("household")} * (hi - lo + 1)))::int as "ER30001",
-       person + 1 as "ER30002", i85 as "ER30463", i86 as "ER30498",
-       case when {_draw("place1")} < 0.75 then 1 else 20 end as "ER30464",
-       case when {_draw("role2")} < 0.5 then 10 else 20 end as "ER30500",
-       {sql_rounded(_draw("weight1"))} as "ER30497"
-from idx""")
-def synthetic_index(spark, sf_dir):
-    index, _, _ = _synthetic(spark, sf_dir)
-    return index.select("smpls", "ER30001", "ER30002", "ER30463", "ER30498", "ER30464", "ER30500",
-                        rounded("ER30497").alias("ER30497"))
-
-
-@query("synthetic_second_wave", f"""
-with {SQL_SYNTHETIC}
-select i86 as "V12502",
-       {sql_rounded(f"coalesce(f.money + 500 + 30 * {_normal('raise').replace('person', 'i.person')}, exp(10 + {_normal('money2').replace('person', 'i.person')}))", 3)}
-           as "Money86",
-       coalesce(f.age + 1, (20 + floor({_draw("age2", "i.person")} * 61))::int) as age86
-from idx i left join first_wave f on f.person = i.person where i86 > 0""")
-def synthetic_second_wave(spark, sf_dir):
-    _, _, second = _synthetic(spark, sf_dir)
-    return second.select("V12502", rounded("Money86", 3).alias("Money86"), "age86")
-
-
-@query("synthetic_panel", f"""
-with {SQL_SYNTHETIC},
-second_wave as (
-    select i.person, i86, coalesce(f.age + 1, (20 + floor({_draw("age2", "i.person")} * 61))::int) as age,
-           coalesce(f.money + 500 + 30 * {_normal('raise').replace('person', 'i.person')},
-                    exp(10 + {_normal('money2').replace('person', 'i.person')})) as money
-    from idx i left join first_wave f on f.person = i.person where i86 > 0),
-members as (
-    select (lo + floor({_draw("household")} * (hi - lo + 1)))::bigint as id1968, person + 1 as pernum,
-           i85, i86, case when {_draw("role1")} < 0.5 then 10 else 20 end as role1,
-           case when {_draw("role2")} < 0.5 then 10 else 20 end as role2,
-           case when {_draw("place1")} < 0.75 then 1 else 20 end as place1,
-           case when {_draw("place2")} < 0.75 then 1 else 20 end as place2,
-           {_draw("weight1")} as weight1, {_draw("weight2")} as weight2 from idx),
-both_waves as (
-    select 1985 as year, m.i85 as interview, w.money, w.age, id1968, pernum, place1 as sequence,
-           role1 as relation, weight1 as weight
-    from members m join first_wave w on w.i85 = m.i85 where role1 = 10
+SQL_ANSWERS = """
+answers as (
+    select 1994 as year, c_custkey as k, case when c_custkey % 3 = 0 then 'A' || c_custkey
+           else ' ' || c_custkey || ' ' end as raw, c_nationkey::bigint * 9007199254740993 as big
+    from customer
     union all
-    select 1986, m.i86, w.money, w.age, id1968, pernum, place2, role2, weight2
-    from members m join second_wave w on w.i86 = m.i86 where role2 = 10)
-select year, interview, age::double as age, id1968, pernum, sequence, relation,
-       id1968 * 1000 + pernum as pid, {sql_rounded("money", 3)} as money,
-       {sql_rounded("weight")} as weight
-from (select *, count(*) over (partition by id1968 * 1000 + pernum) as n from both_waves)
-where n = 2""")
-def synthetic_panel(spark, sf_dir):
-    """The synthetic waves assembled again, heads only."""
-    index, first, second = _synthetic(spark, sf_dir)
-    return assemble.build_panel(
-        {1985: first, 1986: second}, index,
-        {1985: {"money": "Money85", "age": "age85"}, 1986: {"money": "Money86", "age": "age86"}},
-        {1985: {"weight": "ER30497"}, 1986: {"weight": "ER30534"}}, heads="any", design="balanced"
-    ).select("year", "interview", "age", "id1968", "pernum", "sequence", "relation", "pid",
-             rounded("money", 3).alias("money"), rounded("weight").alias("weight"))
+    select 1996, c_custkey, case when c_custkey % 5 = 0 then null else c_custkey::varchar end,
+           c_nationkey::bigint * 9007199254740993 from customer)"""
+
+
+@query("text_variables", f"""
+with {SQL_ANSWERS}
+select year, k as interview, try_cast(trim(raw) as double) as answer, big
+from answers where try_cast(trim(raw) as double) is not null""")
+def text_variables(spark, sf_dir):
+    """Raw text that is no number is missing; whole numbers keep all digits; the first variable of
+    the request tells who did not respond."""
+    customers = table(spark, sf_dir, "customer")
+    k, big = F.col("c_custkey"), F.col("c_nationkey").cast("long") * 9007199254740993
+    early = F.when(k % 3 == 0, F.concat(F.lit("A"), k)).otherwise(
+        F.concat(F.lit(" "), k, F.lit(" ")))
+    waves = {1994: customers.select(k.alias("ER2002"), early.alias("ER1"), big.alias("ER2")),
+             1996: customers.select(k.alias("ER7002"), F.when(k % 5 != 0, k.cast("string")).alias(
+                 "ER1"), big.alias("ER2"))}
+    request = {y: {"answer": "ER1", "big": "ER2"} for y in waves}
+    return assemble.household_waves(waves, request, types={"answer": "double"})
+
+
+@query("first_variable_absent", """
+select 1994 as year, c_custkey as interview, c_acctbal as money, c_nationkey as area
+from customer where c_acctbal >= 0
+union all select 1995, c_custkey, null, c_nationkey from customer where c_nationkey < 20""")
+def first_variable_absent(spark, sf_dir):
+    """Where a wave lacks the first variable, the next one tells who did not respond."""
+    customers = table(spark, sf_dir, "customer")
+    area = F.col("c_nationkey")
+    waves = {1994: customers.select(F.col("c_custkey").alias("ER2002"), F.when(
+                 F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("ER1"), area.alias("ER2")),
+             1995: customers.select(F.col("c_custkey").alias("ER5002"),
+                                    F.when(area < 20, area).alias("ER2"))}
+    return assemble.household_waves(waves, {1994: {"money": "ER1", "area": "ER2"},
+                                            1995: {"money": None, "area": "ER2"}})

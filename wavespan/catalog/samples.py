@@ -68,9 +68,10 @@ where not ever_government and not ever_self_employed and not coalesce(low_wage,
   and not coalesce(hours <= 500, false) and not coalesce({no_income}, false)"""
 
 
-def _sample(spark, sf_dir, semantics):
+def _sample(spark, sf_dir, semantics, wage=None):
+    rows = survey(spark, sf_dir)
     return presets.select_sample_short(
-        survey(spark, sf_dir), price_index(spark, sf_dir), semantics, base_year=1997,
+        rows if wage is None else rows.withColumn("wage", wage), price_index(spark, sf_dir), semantics, base_year=1997,
         years=(1995, 2001), education_years=(2000, 1998, 1996)
     ).select("pid", "year", "education", rounded("wage_real", 5).alias("wage_real"), "tenure")
 
@@ -86,6 +87,17 @@ def select_sample_ascoded(spark, sf_dir):
     return _sample(spark, sf_dir, "as_coded")
 
 
+BLANK_WAGE = "case when (pid + year) % 4 = 0 then null else wage end as wage"
+
+
+@query("select_sample_ascoded_blank", _sample_sql("not low_wage").replace(
+    "emp_status, hours, wage,", f"emp_status, hours, {BLANK_WAGE},"))
+def select_sample_ascoded_blank(spark, sf_dir):
+    """Some wages are unknown, and with them some persons' low-wage flags: those persons stay."""
+    wage = F.when((F.col("pid") + F.col("year")) % 4 != 0, F.col("wage"))
+    return _sample(spark, sf_dir, "as_coded", wage)
+
+
 SQL_LONG = f"""{SQL_SURVEY},
 p as (
     select * replace (year + 4 as year), occ3 as occ3_early, ind3 as occ3_late, ind3 as ind3_early,
@@ -212,13 +224,8 @@ union all select 'latino', count(*) from orders
     where o_orderkey % 9400 > 7000 and o_orderkey % 9400 < 9309""")
 def subsamples(spark, sf_dir):
     people = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9400).alias("id1968"))
-    counts = [filters.subsample(people, s).agg(F.lit(s).alias("sample"),
-                                               F.count(F.lit(1)).alias("n"))
-              for s in filters.SUBSAMPLES]
-    result = counts[0]
-    for c in counts[1:]:
-        result = result.unionByName(c)
-    return result
+    counts = people.agg(*[F.count_if(filters.in_subsample(s)).alias(s) for s in filters.SUBSAMPLES])
+    return counts.unpivot([], list(filters.SUBSAMPLES), "sample", "n")
 
 
 def _head_sql(place: str) -> str:

@@ -1,5 +1,6 @@
 """Missing-value semantics and neighbouring-wave queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavespan.catalog.adapter import SQL_PANEL, panel, rounded, sql_rounded
@@ -93,10 +94,10 @@ select pid, case when count(*) filter (where tenure is null) = 0
        {sql_rounded("avg(tenure)")} as mean_of_known
 from panel group by pid""")
 def na_mean(spark, sf_dir):
-    x = F.col("tenure")
-    return panel(spark, sf_dir).groupBy("pid").agg(
-        F.when(F.count_if(x.isNull()) == 0, rounded(F.avg(x))).alias("strict_mean"),
-        rounded(F.avg(x)).alias("mean_of_known"))
+    x, person = F.col("tenure"), Window.partitionBy("pid")
+    return panel(spark, sf_dir).select("pid", na.na_mean(x, person).alias("strict"), F.avg(x).over(
+        person).alias("known")).distinct().select(
+        "pid", rounded("strict").alias("strict_mean"), rounded("known").alias("mean_of_known"))
 
 
 @query("pick_year_value", f"""

@@ -22,14 +22,14 @@ HEAD_CODE_CHANGE = 1983   # head of household is code 1 before, code 10 from thi
 FIRST_WAVE = 1968         # has no sequence number
 
 
-def subsample(df: DataFrame, name: str | None, household: str = "id1968") -> DataFrame:
-    if name is None:
-        return df
+def in_subsample(name: str, household: str = "id1968") -> Column:
     lo, hi = SUBSAMPLES[name]
     test = F.col(household) < hi
-    if lo is not None:
-        test = test & (F.col(household) > lo)
-    return df.filter(test)
+    return test if lo is None else test & (F.col(household) > lo)
+
+
+def subsample(df: DataFrame, name: str | None, household: str = "id1968") -> DataFrame:
+    return df if name is None else df.filter(in_subsample(name, household))
 
 
 def heads(df: DataFrame, which: str | None, year: str = "year", relation: str = "relation",

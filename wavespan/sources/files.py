@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from wavespan.functions.na import to_number
 from wavespan.operators.recode import normalise_case
+from wavespan.session import stored
+
+MOST_TABLE_ROWS = 1_000_000
 
 
 def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
@@ -49,8 +52,15 @@ def _csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
 
 
 def with_file_order(df: DataFrame, out: str = "ord") -> DataFrame:
-    """Number the rows of a small single-file table in file order."""
-    return df.withColumn(out, F.monotonically_increasing_id())
+    """Numbers in file order for the rows of a table that is one file; several files raise.
+
+    A file may be read in blocks. A block's rows are fewer than its bytes, so its first byte plus
+    the row's place in it ascends through the whole file.
+    """
+    if len(df.inputFiles()) > 1:
+        raise ValueError("file order needs a table of one file")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select("*", (F.col("_metadata.file_block_start") + within).alias(out))
 
 
 def crosswalk(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +103,10 @@ def read_panel(spark: SparkSession, path: str, years: Sequence[int] | None = Non
     return panel if years is None else panel.filter(F.col("year").isin(*years))
 
 
-def write_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a small result table as one CSV file with a header."""
+def write_table(table: DataFrame, path: str, mode: str = "overwrite",
+                max_rows: int = MOST_TABLE_ROWS) -> None:
+    """Write a small result table as one CSV file with a header; a large one raises."""
+    table = stored(table)
+    if table.count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows for one file")
     table.coalesce(1).write.mode(mode).option("header", True).csv(path)
