@@ -13,6 +13,7 @@ their counts, one shuffle by bigram sums them up, and the sums return to the blo
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,26 +22,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
 from wavespan.llm.tokens import encoder
 from wavespan.session import stored
 
-#: A block closes with the document that brings it to this many tokens.
-BLOCK_TOKENS = 4 << 20
+#: A block closes with the document that brings it to this many tokens, a row of it likewise.
+BLOCK_TOKENS = 2 << 20
+ROW_TOKENS = 1 << 16
 #: Pseudo-counts that draw bigrams to unigrams and unigrams to an equal share.
 PULL = 20.0
 FLOOR = 1.0
 
+#: Words that a worker remembers; the models' shuffles need the memory afterwards.
+MEMORY_WORDS = 150_000
+TEXT_BYTES = 3 << 20
+#: Tokens of a block whose losses are looked up at once.
+SLICE_TOKENS = 1 << 18
+
 BLOCKS = "block bigint, names array<bigint>, sizes array<bigint>, ids binary"
 TARGET = -1
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows of documents' concatenated ids; a null text counts as empty."""
+    """Rows of documents' concatenated ids, several to a block; a null text counts as empty."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, MEMORY_WORDS)
         kind = "<u2" if words.size <= 1 << 16 else "<u4"
         block = TaskContext.get().partitionId() << 32
-        names, ids, total = [], [], 0
+        names, ids, total, in_block = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -50,18 +59,22 @@ def token_blocks(docs: DataFrame, tokenizer: str, block_tokens: int = BLOCK_TOKE
                 names=["block", "names", "sizes", "ids"])
 
         for batch in batches:
-            for name, found in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)),
-                                   strict=True):
+            found_in = words.encode(batch.column(1), TEXT_BYTES)
+            for name, found in zip(batch.column(0).to_pylist(), found_in, strict=True):
                 names.append(name)
                 ids.append(found.astype(kind))
                 total += len(found)
-                if total >= block_tokens:
+                if total >= min(ROW_TOKENS, block_tokens):
                     yield row()
-                    names, ids, total, block = [], [], 0, block + 1
+                    in_block += total
+                    names, ids, total = [], [], 0
+                    if in_block >= block_tokens:
+                        block, in_block = block + 1, 0
         if names:
             yield row()
+        words.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, BLOCKS)
+    return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, BLOCKS)
 
 
 def pairs_of(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +90,24 @@ def pairs_of(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def counts(blocks: DataFrame, size: int) -> DataFrame:
     """block, pair, n: a block's distinct bigrams; unigrams count as pairs with the negative id
     ``-1 - id``."""
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+
+    def counted(block: int, parts: list[dict]) -> pa.RecordBatch:
+        ids = np.frombuffer(b"".join(p["ids"] for p in parts), kind)
+        sizes = np.array([n for p in parts for n in p["sizes"]], dtype=np.int64)
+        pairs, n = np.unique(pairs_of(sizes, ids)[0], return_counts=True)
+        single, m = np.unique(ids, return_counts=True)
+        found = np.concatenate([-1 - single.astype(np.int64), pairs])
+        n = np.concatenate([m, n]).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), block)), pa.array(found), pa.array(n)],
+            names=["block", "pair", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if size <= 1 << 16 else "<u4"
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], kind)
-                pairs, n = np.unique(pairs_of(np.array(row["sizes"], dtype=np.int64), ids)[0],
-                                     return_counts=True)
-                single, m = np.unique(ids, return_counts=True)
-                found = np.concatenate([-1 - single.astype(np.int64), pairs])
-                n = np.concatenate([m, n]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), row["block"])), pa.array(found), pa.array(n)],
-                    names=["block", "pair", "n"])
+        # a block cut in two by a file's split is stated in two parts, whose counts add up
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for block, parts in itertools.groupby(rows, key=lambda row: row["block"]):
+            yield counted(block, list(parts))
 
     return blocks.mapInArrow(count, "block bigint, pair bigint, n bigint")
 
@@ -154,26 +172,34 @@ def score(docs: DataFrame, target: DataFrame, tokenizer: str, pull: float = PULL
         losses, "block bigint, pair bigint, target_loss double, all_loss double")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, n, sums = [], [], []
         pairs = right.column("pair").to_numpy()
         order = np.argsort(pairs)
         pairs = pairs[order]
         by_pair = [right.column(c).to_numpy()[order] for c in ("target_loss", "all_loss")]
+        names, n, sums = [], [], [np.zeros((2, 0))]
         for row in left.to_pylist():
-            sizes = np.array(row["sizes"], dtype=np.int64)
-            ids = np.frombuffer(row["ids"], "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
-            codes, at = pairs_of(sizes, ids)
-            where = np.searchsorted(pairs, codes)
-            ends = np.cumsum(sizes)
-            per = []
-            for model, loss in zip((of_target, of_all), by_pair, strict=True):
-                each = model.first_loss(ids)
-                each[at] = loss[where] if len(at) else each[at]
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                per.append(total[ends] - total[ends - sizes])
             names += row["names"]
-            n += sizes.tolist()
-            sums.append(np.array(per))
+            n += row["sizes"]
+            flat = np.frombuffer(row["ids"], "<u2" if size <= 1 << 16 else "<u4")
+            ends = np.cumsum(np.array(row["sizes"], dtype=np.int64))
+            first = 0
+            while first < len(ends):  # whole documents, a slice at a time
+                start = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, start + SLICE_TOKENS)))
+                part = ends[first:last] - start
+                sizes = np.diff(part, prepend=0)
+                ids = flat[start:start + int(part[-1])].astype(np.int64)
+                codes, at = pairs_of(sizes, ids)
+                where = np.searchsorted(pairs, codes)
+                per = []
+                for model, loss in zip((of_target, of_all), by_pair, strict=True):
+                    each = model.first_loss(ids)
+                    if len(at):
+                        each[at] = loss[where]
+                    total = np.concatenate([[0.0], np.cumsum(each)])
+                    per.append(total[part] - total[part - sizes])
+                sums.append(np.array(per))
+                first = last
         per, n = np.concatenate(sums, axis=1), np.array(n, dtype=np.int64)
         empty = n == 0
         means = per / np.maximum(n, 1)

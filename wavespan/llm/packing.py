@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
 from wavespan.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -55,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                 arrays.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, schema)
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

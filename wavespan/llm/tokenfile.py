@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
 from wavespan.llm.eliasfano import EliasFano
 from wavespan.llm.tokens import encoder
 
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 17
 
 SEGMENTS = ("shard bigint, segment bigint, n_docs bigint, n_ids bigint, id_bytes bigint, "
             "width bigint, lower binary, upper binary, samples binary, names array<bigint>, "
@@ -71,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             yield _segment(shard, number, names, sizes, ids, id_bytes)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    (bounded(rows).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 

@@ -151,8 +151,16 @@ class WordEncoder:
                 out[i] = np.frombuffer(found, dtype="<u4")
         return out
 
-    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; a missing text counts as empty."""
+    def forget(self) -> None:
+        """Give back the memory of the words met so far."""
+        self.known.clear()
+        self.stems.clear()
+        pa.default_memory_pool().release_unused()
+
+    def encode(self, texts: pa.Array | list[str | None],
+               batch_bytes: int = BATCH_BYTES) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; a missing text counts as empty. About ``batch_bytes`` of
+        whole texts are worked on at a time."""
         if isinstance(texts, list):
             texts = pa.array(texts, pa.string())
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -160,12 +168,12 @@ class WordEncoder:
         start = 0
         while start < len(texts):
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, done + batch_bytes, side="right")))
             yield from self._encode(texts.slice(start, stop - start))
             start = stop
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, max_words: int = MAX_WORDS) -> WordEncoder:
     """One encoder per worker process and file."""
-    return WordEncoder(path)
+    return WordEncoder(path, max_words)
