@@ -12,6 +12,8 @@ import dataclasses
 import numpy as np
 
 EVERY = 256
+#: Bytes of high bits that select looks at in one go.
+STEP = 256
 ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
 
 
@@ -45,22 +47,23 @@ class EliasFano:
         return (word >> first % 8) & ((1 << self.width) - 1)
 
     def select(self, i: int) -> int:
-        """Position of the i-th set bit, from the sample before it."""
+        """Position of the i-th set bit, counted from the sample before it."""
         at = int(np.frombuffer(self.samples, "<u8", 1, i // EVERY * 8)[0])
         left = i % EVERY
         if left == 0:
             return at
         start = (at + 1) // 8
-        chunk = np.frombuffer(self.upper, np.uint8, offset=start)
-        chunk = chunk[:left + (left << self.width) // 8 + 64] if self.width < 8 else chunk
-        first = chunk[0] >> (at + 1) % 8 << (at + 1) % 8
-        counts = np.cumsum(np.append(ONES[first], ONES[chunk[1:]]))
+        skip = (at + 1) % 8  # bits of the first byte that lie before
+        while True:
+            chunk = np.frombuffer(self.upper[start:start + STEP], np.uint8).copy()
+            chunk[0] = chunk[0] >> skip << skip
+            counts = np.cumsum(ONES[chunk])
+            if counts[-1] >= left:
+                break
+            left -= int(counts[-1])
+            start, skip = start + STEP, 0
         byte = int(np.searchsorted(counts, left))
-        if byte == len(counts):  # sparse here: look at all that follows
-            chunk = np.frombuffer(self.upper, np.uint8, offset=start)
-            counts = np.cumsum(np.append(ONES[first], ONES[chunk[1:]]))
-            byte = int(np.searchsorted(counts, left))
-        bits = int(first if byte == 0 else chunk[byte])
+        bits = int(chunk[byte])
         for _ in range(left - int(counts[byte - 1] if byte else 0) - 1):
             bits &= bits - 1
         return (start + byte) * 8 + (bits & -bits).bit_length() - 1

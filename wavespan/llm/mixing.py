@@ -16,8 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20240229
-#: A source table of at most this many rows (and bytes, with names of usual length) is broadcast.
-BROADCAST_SOURCES = 20_000
 
 
 def words(text: Column | str) -> Column:
@@ -64,12 +62,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
 
 
 def _planned(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: int) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies."""
+    """``docs`` with __size, __source_size, __target and __copies.
+
+    The source table is stored, so Spark knows its bytes: it is broadcast under Spark's threshold
+    and joined with skew handling beyond it.
+    """
     sized = docs.withColumn("__size", words("text"))
     table = stored(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")),
                            weights, max_repeats))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
     table = table.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"),
                          F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     joined = sized.join(table, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")

@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
+
 #: From this many UTF-8 bytes on: least and greatest bytes per compressed byte (level 3). Prose of
 #: alphabets lies near 1.5 at 400 bytes, 1.9 at 1,500, 2.2 at 6,000 and 2.4 to 3 beyond.
 BANDS = (
@@ -125,7 +127,7 @@ def score(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(measure, SCHEMA)
+    return bounded(rows).mapInArrow(measure, SCHEMA)
 
 
 def keep(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
@@ -144,4 +146,4 @@ def keep(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
                 judge(text or "", limits, chunk_bytes, chunk_share)[-1]
                 for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return bounded(docs).mapInArrow(passing, docs.schema)

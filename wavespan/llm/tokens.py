@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 700_000
+MAX_WORDS = 300_000
 WORDS_PER_CALL = 5_000
 BATCH_BYTES = 12 << 20
 #: Marks that form a pre-token of their own after letters (an apostrophe may not).
@@ -31,8 +31,44 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return PACKERS[n](*ids) if n < len(PACKERS) else struct.pack(f"<{n}I", *ids)
+
+
+class Recent(dict):
+    """A memory of bounded size that forgets what it was not asked for lately.
+
+    Entries live in two halves. What is found in the older half moves to the newer one; once that
+    is full, it becomes the older half and the rest is forgotten.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most // 2:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, keys: list) -> list:
+        """Those of ``keys`` that neither half holds; the others are in the newer half then."""
+        older, absent = self.older, []
+        for key in [k for k in keys if k not in self]:
+            if key in older:
+                self[key] = older[key]
+            else:
+                absent.append(key)
+        return absent
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,13 +88,12 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.max_words = max_words
         self.size = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(self.size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes | None] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known = Recent(max_words)
+        self.stems = Recent(max_words)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,8 +105,9 @@ class WordEncoder:
         if not stem.isalpha():
             return None
         key = lead + stem
-        ids = self.stems.get(key)
-        if ids is None:
+        try:
+            ids = self.stems[key]
+        except KeyError:
             if stem.isascii():
                 text = key
             elif max(stem) < "ɐ":
@@ -82,7 +118,9 @@ class WordEncoder:
         if len(stem) == len(word):
             return ids
         marks = word[len(stem):]
-        if marks not in self.stems:
+        try:
+            return ids + self.stems[marks]
+        except KeyError:
             self.stems[marks] = self.whole([marks])[0]
         return ids + self.stems[marks]
 
@@ -117,16 +155,15 @@ class WordEncoder:
         return self.whole(["\n"])[0]
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
-        for memo in (self.known, self.stems):
-            if len(memo) > self.max_words:
-                memo.clear()
+        self.known.turn()
+        self.stems.turn()
         split = pc.split_pattern(texts, " ")
         starts = np.asarray(split.offsets)
         starts = starts - starts[0]
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        ids = [self.known[w] for w in words]
+        self._learn(self.known.missing(words))
+        ids = list(map(self.known.__getitem__, words))
         which = np.array(coded.indices)
         heads = pc.take(coded.dictionary, pa.array(which[starts[:-1]])).dictionary_encode()
         which[starts[:-1]] = len(ids) + np.asarray(heads.indices)
@@ -153,8 +190,9 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Give back the memory of the words met so far."""
-        self.known.clear()
-        self.stems.clear()
+        for memo in (self.known, self.stems):
+            memo.clear()
+            memo.older.clear()
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts: pa.Array | list[str | None],

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavespan.llm.batches import bounded
+
 ORDERS = (3, 4, 5)
 BITS = 18
 #: The classifier is fitted on at most this many labelled rows, those of least hash.
@@ -103,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()),
                                           pa.array([bias], pa.float64())], names=["w", "bias"])
 
-    found = rows.mapInArrow(extract, "doc_id bigint, found binary, y bigint").repartition(1)
+    found = bounded(rows).mapInArrow(extract, "doc_id bigint, found binary, y bigint").repartition(1)
     model = found.mapInArrow(fit, "w binary, bias double").first()
     if model is None:
         return fit_rows([], bits)
@@ -131,5 +133,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())],
                                              names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         judge, "doc_id bigint, score double")
