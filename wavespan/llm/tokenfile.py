@@ -23,6 +23,8 @@ from wavespan.llm.eliasfano import EliasFano
 from wavespan.llm.tokens import encoder
 
 SEGMENT_IDS = 1 << 17
+#: Words that a worker remembers while it writes; nothing else needs its memory then.
+WORDS = 700_000
 
 SEGMENTS = ("shard bigint, segment bigint, n_docs bigint, n_ids bigint, id_bytes bigint, "
             "width bigint, lower binary, upper binary, samples binary, names array<bigint>, "
@@ -53,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     document longer than that makes a segment of its own. Other columns are ignored.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, WORDS)
         id_bytes = 2 if max(words.size, end_id + 1) <= 1 << 16 else 4
         shard, number = TaskContext.get().partitionId(), 0
         names, sizes, ids, total = [], [], [], 0

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 MAX_WORDS = 300_000
 WORDS_PER_CALL = 5_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 20 << 20
 #: Marks that form a pre-token of their own after letters (an apostrophe may not).
 MARKS = string.punctuation.replace("'", "")
 
@@ -104,25 +104,24 @@ class WordEncoder:
         stem = word.rstrip(MARKS)
         if not stem.isalpha():
             return None
+        stems, older = self.stems, self.stems.older
         key = lead + stem
-        try:
-            ids = self.stems[key]
-        except KeyError:
+        ids = stems.get(key) or older.get(key)
+        if ids is None:
             if stem.isascii():
                 text = key
             elif max(stem) < "ɐ":
                 text = lead + stem.encode().decode("latin-1").translate(self.letters)
             else:
                 return None
-            ids = self.stems[key] = pack([t.id for t in self.tokenize(text)])
+            ids = stems[key] = pack([t.id for t in self.tokenize(text)])
         if len(stem) == len(word):
             return ids
         marks = word[len(stem):]
-        try:
-            return ids + self.stems[marks]
-        except KeyError:
-            self.stems[marks] = self.whole([marks])[0]
-        return ids + self.stems[marks]
+        after = stems.get(marks)
+        if after is None:
+            after = stems[marks] = self.whole([marks])[0]
+        return ids + after
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words that follow a space; None where the word can't be told apart."""
@@ -168,9 +167,10 @@ class WordEncoder:
         heads = pc.take(coded.dictionary, pa.array(which[starts[:-1]])).dictionary_encode()
         which[starts[:-1]] = len(ids) + np.asarray(heads.indices)
         ids += self.whole(heads.dictionary.to_pylist())
-        unclear = np.array([x is None for x in ids])
-        ids = [x or b"" for x in ids]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64) // 4
+        unclear = np.array([x is None for x in ids]) if None in ids else None
+        if unclear is not None:
+            ids = [x or b"" for x in ids]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         first = np.cumsum(sizes) - sizes
         per_word = sizes[which]
@@ -180,7 +180,7 @@ class WordEncoder:
         tokens = flat[at]
         bounds = np.concatenate([[0], ends])[starts]
         out = [tokens[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        if unclear.any():
+        if unclear is not None:
             hit = np.concatenate([[0], np.cumsum(unclear[which])])[starts]
             odd = np.flatnonzero(np.diff(hit))
             whole = self.whole(texts.take(pa.array(odd)).to_pylist())
