@@ -179,3 +179,29 @@ def test_toxicity_separates_held_out_texts(spark, docs, odd_docs):
     empty = toxicity.train(docs(), marks.limit(0))
     assert toxicity.score(docs((1, "x")), empty).first().score == pytest.approx(0.5)
     assert toxicity.score(docs(), empty).count() == 0
+
+
+def test_bands_of_the_corpus_reject_junk_that_base_counts_pass(docs):
+    rng = random.Random(14)
+    sounds = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "or", "est")]
+    words = ["".join(rng.choice(sounds) for _ in range(rng.randint(2, 3))) for _ in range(40_000)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def junk(n):
+        return " | ".join(prose(n).split())
+
+    clean = [(i, prose(rng.randint(330, 380))) for i in range(400)]
+    clean += [(1000 + i, prose(rng.randint(1400, 1600))) for i in range(100)]
+    bad = [(2000 + i, junk(rng.randint(270, 310))) for i in range(20)]
+    bad += [(3000 + i, junk(rng.randint(1200, 1400))) for i in range(6)]
+    # limits from one half, the other half held out
+    bands = quality.fit(docs(*[r for r in clean + bad if r[0] % 2]))
+    rows = quality.score(docs(*[r for r in clean + bad if r[0] % 2 == 0]), bands).collect()
+    assert not any(r.base_failed for r in rows)
+    kept = {r.doc_id for r in rows if r.kept}
+    assert not [i for i in kept if i >= 2000]
+    assert len([i for i in kept if i < 2000]) >= 0.95 * 250
+    again = quality.fit(docs(*[r for r in clean + bad if r[0] % 2] + [(1, clean[1][1])] * 900))
+    assert again == bands  # copies count once

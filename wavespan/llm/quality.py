@@ -2,11 +2,13 @@
 
 Text that repeats itself compresses far better than prose of its length, and text without the
 regularities of a language far worse. How well prose compresses depends on its length, so each
-length has limits of its own.
+length has limits of its own: a centre and a robust spread of the ratios that the corpus itself
+shows at that length, for whole texts and for chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from wavespan.llm.batches import bounded
 
-#: From this many UTF-8 bytes on: least and greatest bytes per compressed byte (level 3). Prose of
-#: alphabets lies near 1.5 at 400 bytes, 1.9 at 1,500, 2.2 at 6,000 and 2.4 to 3 beyond.
+#: From this many UTF-8 bytes on: least and greatest bytes per compressed byte (level 3), whatever
+#: the corpus. Prose of alphabets lies near 1.5 at 400 bytes, 1.9 at 1,500, 2.2 at 6,000 and 2.4 to
+#: 3 beyond. Fitted limits lie within these, and these hold alone where a corpus has few texts.
 BANDS = (
     (0, 0.0, 1000.0),
     (128, 0.0, 2.4),
@@ -36,6 +39,17 @@ CHUNK_BYTES = 2048
 CHUNK_SHARE = 0.5
 LEVEL = 3
 
+#: Lengths are fitted in bins of a quarter octave, from ``FIT_FROM`` to ``FIT_TO`` bytes.
+BINS_PER_OCTAVE = 4
+FIT_FROM, FIT_TO = 128, 1 << 26
+#: Different texts a bin needs for limits of its own.
+FIT_LEAST = 50
+#: Robust standard deviations around the centre, and the least deviation as a share of the centre.
+WIDTH = 3.5
+LEAST_SPREAD = 0.01
+#: Ratios are counted in cells of this width, all from ``MOST_RATIO`` on in one.
+CELL, MOST_RATIO = 0.002, 8.0
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -73,7 +87,7 @@ def duplicate_lines(text: str) -> int:
 
 
 class Bands:
-    def __init__(self, bands=BANDS, level: int = LEVEL):
+    def __init__(self, bands, level: int = LEVEL):
         self.starts = [b[0] for b in bands]
         self.least = [b[1] for b in bands]
         self.most = [b[2] for b in bands]
@@ -88,39 +102,120 @@ class Bands:
         return ratio, not self.least[i] <= ratio <= self.most[i]
 
 
-def judge(text: str, limits: Bands, chunk_bytes: int = CHUNK_BYTES,
+def cuts(size: int, chunk_bytes: int) -> list[int]:
+    """Where the chunks of a text of ``size`` bytes begin, and its end."""
+    return [*range(0, max(1, size // chunk_bytes) * chunk_bytes, chunk_bytes), size]
+
+
+def length_bin(size: int) -> int:
+    return int(np.floor(np.log2(size) * BINS_PER_OCTAVE))
+
+
+def fit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) -> tuple:
+    """Bands of whole texts and bands of chunks, from all ``docs`` that pass the base rule.
+
+    A bin of lengths is centred on the median of its ratios and reaches ``WIDTH`` standard
+    deviations, estimated by the median deviation, to both sides, within ``BANDS``. Equal texts
+    and equal chunks count once. Only counts by length bin and ratio cell reach the driver.
+    """
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=level)
+
+        def row(chunk: bool, data: bytes) -> tuple:
+            ratio = min(len(data) / len(compressor.compress(data)), MOST_RATIO)
+            key = hashlib.blake2b(data, digest_size=8).digest()
+            return (chunk, length_bin(len(data)), int(ratio / CELL),
+                    int.from_bytes(key, "little", signed=True))
+
+        for batch in batches:
+            rows = set()
+            for text in batch.column(0).to_pylist():
+                data = text.encode()
+                if not FIT_FROM <= len(data) < FIT_TO or base_rule(data.split())[1]:
+                    continue
+                rows.add(row(False, data))
+                at = cuts(len(data), chunk_bytes)
+                if len(at) > 2:
+                    rows.update(row(True, data[a:b]) for a, b in zip(at, at[1:]))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, [pa.bool_()] + [pa.int64()] * 3, strict=True)],
+                names=["chunk", "bin", "cell", "key"])
+
+    texts = bounded(docs.where("text is not null").select("text"))
+    found = texts.mapInArrow(measure, "chunk boolean, bin bigint, cell bigint, key bigint")
+    counts: dict[tuple[bool, int], list[tuple[float, int]]] = {}
+    for r in found.distinct().groupBy("chunk", "bin", "cell").count().collect():
+        counts.setdefault((r["chunk"], r["bin"]), []).append(((r["cell"] + 0.5) * CELL, r["count"]))
+    return tuple(fitted({k: v for (c, k), v in counts.items() if c == chunk})
+                 for chunk in (False, True))
+
+
+def median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values)
+    sums = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(sums, sums[-1] / 2)])
+
+
+def fitted(counts: dict[int, list[tuple[float, int]]]) -> tuple:
+    """Bands from (ratio, how many) of each length bin."""
+    starts = {b[0] for b in BANDS}
+    starts |= {int(np.ceil(2 ** (k / BINS_PER_OCTAVE)))
+               for k in range(length_bin(FIT_FROM), length_bin(FIT_TO) + 1)}
+    rows = []
+    for start in sorted(starts):
+        _, least, most = [b for b in BANDS if b[0] <= start][-1]
+        found = counts.get(length_bin(start), []) if FIT_FROM <= start < FIT_TO else []
+        if sum(n for _, n in found) >= FIT_LEAST:
+            ratios, n = np.array(found).T
+            centre = median(ratios, n)
+            spread = max(1.4826 * median(np.abs(ratios - centre), n), LEAST_SPREAD * centre)
+            least = max(least, centre - WIDTH * spread)
+            most = min(most, centre + WIDTH * spread)
+        rows.append((start, least, most))
+    return tuple(rows)
+
+
+def base_rule(words: list[bytes]) -> tuple[int, bool]:
+    """Words in repeated windows, and whether the text fails the base rule."""
+    repeats = repeat_words(words)
+    return repeats, len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
+
+
+def judge(text: str, limits: Bands, chunk_limits: Bands, chunk_bytes: int = CHUNK_BYTES,
           chunk_share: float = CHUNK_SHARE) -> tuple:
     """What ``SCHEMA`` lists after doc_id, for one whole text."""
     data = text.encode()
     words = data.split()
     n = len(words)
-    repeats = repeat_words(words)
-    failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+    repeats, failed = base_rule(words)
     ratio, out = limits.measure(data)
-    chunks = max(1, len(data) // chunk_bytes)
-    cuts = [*range(0, chunks * chunk_bytes, chunk_bytes), len(data)]
-    bad = (sum(limits.measure(data[a:b])[1] for a, b in zip(cuts, cuts[1:]))
+    at = cuts(len(data), chunk_bytes)
+    chunks = len(at) - 1
+    bad = (sum(chunk_limits.measure(data[a:b])[1] for a, b in zip(at, at[1:]))
            if chunks > 1 else int(out))
     return (n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),
             duplicate_lines(text), repeats, ratio, chunks, bad, failed,
             not failed and not out and bad <= chunk_share * chunks)
 
 
-def score(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
+def score(docs: DataFrame, bands=None, chunk_bytes: int = CHUNK_BYTES,
           chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text) with the base counts, ratios and verdicts.
 
     A null text counts as empty. Empty and short texts fail the base rule of ``MIN_WORDS`` words.
     The last chunk takes in what is left over and is judged by its own length. Texts are taken
-    whole; repeated rows give repeated results; other columns are ignored.
+    whole; repeated rows give repeated results; other columns are ignored. ``bands`` are a pair,
+    of whole texts and of chunks, as ``fit`` returns them; by default those of ``docs``.
     """
+    bands = bands or fit(docs, chunk_bytes, level)
     kinds = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2 + [pa.bool_()] * 2
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = Bands(bands, level)
+        limits = [Bands(b, level) for b in bands]
         for batch in batches:
-            rows = [(doc, *judge(text, limits, chunk_bytes, chunk_share)) for doc, text in
+            rows = [(doc, *judge(text, *limits, chunk_bytes, chunk_share)) for doc, text in
                     zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays(
@@ -130,20 +225,21 @@ def score(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
     return bounded(rows).mapInArrow(measure, SCHEMA)
 
 
-def keep(docs: DataFrame, bands=BANDS, chunk_bytes: int = CHUNK_BYTES,
+def keep(docs: DataFrame, bands=None, chunk_bytes: int = CHUNK_BYTES,
          chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
     Each row is judged where it lies: no join on ``doc_id``, and rows that share one are judged
-    each for itself.
+    each for itself. ``bands`` as in ``score``.
     """
+    bands = bands or fit(docs, chunk_bytes, level)
     at = docs.columns.index("text")
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = Bands(bands, level)
+        limits = [Bands(b, level) for b in bands]
         for batch in batches:
             yield batch.filter(pa.array([
-                judge(text or "", limits, chunk_bytes, chunk_share)[-1]
+                judge(text or "", *limits, chunk_bytes, chunk_share)[-1]
                 for text in batch.column(at).to_pylist()], pa.bool_()))
 
     return bounded(docs).mapInArrow(passing, docs.schema)
