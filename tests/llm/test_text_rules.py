@@ -205,3 +205,15 @@ def test_bands_of_the_corpus_reject_junk_that_base_counts_pass(docs):
     assert len([i for i in kept if i < 2000]) >= 0.95 * 250
     again = quality.fit(docs(*[r for r in clean + bad if r[0] % 2] + [(1, clean[1][1])] * 900))
     assert again == bands  # copies count once
+
+
+def test_a_leaf_forms_as_many_templates_as_it_holds(docs, monkeypatch):
+    fixed = ["all of it red green blue pink grey", "all of it one two three four five"]
+    third = ["all of it sun moon star sky ", "all of it oak elm ash fir "]
+    rows = [(i, f"{fixed[0]}\n{fixed[1]}\n{third[0]}{w}\n{third[1]}{w}\nalone {w} here")
+            for i, w in enumerate("abcdef")]
+    for heads in ((1,), (1, 1, 8), (2, 64)):
+        monkeypatch.setattr(linededup, "HEADS", heads)
+        out = {r.doc_id: r for r in linededup.drop_recurring(docs(*rows)).collect()}
+        assert out[0].text == rows[0][1]
+        assert all(out[i].text == f"alone {w} here" for i, w in enumerate("abcdef") if i)

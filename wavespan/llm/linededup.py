@@ -12,7 +12,7 @@ lines and enough documents to matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.session import stored
@@ -20,8 +20,9 @@ from wavespan.session import stored
 DEPTH = 3
 #: Least share of equal positions of two lines of one template.
 SIMILARITY = 0.6
-#: Generalised templates a leaf may form; lines beyond are templates of their own.
-ROUNDS = 2
+#: Lines of a leaf, by number of texts, looked at for standing lines in each round; the last
+#: number holds for all later rounds.
+HEADS = (1, 1, 8, 64)
 #: A template recurs if so many documents of different text hold it.
 MIN_DOCS = 3
 MASK = "<*>"
@@ -58,26 +59,52 @@ def parsed(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                         F.xxhash64("m").alias("k"), F.hash("m").alias("k2"))
 
 
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two lines of a leaf (arrays of tokens) agree in most positions."""
+    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return equal >= F.lit(similarity) * F.size(a)
+
+
+def standing_lines(rest: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(leaf, standing): the lines, in order, that stand for templates among the first ``most`` of
+    each leaf: every line that is not like one of those before it."""
+    first = Window.partitionBy("leaf").orderBy(F.col("texts").desc(), "m")
+    heads = rest.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
+    heads = heads.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "k", F.split("m", " ").alias("tokens")))).alias("heads"))
+    return heads.select("leaf", F.aggregate(
+        "heads", F.slice("heads", 1, 1), lambda found, h: F.when(
+            F.exists(found, lambda f: alike(h["tokens"], f["tokens"], similarity)), found).otherwise(
+            F.concat(found, F.array(h)))).alias("standing"))
+
+
 def leaf_templates(lines: DataFrame, similarity: float = SIMILARITY,
-                   rounds: int = ROUNDS) -> DataFrame:
+                   min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, k, k2, template) for lines (leaf, k, k2, m, texts) that fall under another's or
-    their own generalised template. Ties for the standing line go to the least text."""
-    found, rest = None, lines.withColumn("tokens", F.split("m", " "))
-    for _ in range(rounds):
-        heads = stored(rest.groupBy("leaf").agg(
-            F.min(F.struct((-F.col("texts")).alias("t"), "m", "k")).alias("head")).select(
-            "leaf", F.col("head.k").alias("template"), F.split("head.m", " ").alias("standing")))
-        equal = F.size(F.filter(F.zip_with("tokens", "standing", lambda a, b: a == b), lambda x: x))
-        near = stored(rest.join(heads, "leaf").withColumn(
-            "near", equal >= F.lit(similarity) * F.size("tokens")).drop("standing"))
-        part = near.where("near").select(*LINE, "template")
+    their own generalised template. Ties for the standing line go to the least text.
+
+    Goes on until the lines left in a leaf could not reach ``min_docs`` together. Later rounds
+    take several standing lines at once; they are those that single rounds would take.
+    """
+    found, rest, turn = None, lines, 0
+    while True:
+        heads = stored(standing_lines(rest, similarity, HEADS[min(turn, len(HEADS) - 1)]))
+        tokens = F.split("m", " ")
+        near = stored(rest.join(heads, "leaf").withColumn("template", F.get(F.filter(
+            "standing", lambda h: alike(tokens, h["tokens"], similarity)), F.lit(0))["k"]).drop(
+            "standing"))
+        part = near.where("template is not null").select(*LINE, "template")
         found = part if found is None else found.unionByName(part)
-        rest = near.where("not near").drop("near", "template")
-    return found
+        left = near.where("template is null").drop("template")
+        still = stored(left.groupBy("leaf").agg(
+            F.count("*").alias("lines"), F.sum("texts").alias("support")).where(
+            (F.col("lines") > 1) & (F.col("support") >= min_docs)).select("leaf"))
+        if still.isEmpty():
+            return found
+        rest, turn = left.join(still, "leaf"), turn + 1
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
-              rounds: int = ROUNDS) -> DataFrame:
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """(leaf, k, k2, first_id): lines of recurring templates and their first document.
 
     ``lines`` as ``parsed``, without leaf 0. Documents of the same text count once.
@@ -90,7 +117,7 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
         (F.col("lines") > 1) & (F.col("support") >= min_docs)).select("leaf"))
     several = lines.join(open_leaves, "leaf").select(*LINE, "m").distinct()
     templates = stored(leaf_templates(several.join(counted.drop("first_id"), LINE), similarity,
-                                      rounds))
+                                      min_docs))
     spread = lines.join(templates, LINE).groupBy("leaf", "template", "th").agg(
         F.min("doc_id").alias("doc_id"))
     wide = spread.groupBy("leaf", "template").agg(
@@ -102,7 +129,7 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH,
-                   similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+                   similarity: float = SIMILARITY) -> DataFrame:
     """Every row of ``docs`` (doc_id, text and any others) without its recurring lines, and with
     n_lines and n_dropped before them (columns of those names are replaced).
 
@@ -111,7 +138,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     all. A null text stays null and has 0 lines. Repeated rows give repeated results.
     """
     lines = stored(parsed(docs, depth)).where("leaf <> 0")
-    again = recurring(lines, min_docs, similarity, rounds)
+    again = recurring(lines, min_docs, similarity)
     gone = lines.join(again, LINE).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(
         F.col("doc_id").alias("__of"), F.col("th").alias("__of_text")).agg(
         F.collect_set("pos").alias("__gone"))
