@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavespan.llm import linededup, mixing, neardup, packing, quality
 from wavespan.llm.tokens import default_path
-from wavespan.session import shared_folder, stored
+from wavespan.session import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents with their sequence and offset."""
-    return packing.pack(stored(packing.token_pieces(docs, default_path())))
+    """Pieces of the tokenised documents with their sequence and offset; the first piece of a
+    sequence carries its padded ids."""
+    return packing.packed_sequences(docs, default_path())
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

@@ -100,3 +100,24 @@ def test_packing_covers_every_id_once(spark, odd_docs):
 
 def test_packing_of_no_documents(docs):
     assert packing.pack(packing.token_pieces(docs(), default_path())).count() == 0
+
+
+def test_packed_sequences_hold_the_ids_at_their_places(odd_docs):
+    rows = packing.packed_sequences(odd_docs, default_path(), capacity=64).collect()
+    assert {f for r in rows for f in r.asDict()} == {*packing.PACKED_NAMES, "sequence"}
+    texts = {}
+    for r in odd_docs.collect():
+        texts.setdefault(r.doc_id, []).append(np.append(whole([r.text or ""])[0], 1).tolist())
+    padded = {r.sequence_id: r.sequence for r in rows if r.offset == 0}
+    assert all((r.sequence is None) == (r.offset > 0) for r in rows)
+    used = dict.fromkeys(padded, 0)
+    for r in rows:
+        found = padded[r.sequence_id][r.offset:r.offset + r.length]
+        assert any(t[r.start:r.start + r.length] == found and len(t) == r.doc_tokens
+                   for t in texts[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(found, "<u4").tobytes())
+        used[r.sequence_id] += r.length
+    assert sum(used.values()) == sum(len(t) for ts in texts.values() for t in ts)
+    for i, n in used.items():
+        assert len(padded[i]) == (n if n & (n - 1) == 0 else 64)
+        assert not any(padded[i][n:])

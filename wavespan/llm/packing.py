@@ -18,21 +18,36 @@ from pyspark.sql import functions as F
 
 from wavespan.llm.batches import bounded
 from wavespan.llm.tokens import encoder
+from wavespan.session import stored
 
 CAPACITY = 2048
+PAD_ID = 0
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
+PACKED_NAMES = [c.split()[0] for c in PIECES.split(", ")] + ["sequence_id", "offset"]
+
+#: Bits of an id in binary form.
+WIDTH = 16
+
+
+def narrow(ids: np.ndarray) -> bytes:
+    if len(ids) and int(ids.max()) >> WIDTH:
+        raise ValueError(f"an id needs more than {WIDTH} bits")
+    return ids.astype(f"<u{WIDTH // 8}").tobytes()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, binary: bool = False) -> DataFrame:
     """Cut every document (doc_id, text), encoded and closed by ``end_id``, into pieces of
     ``capacity`` ids and one shorter piece.
 
     A null text counts as empty and gives one piece with ``end_id`` only. Rows may repeat; each
-    is a document of its own. Other columns are ignored.
+    is a document of its own. Other columns are ignored. ``binary`` ids are little-endian unsigned
+    numbers of ``WIDTH`` bits; a larger id raises.
     """
-    schema = PIECES + ", ids array<bigint>" * with_ids
+    schema = PIECES + (", ids binary" if binary else ", ids array<bigint>") * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +65,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(len(found))
                     if with_ids:
-                        ids.append(piece.astype(np.int64))
+                        ids.append(narrow(piece) if binary else piece.astype(np.int64))
             arrays = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
             if with_ids:
-                arrays.append(pa.array(ids, pa.list_(pa.int64())))
+                arrays.append(pa.array(ids, pa.binary() if binary else pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return bounded(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(cut, schema)
@@ -167,17 +182,59 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
     return rows.mapInArrow(place, schema + ", sequence_id bigint, offset bigint").drop("__rank")
 
 
-def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
+def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = PAD_ID,
+              extra: tuple[str, ...] = ()) -> DataFrame:
     """The token arrays themselves: sequence_id, n_ids (before padding), ids.
 
-    ``packed`` carries an ``ids`` array per piece. A sequence is padded to ``capacity`` unless its
-    number of ids is a power of two.
+    ``packed`` carries ``ids`` per piece, as an array or in binary form; those of the sequence have
+    the same form. A sequence is padded to ``capacity`` unless its number of ids is a power of two.
+    With ``extra``, ``parts`` lists these columns of each piece after its offset.
     """
     n = F.sum("length")
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", *extra)))
     rows = packed.groupBy("sequence_id").agg(n.alias("n_ids"), parts.alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     power = F.bit_count("n_ids") == 1
+    listed = [F.transform("parts", lambda p: F.struct(p["offset"], *[
+        p[c].alias(c) for c in extra])).alias("parts")] if extra else []
+    if dict(packed.dtypes)["ids"] == "binary":
+        bytes_of = WIDTH // 8
+        joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+        size = F.when(power, F.col("n_ids")).otherwise(F.lit(capacity)) * bytes_of
+        padded = F.rpad(joined, size.cast("int"), F.lit(pad_id.to_bytes(bytes_of, "little")))
+        return rows.select("sequence_id", "n_ids", padded.alias("ids"), *listed)
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     pad = F.array_repeat(F.lit(pad_id).cast("long"),
                          F.when(power, 0).otherwise(F.lit(capacity) - F.col("n_ids")).cast("int"))
-    return rows.select("sequence_id", "n_ids", F.concat(ids, pad).alias("ids"))
+    return rows.select("sequence_id", "n_ids", F.concat(ids, pad).alias("ids"), *listed)
+
+
+def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """Every piece of ``docs`` as it lies in its padded sequence.
+
+    ``length`` is the distance to the next piece (or the end of the ids), and ``ids_crc32`` that of
+    the ids found there. The first piece of a sequence carries the padded sequence, ``sequence``.
+    """
+    pieces = stored(token_pieces(docs, tokenizer, capacity=capacity, with_ids=True, binary=True),
+                    compression="zstd")
+    extra = ("doc_id", "start", "doc_tokens")
+    made = sequences(pack(pieces, capacity), capacity, extra=extra)
+    names = [*PACKED_NAMES, "sequence"]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sequence, n, data, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(data, f"<u{WIDTH // 8}").astype("<u4")
+                ends = [p["offset"] for p in parts[1:]] + [n]
+                for p, end in zip(parts, ends, strict=True):
+                    found = ids[p["offset"]:end]
+                    rows.append((p["doc_id"], p["start"], len(found), zlib.crc32(found.tobytes()),
+                                 p["doc_tokens"], sequence, p["offset"],
+                                 ids.astype("<i4") if p["offset"] == 0 else None))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            kinds = [pa.int64()] * len(PACKED_NAMES) + [pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    schema = ", ".join(f"{c} bigint" for c in PACKED_NAMES) + ", sequence array<int>"
+    return bounded(made).mapInArrow(unpack, schema)

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from wavespan.llm import ann, linededup, lm_score, mixing, neardup, packing, quality, tokenfile, toxicity, urls
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
-from wavespan.session import shared_folder, stored
+from wavespan.session import shared_folder
 
 
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = stored(packing.token_pieces(table(spark, sf_dir, "documents"), default_path()))
-    return packing.pack(pieces)
+    return packing.packed_sequences(table(spark, sf_dir, "documents"), default_path())
 
 
 @query("op8_token_file")

@@ -60,10 +60,11 @@ def _own_folder() -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a short plan, run once."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: a short plan, run once.
+    ``options`` are those of the Parquet writer."""
     path = f"{shared_folder(df.sparkSession)}/wavespan/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
