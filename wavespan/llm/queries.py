@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.llm import ann, linededup, lm_score, mixing, neardup, packing, quality, tokenfile, toxicity, trie, urls
+from wavespan.llm import ann, linededup, lm_score, mixing, neardup, packing, quality, tokenfile, toxicity, trie, urls, whitening
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder
@@ -193,3 +193,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations rebuilt with the heads of every fifth one."""
     turns = trie.numbered(table(spark, sf_dir, "conversations"))
     return trie.prefix_trie(*trie.with_shared_heads(turns))
+
+
+@query("op13_spectrum_whitening")
+def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
