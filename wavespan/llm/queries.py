@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespan.llm import ann, linededup, lm_score, mixing, neardup, packing, quality, tokenfile, toxicity, trie, urls, whitening
+from wavespan.llm import (ann, linededup, lm_score, mixing, neardup, packing, quality, secretscan,
+                          tokenfile, toxicity, trie, urls, whitening)
 from wavespan.llm.registry import query, table
 from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder
@@ -198,3 +199,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spectrum_whitening")
 def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_assignment_secrets")
+def op12_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def listed(found):
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("found", lambda x: x["kind"] != "literal")
+    return secretscan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"),
+        number("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"), number("literal").alias("n_literal"))
