@@ -61,7 +61,8 @@ def test_few_or_odd_vectors(spark):
 
 @pytest.mark.parametrize("spectrum", [
     np.arange(40, 0, -1.0), np.geomspace(1e6, 1e-6, 40), [5.0] * 6 + [1.0] * 34,
-    [3.0, 3.0 - 1e-12, *[0.0] * 38], [7.0] * 40])
+    [3.0, 3.0 - 1e-12, *[0.0] * 38], [7.0] * 40,
+    np.random.default_rng(8).chisquare(900, 40), [9.0, 5.0, 5.0 - 1e-7, *np.linspace(4.9999, 4.99, 37)]])
 def test_eigenpairs_are_certified(spectrum):
     rng = np.random.default_rng(0)
     q, _ = np.linalg.qr(rng.normal(size=(40, 40)))

@@ -213,7 +213,8 @@ def leading_eigenpairs(v: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarra
                 low = max(low, shift)
             else:
                 high = min(high, shift)
-        while high - low > width and not (above(low) == k and above(high) == k - 1):
+        # other eigenvalues at least an interval's length away: the middle's nearest is the one in it
+        while high - low > width and not (above(2 * low - high) == k and above(2 * high - low) == k - 1):
             middle = (low + high) / 2
             low, high = (middle, high) if above(middle) >= k else (low, middle)
         value, vector = rayleigh(v, low, high, vectors)
