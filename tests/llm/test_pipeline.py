@@ -82,4 +82,4 @@ def test_stages_equal_their_operators_on_odd_rows(spark, odd_docs):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavespan.llm.batches import bounded
-from wavespan.llm.tokens import encoder
+from wavespan.llm.batches import bounded, whole_groups
+from wavespan.llm.tokens import MAX_WORDS, encoder
 from wavespan.session import stored
 
 CAPACITY = 2048
@@ -39,21 +40,25 @@ def narrow(ids: np.ndarray) -> bytes:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY,
-                 with_ids: bool = False, binary: bool = False) -> DataFrame:
+                 with_ids: bool = False, binary: bool = False, with_crc: bool = True,
+                 max_words: int = MAX_WORDS) -> DataFrame:
     """Cut every document (doc_id, text), encoded and closed by ``end_id``, into pieces of
     ``capacity`` ids and one shorter piece.
 
     A null text counts as empty and gives one piece with ``end_id`` only. Rows may repeat; each
     is a document of its own. Other columns are ignored. ``binary`` ids are little-endian unsigned
-    numbers of ``WIDTH`` bits; a larger id raises.
+    numbers of ``WIDTH`` bits; a larger id raises. ``part`` and ``nth`` number the pieces of a
+    length in the task that cut them. Without ``with_crc`` the checksums are null.
     """
-    schema = PIECES + (", ids binary" if binary else ", ids array<bigint>") * with_ids
+    schema = PIECES + ", part bigint, nth bigint" + (
+        ", ids binary" if binary else ", ids array<bigint>") * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
+        words, end = encoder(tokenizer, max_words), np.array([end_id], dtype="<u4")
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            doc, start, length, crc, total, ids = [], [], [], [], [], []
+            doc, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
             for name, found in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)),
                                    strict=True):
                 found = np.concatenate([found, end])
@@ -62,11 +67,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                     doc.append(name)
                     start.append(i)
                     length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
+                    crc.append(zlib.crc32(piece.tobytes()) if with_crc else None)
                     total.append(len(found))
+                    nth.append(seen[len(piece)])
+                    seen[len(piece)] += 1
                     if with_ids:
                         ids.append(narrow(piece) if binary else piece.astype(np.int64))
-            arrays = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
+            arrays = [pa.array(x, pa.int64())
+                      for x in (doc, start, length, crc, total, [part] * len(doc), nth)]
             if with_ids:
                 arrays.append(pa.array(ids, pa.binary() if binary else pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -127,37 +135,29 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarra
             for k, v in runs.items()}
 
 
-def ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """``__rank`` from 0 among the pieces of a length, without gathering a length in one task."""
-    # as many parts of a length as there are partitions: no part outgrows a fair share
-    buckets = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    # counted in the same partitions in which the pieces are ranked
-    sizes = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "__bucket",
-                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("length", "__bucket").orderBy(*keys)
-    return (dealt.withColumn("__place", F.row_number().over(within) - 1)
-            .join(sizes, ["length", "__bucket"])
-            .withColumn("__rank", F.col("__before") + F.col("__place"))
-            .drop("__bucket", "__before", "__place"))
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY,
-         keys: tuple[str, ...] = ("doc_id", "start", "ids_crc32", "doc_tokens")) -> DataFrame:
+def ranked(pieces: DataFrame) -> DataFrame:
+    """``__rank`` from 0 among the pieces of a length: ``nth`` after those of earlier parts. A line
+    for each length and part is shuffled, no piece."""
+    sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("length", "part",
+                                 F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")))
+    return (pieces.join(starts, ["length", "part"])
+            .withColumn("__rank", F.col("__before") + F.col("nth")).drop("__before", "part", "nth"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset: no overlap, no gap, at most ``capacity`` each.
 
-    ``pieces`` is read three times and should be stored. ``keys`` order the pieces of a length;
-    pieces equal in all of them may swap places. Lengths must lie in 1 to ``capacity``, which
+    ``pieces`` is read three times and should be stored. It has ``part`` and ``nth``, as
+    :func:`token_pieces` gives them, and these go. Lengths must lie in 1 to ``capacity``, which
     bounds the histogram that is collected.
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if histogram and not 0 < min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"piece lengths must lie in 1 to {capacity}")
     places = slots(patterns(histogram, capacity))
-    rows = ranked(pieces, list(keys))
+    rows = ranked(pieces)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     at, of = rows.columns.index("__rank"), rows.columns.index("length")
 
@@ -182,59 +182,60 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
     return rows.mapInArrow(place, schema + ", sequence_id bigint, offset bigint").drop("__rank")
 
 
-def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = PAD_ID,
-              extra: tuple[str, ...] = ()) -> DataFrame:
+def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = PAD_ID) -> DataFrame:
     """The token arrays themselves: sequence_id, n_ids (before padding), ids.
 
-    ``packed`` carries ``ids`` per piece, as an array or in binary form; those of the sequence have
-    the same form. A sequence is padded to ``capacity`` unless its number of ids is a power of two.
-    With ``extra``, ``parts`` lists these columns of each piece after its offset.
+    ``packed`` carries ``ids`` per piece, as an array. A sequence is padded to ``capacity`` unless
+    its number of ids is a power of two.
     """
-    n = F.sum("length")
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", *extra)))
-    rows = packed.groupBy("sequence_id").agg(n.alias("n_ids"), parts.alias("parts"))
-    power = F.bit_count("n_ids") == 1
-    listed = [F.transform("parts", lambda p: F.struct(p["offset"], *[
-        p[c].alias(c) for c in extra])).alias("parts")] if extra else []
-    if dict(packed.dtypes)["ids"] == "binary":
-        bytes_of = WIDTH // 8
-        joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
-        size = F.when(power, F.col("n_ids")).otherwise(F.lit(capacity)) * bytes_of
-        padded = F.rpad(joined, size.cast("int"), F.lit(pad_id.to_bytes(bytes_of, "little")))
-        return rows.select("sequence_id", "n_ids", padded.alias("ids"), *listed)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_ids"), parts.alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    pad = F.array_repeat(F.lit(pad_id).cast("long"),
-                         F.when(power, 0).otherwise(F.lit(capacity) - F.col("n_ids")).cast("int"))
-    return rows.select("sequence_id", "n_ids", F.concat(ids, pad).alias("ids"), *listed)
+    pad = F.array_repeat(F.lit(pad_id).cast("long"), F.when(
+        F.bit_count("n_ids") == 1, 0).otherwise(F.lit(capacity) - F.col("n_ids")).cast("int"))
+    return rows.select("sequence_id", "n_ids", F.concat(ids, pad).alias("ids"))
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pad_id: int = PAD_ID,
+                     max_words: int = MAX_WORDS) -> DataFrame:
     """Every piece of ``docs`` as it lies in its padded sequence.
 
-    ``length`` is the distance to the next piece (or the end of the ids), and ``ids_crc32`` that of
-    the ids found there. The first piece of a sequence carries the padded sequence, ``sequence``.
+    ``length`` and ``ids_crc32`` are those of the ids found in the sequence at the piece's offset.
+    The first piece of a sequence carries the padded sequence, ``sequence``. Pieces are sorted by
+    sequence and offset, so that a task joins, pads and checks whole batches of sequences at once.
     """
-    pieces = stored(token_pieces(docs, tokenizer, capacity=capacity, with_ids=True, binary=True),
-                    compression="zstd")
-    extra = ("doc_id", "start", "doc_tokens")
-    made = sequences(pack(pieces, capacity), capacity, extra=extra)
+    pieces = stored(token_pieces(docs, tokenizer, capacity=capacity, with_ids=True, binary=True,
+                                 with_crc=False, max_words=max_words), compression="zstd")
+    columns = ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids"]
+    dealt = pack(pieces, capacity).select(*columns).repartition("sequence_id").sortWithinPartitions(
+        "sequence_id", "offset")
     names = [*PACKED_NAMES, "sequence"]
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for sequence, n, data, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(data, f"<u{WIDTH // 8}").astype("<u4")
-                ends = [p["offset"] for p in parts[1:]] + [n]
-                for p, end in zip(parts, ends, strict=True):
-                    found = ids[p["offset"]:end]
-                    rows.append((p["doc_id"], p["start"], len(found), zlib.crc32(found.tobytes()),
-                                 p["doc_tokens"], sequence, p["offset"],
-                                 ids.astype("<i4") if p["offset"] == 0 else None))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.int64()] * len(PACKED_NAMES) + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["sequence_id"]):
+            c = {x: table.column(x).to_numpy() for x in columns[:-1] if x != "doc_id"}
+            blobs = table.column("ids").to_pylist()
+            length = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // (WIDTH // 8)
+            flat = np.frombuffer(b"".join(blobs), f"<u{WIDTH // 8}")
+            first = np.flatnonzero(np.append(True, np.diff(c["sequence_id"]) != 0))
+            n_ids = np.add.reduceat(length, first)
+            size = np.where(n_ids & (n_ids - 1) == 0, n_ids, capacity)
+            begin = np.cumsum(size) - size
+            out = np.full(int(size.sum()), pad_id, dtype="<i4")
+            out[np.arange(len(flat)) + np.repeat(begin - (np.cumsum(n_ids) - n_ids), n_ids)] = flat
+            pieces_of = np.diff(np.append(first, len(length)))
+            at = np.repeat(begin, pieces_of) + c["offset"]
+            raw = memoryview(out).cast("B")
+            crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(),
+                                                                strict=True)]
+            bounds, empty = np.zeros(len(length) + 1, dtype=np.int32), np.ones(len(length), dtype=bool)
+            bounds[first + 1], empty[first] = size, False
+            sequence = pa.ListArray.from_arrays(pa.array(np.cumsum(bounds, dtype=np.int32)),
+                                                pa.array(out), mask=pa.array(empty))
+            arrays = [table.column("doc_id").combine_chunks(), pa.array(c["start"]), pa.array(length),
+                      pa.array(crc, pa.int64()), pa.array(c["doc_tokens"]), pa.array(c["sequence_id"]),
+                      pa.array(c["offset"]), sequence]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = ", ".join(f"{c} bigint" for c in PACKED_NAMES) + ", sequence array<int>"
-    return bounded(made).mapInArrow(unpack, schema)
+    schema = ", ".join(f"{x} bigint" for x in PACKED_NAMES) + ", sequence array<int>"
+    return bounded(dealt).mapInArrow(fill, schema)
