@@ -157,6 +157,62 @@ def test_fixed_width(frame, spark, tmp_path):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, data.collect()), key=str)
 
 
+NAMED = [Field("name", 1, 7, "string"), Field("a", 8, 3), Field("b", 11, 3)]
+
+
+def test_fixed_width_of_one_byte_and_of_several(spark, frame, tmp_path):
+    lines = [("José", 12, 34), ("Ÿves€", 5, N), ("Zoë Ñu", 6, 789), (N, N, 1)]
+    (tmp_path / "latin.txt").write_bytes(b"Jos\xe9    12 34\r\nZo\xeb \xd1u   6789\n\n")
+    latin = fixed_width.read_fixed_width(spark, str(tmp_path / "latin.txt"), NAMED, "latin-1", "byte")
+    assert set(map(tuple, latin.collect())) == {lines[0], lines[2], (N, N, N)}
+    data = frame("name string, a long, b long", lines)
+    for i, (charset, unit) in enumerate([("cp1252", "byte"), ("cp1252", "char"), ("UTF-8", "char"),
+                                         ("iso8859-15", "byte")]):
+        path = str(tmp_path / str(i))
+        fixed_width.write_fixed_width(data, path, NAMED, charset, unit)
+        assert sorted(map(tuple, fixed_width.read_fixed_width(spark, path, NAMED, charset, unit).collect()),
+                      key=str) == sorted(lines, key=str)
+    # a byte layout of UTF-8: the wide characters use up the width of their own field only
+    wide = [Field("name", 1, 10, "string"), Field("a", 11, 3), Field("b", 14, 3)]
+    path = str(tmp_path / "wide")
+    fixed_width.write_fixed_width(data, path, wide, "UTF-8", "byte")
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "wide").glob("part-*")))
+    assert {len(x) for x in raw.splitlines()} == {16}
+    assert sorted(map(tuple, fixed_width.read_fixed_width(spark, path, wide, "UTF-8", "byte").collect()),
+                  key=str) == sorted(lines, key=str)
+
+
+def test_fixed_width_refuses_what_it_cannot_read_or_write(spark, frame, tmp_path):
+    (tmp_path / "latin.txt").write_bytes(b"Jos\xe9    12 34\n")
+    with pytest.raises(Exception, match="UTF"):
+        fixed_width.read_fixed_width(spark, str(tmp_path / "latin.txt"), NAMED).collect()
+    with pytest.raises(ValueError, match="single bytes"):
+        fixed_width.read_fixed_width(spark, str(tmp_path / "latin.txt"), NAMED, "utf-16")
+    for row in (("far too long", 1, 2), ("x", 1234, 2), ("日", 1, 2)):
+        with pytest.raises(Exception, match="too wide|not in"):
+            fixed_width.format_fixed_width(frame("name string, a long, b long", [row]), NAMED,
+                                           charset="latin-1", unit="byte").collect()
+
+
+def test_file_order_over_files_and_blocks(spark, tmp_path):
+    rows = [f"V{i},{'x' * (i % 50)}" for i in range(20_000)]
+    one, three = tmp_path / "one", tmp_path / "three"
+    one.mkdir()
+    three.mkdir()
+    (one / "a.csv").write_text("\n".join(["Y1968,LABEL", *rows]) + "\n")
+    for name, part in (("a.csv", rows[:7]), ("b.csv", []), ("c.csv", rows[7:15_000]), ("d.csv", rows[15_000:])):
+        (three / name).write_text("\n".join(["Y1968,LABEL", *part]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        found = [files.crosswalk(spark, str(path)).orderBy("ord").collect() for path in (one, three)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for got in found:
+        assert [r.ord for r in got] == list(range(20_000))
+        assert [r.Y1968 for r in got] == [f"V{i}" for i in range(20_000)]
+
+
 def test_panel_round_trip_prunes_years(frame, spark, tmp_path):
     panel = frame("pid long, year int, x double", [(p, y, float(p)) for p in range(9)
                                                    for y in (1990, 1991, 1992)])

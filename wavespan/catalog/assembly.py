@@ -4,6 +4,8 @@ Customers are households, orders are persons of the cross-wave index, suppliers
 supplement; raw variable names differ by wave as they do in the survey.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wavespan.catalog.adapter import rounded, sql_rounded, table
@@ -11,6 +13,7 @@ from wavespan.catalog.registry import query
 from wavespan.operators import assemble
 from wavespan.sources import fixed_width
 from wavespan.sources.fixed_width import Field
+from wavespan.session import shared_folder
 
 FAMILY_REQUEST = {
     1994: {"money": "ER2100", "area": "ER2101"},
@@ -258,6 +261,33 @@ def fixed_width_ingest(spark, sf_dir):
     return fixed_width.parse_fixed_width(lines, LAYOUT)
 
 
+FILE_LAYOUT = [Field("c_custkey", 1, 10), Field("name", 11, 24, "string"),
+               Field("c_acctbal", 35, 12, "double", decimals=2), Field("area", 48, 14, "string")]
+
+
+@query("fixed_width_files", """
+select c_custkey, translate(c_name, 'uo', 'üö') as name, c_acctbal, n_name || 'é€' as area,
+       charset
+from customer join nation on n_nationkey = c_nationkey,
+     (values ('ISO-8859-15'), ('UTF-8'), ('UTF-8 by bytes')) as charsets(charset)""")
+def fixed_width_files(spark, sf_dir):
+    """Names with accents from files of one byte per character, and from UTF-8 laid out by
+    characters and by bytes."""
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"), F.concat("n_name", F.lit("é€")).alias("area"))
+    customers = table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
+        "c_custkey", F.translate("c_name", "uo", "üö").alias("name"), "c_acctbal", "area")
+    found = None
+    for label, charset, unit in (("ISO-8859-15", "ISO-8859-15", "byte"), ("UTF-8", "UTF-8", "char"),
+                                 ("UTF-8 by bytes", "UTF-8", "byte")):
+        path = f"{shared_folder(spark)}/wavespan/{uuid.uuid4().hex}"
+        fixed_width.write_fixed_width(customers, path, FILE_LAYOUT, charset, unit)
+        read = fixed_width.read_fixed_width(spark, path, FILE_LAYOUT, charset, unit).withColumn(
+            "charset", F.lit(label))
+        found = read if found is None else found.unionByName(read)
+    return found
+
+
 SQL_ANSWERS = """
 answers as (
     select 1994 as year, c_custkey as k, case when c_custkey % 3 = 0 then 'A' || c_custkey

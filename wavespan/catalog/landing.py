@@ -33,7 +33,7 @@ def landing_zone(spark, sf_dir):
 
 def as_csv(spark, df):
     path = job_folder(spark)
-    df.coalesce(1).write.option("header", True).csv(path)   # of a dimension table, or a year's rows
+    df.write.option("header", True).csv(path)   # one file a task, in the order of their names
     return path
 
 
@@ -95,7 +95,7 @@ def landed_prices(spark, sf_dir):
 select p_brand as code, p_size::varchar as common,
        row_number() over (order by p_partkey desc) - 1 as ord from part""")
 def landed_census_crosswalk(spark, sf_dir):
-    """Rows keep the order they have in the file."""
+    """Rows keep the order they have in the files, one for each range of the sort."""
     parts = table(spark, sf_dir, "part").orderBy(F.desc("p_partkey")).select(
         F.col("p_brand").alias("1970"), F.col("p_size").alias("ACS 2010-"), "p_name")
     return files.census_crosswalk(spark, as_csv(spark, parts), {"1970": "code", "ACS 2010-": "common"})

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import to_number
@@ -52,15 +52,24 @@ def _csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
 
 
 def with_file_order(df: DataFrame, out: str = "ord") -> DataFrame:
-    """Numbers in file order for the rows of a table that is one file; several files raise.
+    """Numbers the rows of a table read from files from 0, in file order: files by name, each from
+    its first row to its last.
 
-    A file may be read in blocks. A block's rows are fewer than its bytes, so its first byte plus
-    the row's place in it ascends through the whole file.
+    A file may be read in blocks. The rows of a block are counted where they lie; a line for each
+    block is summed up, and rows take their block's start plus their place in it. The numbered rows
+    are kept once, so that count and place come from the same reading.
     """
-    if len(df.inputFiles()) > 1:
-        raise ValueError("file order needs a table of one file")
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.select("*", (F.col("_metadata.file_block_start") + within).alias(out))
+    at = [F.col("_metadata.file_path").alias("__file"),
+          F.col("_metadata.file_block_start").alias("__block"),
+          F.monotonically_increasing_id().alias("__row")]
+    rows = stored(df.select("*", *at))
+    blocks = rows.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"),
+                                                   F.min("__row").alias("__first"))
+    earlier = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(blocks.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))))
+    place = F.col("__start") + F.col("__row") - F.col("__first")
+    joined = rows.join(starts.drop("__n"), ["__file", "__block"])
+    return joined.select(*df.columns, place.alias(out))
 
 
 def crosswalk(spark: SparkSession, path: str) -> DataFrame:
