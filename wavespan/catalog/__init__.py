@@ -2,5 +2,5 @@
 
 from wavespan.catalog.registry import ORACLES, QUERIES, query  # noqa: F401
 from wavespan.catalog import (  # noqa: F401,E402
-    assembly, changes, codes, descriptive, events, exposure, landing, models, recodes, samples,
+    assembly, changes, codes, descriptive, events, exposure, landing, long_chain, models, recodes, samples,
     semantics, spells)

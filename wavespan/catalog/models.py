@@ -9,7 +9,7 @@ from wavespan.catalog.adapter import (SQL_CODES_ON_SPELLS, SQL_PANEL, SQL_SPELLS
                                       sql_changes, sql_rounded, table)
 from wavespan.catalog.registry import query
 from wavespan.catalog.samples import SQL_LONG, SQL_SURVEY, long_sample, price_index, survey
-from wavespan.operators import exposure, recode, regress
+from wavespan.operators import absorb, exposure, recode, regress
 from wavespan.operators.change import ChangeRules
 from wavespan.plans import presets
 
@@ -94,6 +94,33 @@ def ols_absorbed_collinear(spark, sf_dir):
     return _shown(regress.within_ols(lines, "log_price", ["quantity", "twice", "discount"], "year"))
 
 
+@query("ols_absorbed_pair", f"""
+with lines as (select ln(l_extendedprice) as y, l_quantity::double as x, l_partkey as part,
+                      (l_linestatus = 'O')::int::double as d from lineitem),
+apart as (select y - avg(y) over p as y, x - avg(x) over p as x, d - avg(d) over p as d, part,
+                 max(d) over p > min(d) over p as meets, y - avg(y) over () as from_mean
+          from lines window p as (partition by part)),
+s as (select count(*) as n, sum(x * x) as xx, sum(x * d) as xd, sum(d * d) as dd, sum(x * y) as xy,
+             sum(d * y) as dy, sum(y * y) as yy, sum(from_mean * from_mean) as total,
+             count(*) - count(distinct part) - (case when bool_or(meets) then 1 else 0 end) - 1 as dof
+      from apart),
+fit as (select *, xx * dd - xd * xd as det, (xy * dd - dy * xd) / (xx * dd - xd * xd) as b,
+               (dy * xx - xy * xd) / (xx * dd - xd * xd) as g from s)
+select 'quantity' as term, {sql_rounded("b", 8)} as estimate,
+       {sql_rounded("sqrt((yy - b * xy - g * dy) / dof * dd / det)", 8)} as std_error, n, dof,
+       {sql_rounded("1 - (yy - b * xy - g * dy) / total", 8)} as r2
+from fit""")
+def ols_absorbed_pair(spark, sf_dir):
+    """Two factors taken out, one with as many levels as there are parts."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.log("l_extendedprice").alias("log_price"), F.col("l_quantity").alias("quantity"),
+        "l_partkey", "l_linestatus")
+    fit = absorb.absorbed_ols(lines, "log_price", ["quantity"], ["l_linestatus", "l_partkey"])
+    return fit.select("term", rounded("estimate", 8).alias("estimate"),
+                      rounded("std_error", 8).alias("std_error"), "n", "dof",
+                      rounded("r2", 8).alias("r2"))
+
+
 @query("ols_full", f"""
 with {SQL_PANEL},
 rows_ as (select *, ln(wage) as log_wage from panel where wage > 0),
@@ -498,9 +525,8 @@ LATE_ERA = 2003
 LONG_PRESET = replace(presets.LONG, late_era_from=LATE_ERA)
 
 
-@query("careers_long", f"""
-with {SQL_LONG},
-{sql_changes("sample", RULES.tolerance)},
+#: From the long sample to its spells.
+SQL_LONG_SPELLS = f"""{sql_changes("sample", RULES.tolerance)},
 occ_rows as (
     select pid, year, occ_common <> lag(occ_common) over (partition by pid order by year) as differs
     from changes where occ_common is not null),
@@ -510,6 +536,7 @@ ind_rows as (
 gated as (
     select c.*, coalesce(o.differs, false) and change_t as occ_emp,
            coalesce(o.differs, false) and change_24t as occ_24t,
+           coalesce(i.differs, false) and change_t as ind_emp,
            coalesce(i.differs, false) and change_24t as ind_24t
     from changes c
     left join occ_rows o on o.pid = c.pid and o.year = c.year
@@ -549,12 +576,19 @@ coded as (
                       over w)::int, 0) as occ_spell,
            nullif((sum(case when year = occ_start then 1 when occ_24t then weight else 0 end)
                    over w)::int, 0) as occ_spell_24t,
+           nullif((sum(case when year = ind_start then 1 when ind_emp then weight else 0 end)
+                   over w)::int, 0) as ind_spell,
            nullif((sum(case when year = ind_start then 1 when ind_24t then weight else 0 end)
                    over w)::int, 0) as ind_spell_24t,
            year - lag(year) over (partition by pid order by year) as since,
            min(case when tenure is not null then year end) over (partition by pid, emp_spell)
                as first_report
-    from starts window w as (partition by pid order by year rows unbounded preceding))
+    from starts window w as (partition by pid order by year rows unbounded preceding))"""
+
+
+@query("careers_long", f"""
+with {SQL_LONG},
+{SQL_LONG_SPELLS}
 select pid, year, emp_spell, emp_spell_24t, occ_spell, occ_spell_24t, ind_spell_24t,
        {sql_rounded("""sum(case when tenure is not null and year = first_report then tenure
             when emp_status = 1 and hours >= 800 then coalesce(since, 0) else 0 end)

@@ -148,24 +148,33 @@ sample as (
     left join late l on l.code = nullif(k.ind3, 0) and k.year >= 2003)"""
 
 
-def long_survey(spark, sf_dir):
-    """The survey moved to 1999-2005, so that both code eras occur."""
+def long_columns(df):
+    """Both eras' columns of the long preset."""
     pid = F.col("pid")
-    return survey(spark, sf_dir).withColumns({
-        "year": F.col("year") + 4, "occ3_early": F.col("occ3"), "occ3_late": F.col("ind3"),
-        "ind3_early": F.col("ind3"), "ind3_late": F.col("occ3"), "modality_early": F.col("modality"),
+    return df.withColumns({
+        "occ3_early": F.col("occ3"), "occ3_late": F.col("ind3"), "ind3_early": F.col("ind3"),
+        "ind3_late": F.col("occ3"), "modality_early": F.col("modality"),
         "modality_late": F.when(pid % 29 == 0, 3).otherwise(1),
         "government_early": F.col("government"),
         "government_late": F.when(pid % 31 == 0, 1).otherwise(5),
     }).drop("occ3", "ind3", "modality", "government")
 
 
-def long_sample(spark, sf_dir):
+def long_survey(spark, sf_dir):
+    """The survey moved to 1999-2005, so that both code eras occur."""
+    return long_columns(survey(spark, sf_dir).withColumn("year", F.col("year") + 4))
+
+
+def long_codes(spark, sf_dir):
     key = F.col("p_partkey")
-    codes = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         (key % 8).cast("string").alias("code_1970"), (key % 5 + 1).cast("string").alias("code_2000"),
         F.when(key % 8 == 3, 6005).otherwise(F.nullif(F.col("p_size"), F.lit(50)))
         .alias("code_common"), F.col("p_brand").alias("one_digit"), key.alias("ord"))
+
+
+def long_sample(spark, sf_dir):
+    codes = long_codes(spark, sf_dir)
     index = price_index(spark, sf_dir).withColumn("year", F.col("year") + 4)
     return presets.select_sample_long(long_survey(spark, sf_dir), index, codes, codes,
                                       base_year=2001)

@@ -30,7 +30,8 @@ def ols(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
 
     The rows are read once, into counts, means and covariances per combination of levels, which
     combine where the rows lie. From those come the sums per level and pair of levels; only they
-    reach the driver, and more than ``MOST_LEVELS`` levels raise before they do. Generalised least
+    reach the driver, and more than ``MOST_LEVELS`` levels raise before they do (``absorbed_ols`` has
+    no such limit and gives the terms' coefficients only). Generalised least
     squares without a correlation or variance structure has the same coefficients, so it is this
     function applied to demeaned regressors.
     """
@@ -51,7 +52,8 @@ def ols(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
     count = whole["n"] or 0
     levels = sum(whole[f"levels{g}"] for g in groups)
     if levels > MOST_LEVELS:
-        raise ValueError(f"{levels} levels of {list(factors)}: more than {MOST_LEVELS}")
+        raise ValueError(f"{levels} levels of {list(factors)}: more than {MOST_LEVELS}; absorbed_ols "
+                         "takes them out without coefficients of their own")
     means = np.array([whole[f"m{i}"] or 0.0 for i in spots])
     off = [F.col(f"__m{i}") - F.lit(float(means[i])) for i in spots]
     sums = cells.agg(*[F.sum(n * (F.col(f"__c{i}_{j}") + off[i] * off[j])).alias(f"s{i}_{j}")
