@@ -1,20 +1,26 @@
 """Recodes and derived columns."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wavespan.catalog.adapter import SQL_PANEL, panel, rounded, sql_rounded, table
 from wavespan.catalog.registry import query
-from wavespan.operators import exposure, recode
+from wavespan.operators import exposure, recode, rules
 from wavespan.operators.recode import Recode
+from wavespan.session import shared_folder
 
 
-@query("recode_sentinels", f"""
+SQL_SENTINELS = f"""
 with {SQL_PANEL}
 select pid, year, case when year = 1998 then null when ind3 = 0 then null
                        when year <= 1997 and ind3 in (5, 6) then null else ind3 end as ind3,
        case when year >= 1999 and hours in (998, 999) then 0 else hours end as hours,
        case when tenure = 0.25 then null else tenure end as tenure
-from panel""")
+from panel"""
+
+
+@query("recode_sentinels", SQL_SENTINELS)
 def recode_sentinels(spark, sf_dir):
     return recode.recode(panel(spark, sf_dir), [
         Recode("ind3", None, lo=1998, hi=1998), Recode("ind3", (0,)),
@@ -23,6 +29,45 @@ def recode_sentinels(spark, sf_dir):
     ]).select("pid", "year", "ind3", "hours", "tenure")
 
 
+RULE_FILE = [
+    (1, "ind3", "code", 1998, 1998, None, None), (2, "ind3", "code", None, None, "0", None),
+    (3, "ind3", "code", None, 1997, "5", None), (4, "ind3", "code", None, 1997, "6", None),
+    (5, "hours", "code", 1999, None, "998", "0"), (6, "hours", "code", 1999, None, "999", "0"),
+    (7, "tenure", "code", None, None, "0.25", None)]
+MORE_RULES = [
+    (1, "code", "era", None, None, "ind3", None), (2, "code", "era", 1999, None, "occ3", None),
+    (3, "measure", "role", None, None, "tenure", "wage"), (4, "hours", "unit", 1996, 1998, None, "12"),
+    (5, "code", "code", None, 1999, "3", "2"), (6, "code", "code", 1998, None, "3", "4")]
+
+
+def _rule_file(spark, rows):
+    path = f"{shared_folder(spark)}/wavespan/{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, rules.SCHEMA).write.option("header", True).csv(path)
+    return rules.read_rules(spark, path)
+
+
+@query("recode_from_rules", SQL_SENTINELS)
+def recode_from_rules(spark, sf_dir):
+    """The sentinels again, from a rule file."""
+    return rules.apply_rules(panel(spark, sf_dir), _rule_file(spark, RULE_FILE)).select(
+        "pid", "year", "ind3", "hours", "tenure")
+
+
+@query("eras_roles_units_from_rules", f"""
+with {SQL_PANEL},
+eras as (select *, case when year >= 1999 then occ3 else ind3 end as code from panel)
+select pid, year, relation, case when code = 3 and year <= 1999 then 2
+                                 when code = 3 then 4 else code end as code,
+       case when relation in (20, 22) then wage else tenure end as measure,
+       {sql_rounded("case when year between 1996 and 1998 then hours::double / 12 else hours end")}
+           as hours
+from eras""")
+def eras_roles_units_from_rules(spark, sf_dir):
+    """Eras, roles, units and codes from one rule file; of rules for one code the first counts."""
+    df = rules.apply_rules(panel(spark, sf_dir), _rule_file(spark, MORE_RULES))
+    return df.select("pid", "year", "relation", "code", "measure", rounded("hours").alias("hours"))
+
+
 @query("era_coalesce", f"""
 with {SQL_PANEL}
 select pid, year, case when year >= 1999 then occ3 else ind3 end as code,

@@ -1,8 +1,8 @@
 """Joins with small code tables: harmonisation, hierarchies, unmatched codes.
 
 Code tables read from files carry no hint: Spark broadcasts them by their measured size. Tables
-derived here are materialised, counted and broadcast if they prove small. Beyond that, both fall
-back to a sort-merge join with skew handling.
+derived here are broadcast within a stated number of rows that the query itself tests; without one
+they fall back to a sort-merge join with skew handling.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import to_number
-from wavespan.session import as_dimension
+from wavespan.operators.lookup import MOST_CODES, bounded
 
 
 def last_match(table: DataFrame, keys: Sequence[str], values: Sequence[str],
@@ -40,14 +40,15 @@ def _all_present(keys: Sequence[str]) -> Column:
 
 def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int, DataFrame, str]],
                     outputs: dict[str, str], year: str = "year", order: str = "ord",
-                    zero_is_missing: Sequence[str] = (),
-                    distinct_on: Sequence[str] = ()) -> DataFrame:
+                    zero_is_missing: Sequence[str] = (), distinct_on: Sequence[str] = (),
+                    most_codes: int | None = MOST_CODES) -> DataFrame:
     """Map codes of several classification eras to common ones.
 
     ``eras`` lists (first year, last year, crosswalk, key column); ``outputs`` maps output column
     to crosswalk column. Of repeated codes ``last_match`` takes one; ``distinct_on`` names further
-    crosswalk columns by which it tells duplicates. Years outside every era and codes without a match give NULL. The eras
-    are stacked into one dimension keyed by (era, code), so the panel is joined once.
+    crosswalk columns by which it tells duplicates. Years outside every era and codes without a
+    match give NULL. The eras are stacked into one dimension keyed by (era, code), so the panel is
+    joined once. More than ``most_codes`` codes raise; None joins any number by sort-merge.
     """
     values = list(outputs.values())
     stacked = None
@@ -59,8 +60,8 @@ def harmonise_codes(panel: DataFrame, code: str, eras: Sequence[tuple[int, int,
             ["__code"], values, order, ["__text", *distinct_on]).withColumn("__era", F.lit(i))
         stacked = part if stacked is None else stacked.unionByName(part)
         era = F.when(F.col(year).between(lo, hi), F.lit(i)).otherwise(era)
-    renamed = as_dimension(stacked.select(
-        "__era", "__code", *[F.col(v).alias(out) for out, v in outputs.items()]))
+    renamed = bounded(stacked.select(
+        "__era", "__code", *[F.col(v).alias(out) for out, v in outputs.items()]), most_codes)
     keyed = panel.withColumns({"__era": era, "__code": F.col(code).cast("double")})
     joined = keyed.join(renamed, ["__era", "__code"], "left").drop("__era", "__code")
     return joined.withColumns({c: F.nullif(F.col(c), F.lit(0)) for c in zero_is_missing})

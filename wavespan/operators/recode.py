@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import as_col, first_valid, is_one_of, known, na_ifelse, to_number
-from wavespan.session import as_dimension
+from wavespan.operators.lookup import as_map
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class Recode:
     hi: int | None = None
 
 
-def _years(year: str, lo: int | None, hi: int | None) -> Column:
+def in_years(year: str, lo: int | None, hi: int | None) -> Column:
     y = F.col(year)
     test = F.lit(True)
     if lo is not None:
@@ -43,7 +43,7 @@ def recode(df: DataFrame, rules: Sequence[Recode], year: str = "year") -> DataFr
     columns: dict[str, Column] = {}
     for rule in rules:
         current = columns.get(rule.column, F.col(rule.column))
-        hit = _years(year, rule.lo, rule.hi)
+        hit = in_years(year, rule.lo, rule.hi)
         if rule.codes is not None:
             hit = hit & is_one_of(current, rule.codes)
         target = F.lit(rule.to).cast(types[rule.column])
@@ -55,7 +55,7 @@ def scale_in_era(df: DataFrame, column: str, divide_by: float, lo: int, hi: int,
                  year: str = "year") -> DataFrame:
     """Unit conversion of a column in years ``lo..hi`` (for example months to years)."""
     x = F.col(column).cast("double")
-    return df.withColumn(column, F.when(_years(year, lo, hi), x / divide_by).otherwise(x))
+    return df.withColumn(column, F.when(in_years(year, lo, hi), x / divide_by).otherwise(x))
 
 
 def era_coalesce(df: DataFrame, choices: dict[str, tuple[str, str, int]], year: str = "year",
@@ -65,7 +65,7 @@ def era_coalesce(df: DataFrame, choices: dict[str, tuple[str, str, int]], year:
     ``until`` closes the late era; the early column applies outside it.
     """
     columns = {
-        out: F.when(_years(year, since, until), F.col(late)).otherwise(F.col(early))
+        out: F.when(in_years(year, since, until), F.col(late)).otherwise(F.col(early))
         for out, (early, late, since) in choices.items()
     }
     sources = {c for early, late, _ in choices.values() for c in (early, late)} - set(choices)
@@ -111,16 +111,14 @@ def deflate(df: DataFrame, index: DataFrame, wage: str, out: str, base_year: int
             year: str = "year", value: str = "value") -> DataFrame:
     """Wage in base-year prices; NULL where the index has no value for the year.
 
-    The index has one row per year; the factors are computed once and broadcast if their number
-    proves small, so the panel is never shuffled on the year. The base-year value is a scalar
-    subquery rather than a join.
+    The index has one row per year and is looked up as one map, so the panel is neither joined nor
+    shuffled on the year.
     """
-    base = index.filter(F.col(year) == base_year).agg(F.max(value)).scalar()
-    factors = as_dimension(index.select(F.col(year), (base / F.col(value)).alias("__factor")))
-    return (
-        df.join(factors, year, "left")
-        .withColumn(out, F.col(wage) * F.col("__factor")).drop("__factor")
-    )
+    prices = as_map(index, year, value)
+    by = dict(index.dtypes)[year]
+    factor = F.try_element_at(prices, F.lit(base_year).cast(by)) / F.try_element_at(
+        prices, F.col(year).cast(by))
+    return df.withColumn(out, F.col(wage) * factor)
 
 
 def dummy(df: DataFrame, out: str, column: str, equals, negate: bool = False) -> DataFrame:

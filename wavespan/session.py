@@ -83,13 +83,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def as_dimension(df: DataFrame) -> DataFrame:
-    """Materialise a derived lookup table, so that Spark knows its size in bytes.
-
-    Spark estimates a derived table (an aggregate, say) by the size of its input and would shuffle
-    the big side on a handful of lookup keys. Of a stored one it knows the bytes: it broadcasts
-    what is under its own threshold and shuffles, with skew handling, beyond it.
-    """
-    return stored(df)
