@@ -5,6 +5,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
+from wavespan import session
 from wavespan.operators import describe, regress
 
 N = None
@@ -60,6 +61,32 @@ def test_missing_group_has_its_own_box_and_level(frame):
     assert level == {N: 1.5, 1: 5.0}
 
 
+def test_several_values_share_the_passes(frame, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(y), float(a), None if b > 2 else float(b)) for y, a, b in zip(
+        rng.integers(0, 3, 900), rng.normal(size=900) * 1e9, rng.normal(size=900))]
+    df = frame("year int, a double, b double", rows + [(None, -0.0, None)])
+    written = []
+    monkeypatch.setattr(describe, "stored", lambda x: written.append(x) or session.stored(x))
+    out = {(r.year, r.variable): tuple(r)[2:] for r in describe.exact_percentiles(
+        df, ["a", "b"], [0.1, 0.5], names=["low", "mid"]).collect()}
+    assert len(written) <= 5      # the rows, and a table for each pass of both
+    assert len(out) == 7 and out[None, "a"] == (0.0, 0.0)
+    for y in range(3):
+        for i, name in ((1, "a"), (2, "b")):
+            values = [r[i] for r in rows if r[0] == y and r[i] is not None]
+            assert out[y, name] == pytest.approx(np.quantile(values, [0.1, 0.5]), rel=1e-12)
+
+
+def test_one_pass_where_cells_suffice(frame, monkeypatch):
+    written = []
+    monkeypatch.setattr(describe, "stored", lambda x: written.append(x) or session.stored(x))
+    df = frame("year int, x double", [(i % 3, i % 11 / 4) for i in range(500)])
+    medians = {r.year: r.p50 for r in describe.exact_percentiles(df, "x", [0.5]).collect()}
+    assert medians == {y: np.median([i % 11 / 4 for i in range(500) if i % 3 == y]) for y in range(3)}
+    assert len(written) == 2      # the rows and one pass
+
+
 def test_box(sample):
     pdf = sample.toPandas()
     for row in describe.box_by_year(sample, "x").collect():

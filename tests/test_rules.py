@@ -73,8 +73,8 @@ def test_lookups_run_no_job_before_the_query(spark, frame):
 def test_lookups_beyond_their_bound(frame):
     panel = frame("year int, wage double, code int", [(i, 1.0, i) for i in range(20)])
     index = frame("year int, value double", [(i, 1.0) for i in range(20)])
-    with pytest.raises(Exception, match="more than 10 keys"):
-        panel.select(lookup.as_map(index, "year", "value", most=10)).collect()
+    with pytest.raises(Exception, match="more than 10 rows"):
+        panel.join(lookup.bounded(index, 10), "year").collect()
     codes = frame("k string, v int, ord long", [(str(i), i, i) for i in range(20)])
     era = [(0, 20, codes, "k")]
     with pytest.raises(Exception, match="more than 10 rows"):

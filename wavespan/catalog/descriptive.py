@@ -175,6 +175,40 @@ def box_by_year(spark, sf_dir):
                       "whisker_low", "whisker_high", "outliers", "n")
 
 
+@query("boxes_by_year", f"""
+with {SQL_PANEL},
+long as (select year, variable, value from (
+    select year, tenure, wage, hours::double as hours from panel)
+    unpivot include nulls (value for variable in (tenure, wage, hours))),
+q as (select year, variable, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median,
+             quantile_cont(value, 0.75) as q3 from long where value is not null group by all),
+r as (select q.*, value, value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as near
+      from long p join q on q.year = p.year and q.variable = p.variable where value is not null)
+select year, variable, {sql_rounded("q1")} as q1, {sql_rounded("median")} as median,
+       {sql_rounded("q3")} as q3, min(value) filter (where near) as whisker_low,
+       max(value) filter (where near) as whisker_high,
+       count(*) filter (where not near) as outliers, count(*) as n
+from r group by r.year, r.variable, r.q1, r.median, r.q3""")
+def boxes_by_year(spark, sf_dir):
+    """Boxes of several variables from the same passes."""
+    box = describe.box_by_year(panel(spark, sf_dir), ["tenure", "wage", "hours"])
+    return box.select("year", "variable", *[rounded(c).alias(c) for c in ("q1", "median", "q3")],
+                      "whisker_low", "whisker_high", "outliers", "n")
+
+
+@query("levels_by_year", f"""
+with {SQL_PANEL}
+select year, variable, {sql_rounded("avg(value)")} as mean_value,
+       {sql_rounded("quantile_cont(value, 0.5)")} as median_value, count(*) as n_rows
+from (select year, tenure, wage from panel)
+unpivot include nulls (value for variable in (tenure, wage)) group by all""")
+def levels_by_year(spark, sf_dir):
+    """Mean and median of several variables from the same passes."""
+    return describe.level_by_year(panel(spark, sf_dir), ["tenure", "wage"]).select(
+        "year", "variable", rounded("mean_value").alias("mean_value"),
+        rounded("median_value").alias("median_value"), "n_rows")
+
+
 @query("hist_by_year", f"""
 with {SQL_PANEL}
 select year, case when wage < 5 then 0 when wage >= 45 then 11

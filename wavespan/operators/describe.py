@@ -82,18 +82,25 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int,
     )
 
 
-#: Bits of a value's key still to be told apart after each pass.
-SHIFTS = (48, 32, 16, 0)
+#: Cells of a pass for a group: one for each value of so many bits.
+CELL_BITS = 16
 
 
-def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Group columns, the value and a whole number in the order of the values, NULL with them.
+def _keyed(df: DataFrame, values: Sequence[str], by: Sequence[str], named: bool) -> DataFrame:
+    """Group columns, the value and a whole number in the order of the values, NULL with them; with
+    ``named`` a row for each of ``values`` and its name, ``variable``.
 
     The bits of a double, read as a number, ascend with it if it is positive and descend if not.
     """
-    x = F.col(value).cast("double") + 0.0     # one zero
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("long")
-    rows = df.select(*by, x.alias("__x"), F.when(x.isNotNull(), bits).alias("__bits"))
+    x = [F.col(v).cast("double") + 0.0 for v in values]     # one zero
+    if named:
+        rows = df.select(*by, F.inline(F.array(*[
+            F.struct(F.lit(v).alias("variable"), c.alias("__x")) for v, c in zip(values, x)])))
+        by = [*by, "variable"]
+    else:
+        rows = df.select(*by, x[0].alias("__x"))
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col("__x")).cast("long")
+    rows = rows.select(*by, "__x", F.when(F.col("__x").isNotNull(), bits).alias("__bits"))
     key = F.when(F.col("__bits") < 0, F.col("__bits").bitwiseXOR(F.lit((1 << 63) - 1)))
     return rows.select(*by, "__x", F.coalesce(key, "__bits").alias("__key"))
 
@@ -113,44 +120,48 @@ def _beside(df: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFram
     return df.join(right, _same(columns)).drop(*[f"__r_{c}" for c in columns])
 
 
+def _shift() -> Column:
+    """Bits by which keys from ``__low`` to ``__high`` are cut, so that few enough prefixes are left."""
+    differ = F.col("__low").bitwiseXOR(F.col("__high"))
+    return F.greatest(F.length(F.bin(differ)) - F.lit(CELL_BITS), F.lit(0)).alias("__shift")
+
+
 def _quantiles(rows: DataFrame, points: Sequence[float], by: Sequence[str], names: Sequence[str]
                ) -> DataFrame:
     """Quantiles of stored rows of ``_keyed``."""
     known = rows.filter(F.col("__key").isNotNull())
-    n = F.sum("__n").over(Window.partitionBy(*by))
-    targets = None
-    for shift in SHIFTS:
-        inside = F.lit(0).cast("long") if targets is None else F.shiftright("__key", last)
-        cells = known.withColumn("__in", inside)
-        if targets is not None:
-            cells = _beside(cells, stored(targets.select(*by, F.col("__part").alias("__in"))
-                                          .distinct()), [*by, "__in"])
-        # at most 65,536 cells for a group and prefix, combined where the rows lie
-        cells = cells.groupBy(*by, "__in", F.shiftright("__key", shift).alias("__part")).agg(
-            F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__low"),
-            F.max("__key").alias("__high"))
-        ordered = Window.partitionBy(*by, "__in").orderBy("__part")
-        cells = stored(cells.withColumn("__upto", F.sum("__n").over(ordered)))
-        if targets is None:
-            sizes = cells.groupBy(*by).agg(F.sum("__n").alias("__size"))
-            ranks = []
-            for p in points:
-                k = F.floor((F.col("__size") - 1) * F.lit(p))
-                ranks += [k, F.least(k + 1, F.col("__size") - 1)]
-            targets = sizes.select(*by, "__size", F.posexplode(F.array(*ranks)).alias(
-                "__slot", "__rank"), F.lit(0).cast("long").alias("__in"))
-        else:
-            targets = targets.select(*by, "__size", "__slot", "__rank",
-                                     F.col("__part").alias("__in"))
-        found = _beside(cells, targets, [*by, "__in"]).filter(
-            (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__n") <= F.col("__rank")))
-        targets = stored(found.select(
-            *by, "__size", "__slot", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"),
-            "__part", "__low", "__high"))
+    span = ["__low", "__high"]
+    ranks = []
+    for p in points:
+        k = F.floor((F.col("__size") - 1) * F.lit(p))
+        ranks += [k, F.least(k + 1, F.col("__size") - 1)]
+    kept = [*by, "__size", "__slot", "__rank", *span]
+    targets = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__size"), F.min("__key").alias("__low"), F.max("__key").alias("__high")
+    ).select(*by, "__size", F.posexplode(F.array(*ranks)).alias("__slot", "__rank"), *span)
+    done = []
+    while True:
+        # at most 65,536 cells for a group and range of keys, combined where the rows lie
+        ranges = targets.select(*by, *span).distinct().select(*by, *span, _shift())
+        right = ranges.withColumnsRenamed({c: f"__r_{c}" for c in by})
+        inside = known.join(right, _same(by) & F.col("__key").between(F.col("__low"), F.col("__high"))) \
+            .select(*by, *span, "__key", F.expr("shiftright(__key, __shift)").alias("__part"))
+        cells = inside.groupBy(*by, *span, "__part").agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__least"),
+            F.max("__key").alias("__most"))
+        upto = Window.partitionBy(*by, *span).orderBy("__part").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        found = _beside(cells.withColumn("__upto", F.sum("__n").over(upto)), targets, [*by, *span])
+        targets = stored(found.filter(
+            (F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__n") <= F.col("__rank"))
+        ).select(*by, "__size", "__slot",
+                 (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"),
+                 F.col("__least").alias("__low"), F.col("__most").alias("__high")).select(*kept))
+        done.append(targets.filter("__low = __high"))
         if not targets.filter("__low <> __high").limit(1).count():
             break
-        last = shift
-    at = targets.groupBy(*by, "__size").agg(*[
+        targets = targets.filter("__low <> __high")
+    at = reduce(DataFrame.unionByName, done).groupBy(*by, "__size").agg(*[
         F.max(F.when(F.col("__slot") == i, F.col("__low"))).alias(f"__{i}")
         for i in range(2 * len(points))])
     interpolated = []
@@ -162,42 +173,57 @@ def _quantiles(rows: DataFrame, points: Sequence[float], by: Sequence[str], name
     return at.select(*by, *interpolated)
 
 
-def exact_percentiles(df: DataFrame, value: str, points: Sequence[float],
+def _listed(value: str | Sequence[str], by: Sequence[str]) -> tuple[list[str], list[str], bool]:
+    """The values, the columns that tell groups apart, and whether the variable is one of them."""
+    if isinstance(value, str):
+        return [value], list(by), False
+    return list(value), [*by, "variable"], True
+
+
+def exact_percentiles(df: DataFrame, value: str | Sequence[str], points: Sequence[float],
                       by: Sequence[str] = ("year",), names: Sequence[str] | None = None
                       ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, for groups of any size.
 
-    The input is evaluated once and kept as (group, value) rows. Each pass counts the rows of a
-    group by 16 further bits of an order-preserving key and narrows every wanted rank to one
-    prefix; counts combine where the rows lie, so no task meets more than 65,536 of them for a
-    group and prefix. Passes end when each prefix holds one value, after four at most. NULL is a
-    group like any other; groups without a value have no row.
+    Several values share every pass; the result then has a row for each, named in ``variable``.
+    The input is evaluated once and kept as (group, value) rows. A pass counts a group's rows by the
+    leading bits in which its least and greatest order-preserving keys differ, and narrows every
+    wanted rank to one prefix; counts combine where the rows lie, so no task meets more than 65,536
+    of them for a group and range. Passes end when each prefix holds one value: after one where a
+    group's values differ in their leading 16 bits, after four at most. NULL is a group like any
+    other; groups without a value have no row.
     """
     points = [float(p) for p in points]
     names = list(names) if names is not None else [f"p{round(p * 100)}" for p in points]
-    return _quantiles(stored(_keyed(df, value, list(by))), points, list(by), names)
-
-
-def level_by_year(df: DataFrame, value: str, year: str = "year") -> DataFrame:
-    """Mean and median of the non-missing values and the number of rows, by wave."""
-    rows = stored(_keyed(df, value, [year]))
-    plain = rows.groupBy(year).agg(F.avg("__x").alias("mean_value"),
-                                   F.count(F.lit(1)).alias("n_rows"))
-    medians = _quantiles(rows, [0.5], [year], ["median_value"])
-    medians = medians.withColumnRenamed(year, "__year")
-    return plain.join(medians, F.col(year).eqNullSafe(F.col("__year")), "left").drop("__year")
-
-
-def box_by_year(df: DataFrame, value: str, year: str = "year", reach: float = 1.5) -> DataFrame:
-    """Box statistics by wave: quartiles, whiskers within ``reach`` box lengths, outliers."""
-    rows = stored(_keyed(df, value, [year]))
-    quartiles = stored(_quantiles(rows, [0.25, 0.5, 0.75], [year], ["q1", "median", "q3"]))
+    values, groups, named = _listed(value, by)
+    return _quantiles(stored(_keyed(df, values, list(by), named)), points, groups, names)
+
+
+def level_by_year(df: DataFrame, value: str | Sequence[str], year: str = "year") -> DataFrame:
+    """Mean and median of the non-missing values and the number of rows, by wave; of several values
+    with a row for each, ``variable``."""
+    values, groups, named = _listed(value, [year])
+    rows = stored(_keyed(df, values, [year], named))
+    plain = rows.groupBy(*groups).agg(F.avg("__x").alias("mean_value"),
+                                      F.count(F.lit(1)).alias("n_rows"))
+    medians = _quantiles(rows, [0.5], groups, ["median_value"]).withColumnsRenamed(
+        {c: f"__r_{c}" for c in groups})
+    return plain.join(medians, _same(groups), "left").drop(*[f"__r_{c}" for c in groups])
+
+
+def box_by_year(df: DataFrame, value: str | Sequence[str], year: str = "year", reach: float = 1.5
+                ) -> DataFrame:
+    """Box statistics by wave: quartiles, whiskers within ``reach`` box lengths, outliers; of several
+    values with a row for each, ``variable``."""
+    values, groups, named = _listed(value, [year])
+    rows = stored(_keyed(df, values, [year], named))
+    quartiles = _quantiles(rows, [0.25, 0.5, 0.75], groups, ["q1", "median", "q3"])
     x = F.col("__x")
     span = (F.col("q3") - F.col("q1")) * F.lit(float(reach))
     near = (x >= F.col("q1") - span) & (x <= F.col("q3") + span)
     return (
-        _beside(rows.filter(x.isNotNull()), quartiles, [year])
-        .groupBy(year, "q1", "median", "q3")
+        _beside(rows.filter(x.isNotNull()), quartiles, groups)
+        .groupBy(*groups, "q1", "median", "q3")
         .agg(F.min(F.when(near, x)).alias("whisker_low"), F.max(F.when(near, x)).alias("whisker_high"),
              F.count_if(~near).alias("outliers"), F.count(F.lit(1)).alias("n"))
     )

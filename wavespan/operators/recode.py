@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import as_col, first_valid, is_one_of, known, na_ifelse, to_number
-from wavespan.operators.lookup import as_map
+from wavespan.operators.lookup import MOST_YEARS, bounded
 
 
 @dataclass(frozen=True)
@@ -111,14 +111,17 @@ def deflate(df: DataFrame, index: DataFrame, wage: str, out: str, base_year: int
             year: str = "year", value: str = "value") -> DataFrame:
     """Wage in base-year prices; NULL where the index has no value for the year.
 
-    The index has one row per year and is looked up as one map, so the panel is neither joined nor
-    shuffled on the year.
+    The index has one row per year, at most ``MOST_YEARS``; it is broadcast with the base-year value
+    beside each row, so the panel is never shuffled on the year.
     """
-    prices = as_map(index, year, value)
-    by = dict(index.dtypes)[year]
-    factor = F.try_element_at(prices, F.lit(base_year).cast(by)) / F.try_element_at(
-        prices, F.col(year).cast(by))
-    return df.withColumn(out, F.col(wage) * factor)
+    prices = bounded(
+        index.filter(F.col(year).isNotNull()).select(year, F.col(value).alias("__price")), MOST_YEARS,
+        overall={"__base": F.max(F.when(F.col(year) == base_year, F.col("__price")))})
+    return (
+        df.join(prices, year, "left")
+        .withColumn(out, F.col(wage) * (F.col("__base") / F.col("__price")))
+        .drop("__base", "__price")
+    )
 
 
 def dummy(df: DataFrame, out: str, column: str, equals, negate: bool = False) -> DataFrame:
