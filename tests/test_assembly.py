@@ -315,3 +315,40 @@ def test_declared_series(frame, spark, tmp_path):
     assert literal["ind3_job3"] == ("ind3_job3_head", "ind3_job1_spouse")
     assert len(series.role_pairs()) == 31
     assert {"occ3", "ind3"} <= set(series.short_columns(panel).columns)
+
+
+def test_one_scan_of_all_waves_equals_a_scan_a_wave(frame, spark, tmp_path):
+    root = str(tmp_path / "land")
+    frame("V3 int, V10 int, V20 string", [(1, 5, "7"), (2, N, "8"), (3, 6, " x ")]).write.parquet(
+        f"{root}/fam/year=1968")
+    frame("v442 long, v10 long, V30 double", [(1, 2**40, 0.5), (4, 9, N)]).write.parquet(f"{root}/fam/year=1969")
+    frame("V1102 int, V40 float", [(7, 1.5)]).write.parquet(f"{root}/fam/year=1970")
+    request = {1968: {"pay": "V10", "other": "V20"}, 1969: {"pay": "V10", "other": "V30"},
+               1970: {"pay": None, "other": "V40"}}
+    years, types = [1968, 1969, 1970], {"other": "double"}
+    scan = files.family_scan(spark, root, years)
+    one = assemble.household_waves(scan, request, types=types)
+    waves = assemble.household_waves(files.family_waves(spark, root, years), request, types=types)
+    assert one.dtypes == waves.dtypes
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, waves.collect()), key=str)
+    assert {(1968, 1, 5, 7.0), (1968, 3, 6, N), (1969, 1, 2**40, 0.5), (1969, 4, 9, N), (1970, 7, N, 1.5)} == \
+        set(map(tuple, one.collect()))
+    assert one._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    # text in one wave, numbers in another: no common table
+    frame("V1802 int, V10 string", [(1, "a")]).write.parquet(f"{root}/fam/year=1971")
+    assert files.family_scan(spark, root, [*years, 1971]) is None
+
+
+def test_chain_over_buckets_of_persons_shuffles_nothing(frame, spark, tmp_path):
+    from wavespan.operators import change, spells
+    panel = frame("pid long, year int, tenure double, emp_status int",
+                  [(p, 1980 + y, float((p * y) % 4), 1) for p in range(60) for y in range(6)])
+    files.write_bucketed(panel, "bucketed_careers", 4, str(tmp_path / "bucketed"))
+    try:
+        def chain(df):
+            return spells.employer_spells(change.job_change(df))
+        stored = chain(spark.table("bucketed_careers"))
+        assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, stored.collect())) == sorted(map(str, chain(panel).select(*stored.columns).collect()))
+    finally:
+        spark.sql("drop table bucketed_careers")

@@ -44,7 +44,7 @@ from assembled left join supplier on s_suppkey = interview and year = 1994""")
 def landed_panel(spark, sf_dir):
     root, years = landing_zone(spark, sf_dir), list(FAMILY_REQUEST)
     return assemble.build_panel(
-        files.family_waves(spark, root, years), files.person_index(spark, root), FAMILY_REQUEST,
+        files.family_scan(spark, root, years), files.person_index(spark, root), FAMILY_REQUEST,
         INDEX_REQUEST, wealth=files.wealth_waves(spark, root, years),
         wealth_request=WEALTH_REQUEST, design="all").select(*PANEL_COLUMNS, "assets")
 

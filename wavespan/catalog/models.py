@@ -1,5 +1,6 @@
 """Regressions and the end-to-end career analyses."""
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from wavespan.catalog.samples import SQL_LONG, SQL_SURVEY, long_sample, price_in
 from wavespan.operators import absorb, exposure, recode, regress
 from wavespan.operators.change import ChangeRules
 from wavespan.plans import presets
+from wavespan.session import shared_folder
+from wavespan.sources import files
 
 
 def two_regressor_sql(source: str, y: str, a: str, b: str, by: str, digits: int = 6) -> str:
@@ -315,11 +318,14 @@ exposed as (
     from worked)"""
 
 
-def careers(spark, sf_dir):
-    sample = presets.select_sample_short(
+def careers_sample(spark, sf_dir):
+    return presets.select_sample_short(
         survey(spark, sf_dir), price_index(spark, sf_dir), base_year=1997, years=(1995, 2001),
         education_years=(2000, 1998, 1996))
-    return presets.careers(sample, PRESET, RULES)
+
+
+def careers(spark, sf_dir):
+    return presets.careers(careers_sample(spark, sf_dir), PRESET, RULES)
 
 
 @query("careers_end_to_end", f"""
@@ -451,6 +457,19 @@ def careers_exposures(spark, sf_dir):
         *[rounded(c, 3).alias(c) for c in TERMS])
 
 
+@query("careers_from_bucketed", f"""
+with {SQL_EXPOSURES}
+select pid, year, emp_spell, occ_spell_24t, {", ".join(f"{sql_rounded(c)} as {c}" for c in EXPOSURES)}
+from totals""")
+def careers_from_bucketed(spark, sf_dir):
+    """The chain over a sample stored in buckets of persons: it shuffles nothing."""
+    name = f"sample_{uuid.uuid4().hex}"
+    files.write_bucketed(careers_sample(spark, sf_dir), name, 8,
+                         f"{shared_folder(spark)}/wavespan/{name}")
+    return presets.careers(spark.table(name), PRESET, RULES).select(
+        "pid", "year", "emp_spell", "occ_spell_24t", *[rounded(c).alias(c) for c in EXPOSURES])
+
+
 @query("careers_instruments", f"""
 with {SQL_INSTRUMENTS}
 select pid, year, {", ".join(f"{sql_rounded(c, 3)} as {c}" for c in INSTRUMENTS)}

@@ -89,14 +89,45 @@ def harmonise_wave(wave: DataFrame, year: int, names: Mapping[str, str | None],
     return lower.select(F.lit(year).alias("year"), interview.alias("interview"), *columns)
 
 
-def household_waves(family: Mapping[int, DataFrame], request: Request,
+def household_scan(scan: DataFrame, request: Request, keys: Mapping[int, str] | None = None,
+                   types: Mapping[str, str] | None = None) -> DataFrame:
+    """:func:`household_waves` over one table of all waves, which has a column ``year``: one scan,
+    whose every variable is picked from that of the row's wave."""
+    lower = normalise_case(scan, upper=False)
+    kinds = dict(lower.dtypes)
+
+    def by_wave(sources: dict[int, str], to: str) -> Column:
+        value = F.lit(None).cast(to)
+        for year, raw in sources.items():
+            value = F.when(F.col("year") == year, converted(F.col(raw), kinds[raw], to)).otherwise(value)
+        return value
+
+    columns, answered = [], F.lit(False)
+    for out in _outputs(request):
+        raws = {y: n[out].lower() for y, n in request.items() if n.get(out) is not None}
+        kind = (types or {}).get(out) or common_type([kinds[r] for r in raws.values()])
+        columns.append(by_wave(raws, kind).alias(out))
+    interviews = {y: (keys[y] if keys else key_variables(y).family_interview).lower() for y in request}
+    for year, names in request.items():
+        first = next((out for out in names if names[out] is not None), None)
+        given = F.lit(True) if first is None else F.col(first).isNotNull()
+        answered = answered | ((F.col("year") == year) & given)
+    rows = lower.filter(F.col("year").isin(*request)).select(
+        F.col("year").cast("int").alias("year"), by_wave(interviews, "long").alias("interview"), *columns)
+    return rows.filter(answered)
+
+
+def household_waves(family: Mapping[int, DataFrame] | DataFrame, request: Request,
                     keys: Mapping[int, str] | None = None,
                     types: Mapping[str, str] | None = None) -> DataFrame:
     """All household waves in one long table, without the households that did not respond.
 
     A household that did not respond has no value in the first requested variable, in the order
-    of the request, that its wave has.
+    of the request, that its wave has. ``family`` maps years to waves, each with a schema of its
+    own, or is one table of all waves.
     """
+    if isinstance(family, DataFrame):
+        return household_scan(family, request, keys, types)
     outputs = _outputs(request)
     types = output_types(family, request, types)
     waves = []
@@ -158,7 +189,7 @@ def wealth_waves(wealth: Mapping[int, DataFrame], request: Request,
     return union_waves(waves) if waves else None
 
 
-def build_panel(family: Mapping[int, DataFrame], index: DataFrame, family_request: Request,
+def build_panel(family: Mapping[int, DataFrame] | DataFrame, index: DataFrame, family_request: Request,
                 index_request: Request | None = None,
                 wealth: Mapping[int, DataFrame] | None = None,
                 wealth_request: Request | None = None, sample: str | None = None,

@@ -156,11 +156,17 @@ def survey_panel(spark: SparkSession, root: str, crosswalk: DataFrame,
     """All members of all waves in a landing zone, with the declared series, roles collapsed."""
     family_request, person_request = declared_requests(crosswalk, years)
     panel = assemble.build_panel(
-        files.family_waves(spark, root, years), files.person_index(spark, root), family_request,
-        person_request, design="all")
+        _families(spark, root, years), files.person_index(spark, root), family_request, person_request,
+        design="all")
     return collapse_roles(panel, semantics)
 
 
+def _families(spark: SparkSession, root: str, years: Sequence[int]):
+    """All waves as one scan, or each for itself where they share no types."""
+    scan = files.family_scan(spark, root, years)
+    return files.family_waves(spark, root, years) if scan is None else scan
+
+
 def core_heads_panel(spark: SparkSession, root: str, family_list: DataFrame,
                      person_list: DataFrame, wealth_list: DataFrame | None = None) -> DataFrame:
     """Heads of the core sample, all waves, from long variable lists."""
@@ -168,7 +174,7 @@ def core_heads_panel(spark: SparkSession, root: str, family_list: DataFrame,
     wealth_request = assemble.request_from_long(wealth_list) if wealth_list is not None else None
     years = list(family_request)
     return assemble.build_panel(
-        files.family_waves(spark, root, years), files.person_index(spark, root), family_request,
+        _families(spark, root, years), files.person_index(spark, root), family_request,
         assemble.request_from_long(person_list),
         wealth=files.wealth_waves(spark, root, years) if wealth_request else None,
         wealth_request=wealth_request, sample="SRC", heads="any", design="all")

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavespan.functions.na import to_number
+from wavespan.operators.assemble import common_type
 from wavespan.operators.recode import normalise_case
 from wavespan.session import stored
 
@@ -31,6 +34,32 @@ def family_waves(spark: SparkSession, root: str, years: Iterable[int]) -> dict[i
     return {y: spark.read.parquet(f"{root}/fam/year={y}") for y in years}
 
 
+def family_scan(spark: SparkSession, root: str, years: Iterable[int]) -> DataFrame | None:
+    """The household files of the given years as one table with a column ``year``: one scan.
+
+    A variable that several waves carry under one name takes the widest of its number types. Where
+    a wave has text and another numbers there is no common table: None.
+    """
+    paths = [f"{root}/fam/year={y}" for y in years]
+    reader = spark.read.option("basePath", f"{root}/fam")
+    try:
+        return reader.option("mergeSchema", True).parquet(*paths)
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
+            raise
+    fields: dict[str, list] = {}
+    for path in paths:
+        for f in spark.read.parquet(path).schema:
+            fields.setdefault(f.name.lower(), []).append(f)
+    kinds = {}
+    for name, found in fields.items():
+        kinds[name] = common_type([f.dataType.simpleString() for f in found])
+        if kinds[name] == "string" and any(f.dataType.simpleString() != "string" for f in found):
+            return None
+    schema = ", ".join(f"`{found[0].name}` {kinds[name]}" for name, found in fields.items())
+    return reader.schema(f"{schema}, year int").parquet(*paths)
+
+
 def wealth_waves(spark: SparkSession, root: str, years: Iterable[int]) -> dict[int, DataFrame]:
     """Supplements of the given years, where there is one."""
     landed = {p.rstrip("/").rsplit("year=", 1)[1]: p
@@ -106,6 +135,17 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     panel.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
 
 
+def write_bucketed(panel: DataFrame, table: str, buckets: int, path: str | None = None,
+                   pid: str = "pid", year: str = "year") -> None:
+    """Store a panel as a table bucketed by person and sorted by person and wave, a file a bucket.
+
+    Whatever partitions by person alone (the career chain, joins of two such tables) then needs no
+    exchange. Read it with ``spark.table``.
+    """
+    writer = panel.repartition(buckets, pid).write.mode("overwrite").bucketBy(buckets, pid).sortBy(pid, year)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def read_panel(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
     """Read a written panel; a year list prunes partitions."""
     panel = spark.read.parquet(path)
