@@ -87,7 +87,7 @@ def test_mixing_meets_targets_and_repeats_rows(docs, odd_docs):
 
 def test_line_templates(docs, odd_docs):
     own = [f"{w} own line of words" for w in "abcdefgh"]
-    rows = [(i, f"{own[i]}\nPosted by user{i} on day {i} of the year\n7 {i}\nsame words in all {w}")
+    rows = [(i, f"{own[i]}\nPosted by user{i} on day {i} of the year\n7 {i}\nsame words in all of it {w}")
             for i, w in enumerate(("x", "x", "y", "x", "x"))] + [(9, own[7])]
     out = {r.doc_id: r for r in linededup.drop_recurring(docs(*rows)).collect()}
     assert out[0].text == rows[0][1] and out[0].n_dropped == 0  # the first keeps its lines
@@ -207,6 +207,21 @@ def test_bands_of_the_corpus_reject_junk_that_base_counts_pass(docs):
     assert again == bands  # copies count once
 
 
+def test_openings_alone_make_no_template_and_passages_repeat_twice(docs):
+    passage = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnop'[i % 6]} said" for i in range(60))
+    rows = [(i, f"Was it true {w}\nnow and then the {w} {w}\nonly {w} here\nshort and the same line")
+            for i, w in enumerate(("apple", "river", "stone", "cloud"))]
+    out = {r.doc_id: r for r in linededup.drop_recurring(docs(*rows)).collect()}
+    assert out[0].text == rows[0][1]
+    assert out[1].text == "Was it true river\nnow and then the river river\nonly river here"
+    own = [" ".join(f"{w}{'klmnopqrst'[i % 10]}{'abcdefg'[i % 7]}" for i in range(200)) for w in "uvwxyz"]
+    two = docs((1, f"{own[0]}\n{passage}"), (2, f"{own[1]}\n{passage}"), (3, f"{own[2]}\nshort and the same"),
+               (4, f"{own[3]}\nshort and the same"), (5, f"{own[4]}\nits end"), (6, f"{own[4]}\nits other end"))
+    out = {r.doc_id: r.text for r in linededup.drop_recurring(two).collect()}
+    kept = {r.doc_id: r.text for r in two.collect()}
+    assert out == kept | {2: own[1]}      # 6 is a copy of 5 and is left to the next stage
+
+
 def test_a_leaf_forms_as_many_templates_as_it_holds(docs, monkeypatch):
     fixed = ["all of it red green blue pink grey", "all of it one two three four five"]
     third = ["all of it sun moon star sky ", "all of it oak elm ash fir "]

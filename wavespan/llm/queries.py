@@ -92,6 +92,7 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_block_join")
 def op2_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat a vec_id count as one candidate, that of the least vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors.where("vec_id % 100 = 0"), vectors)
 
@@ -119,54 +120,67 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_SQL = r"""
-with texts as (
+with recursive texts as (
   select doc_id, text, row_number() over () as row from documents
 ), exploded as (
   select doc_id, text, row, pos - 1 as pos, lines[pos] as line
   from (select *, string_split(text, chr(10)) as lines from texts where text is not null),
        unnest(range(1, len(lines) + 1)) as u(pos)
 ), tokens as (
-  select doc_id, text, row, pos,
+  select doc_id, text, row, pos, line,
          list_transform(string_split(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' '),
                         lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as toks
   from exploded
 ), parsed as (
-  select doc_id, text, row, pos, toks, array_to_string(toks, ' ') as m,
+  select doc_id, text, row, pos, line, toks, array_to_string(toks, ' ') as m,
          len(toks)::varchar || ' ' || array_to_string(toks[1:3], ' ') as leaf
   from tokens where len(list_filter(toks, lambda x: x not in ('', '<*>'))) > 0
 ), lines as (
-  select leaf, m, any_value(toks) as toks, count(distinct text) as texts
+  select leaf, m, any_value(toks[4:]) as tail, any_value(len(toks) > 50) as passage,
+         count(distinct text) as texts, min(doc_id) as first_id
   from parsed group by leaf, m
-), open_leaves as (
-  select leaf from lines group by leaf having count(*) > 1 and sum(texts) >= 3
-), round1 as (
-  select l.*, h.head,
-         len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = h.head_toks[i]))
-         >= 0.6::double * len(toks) as near
-  from lines l join (
+), open_lines as (
+  select leaf, m, tail, texts from lines
+  where leaf in (select leaf from lines group by leaf having count(*) > 1 and sum(texts) >= 3)
+), rounds as (
+  select l.leaf, l.m, l.tail, l.texts, h.head,
+         len(list_filter(range(1, len(l.tail) + 1), lambda i: l.tail[i] = h.head_tail[i]))
+         >= 0.6::double * len(l.tail) as near
+  from open_lines l join (
     select leaf, first(m order by texts desc, m) as head,
-           first(toks order by texts desc, m) as head_toks
-    from lines where leaf in (select leaf from open_leaves) group by leaf) h using (leaf)
-), round2 as (
-  select l.leaf, l.m, h.head,
-         len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = h.head_toks[i]))
-         >= 0.6::double * len(toks) as near
-  from (select * from round1 where not near) l join (
+           first(tail order by texts desc, m) as head_tail from open_lines group by leaf) h using (leaf)
+  union all
+  select l.leaf, l.m, l.tail, l.texts, h.head,
+         len(list_filter(range(1, len(l.tail) + 1), lambda i: l.tail[i] = h.head_tail[i]))
+         >= 0.6::double * len(l.tail) as near
+  from rounds l join (
     select leaf, first(m order by texts desc, m) as head,
-           first(toks order by texts desc, m) as head_toks
-    from round1 where not near group by leaf) h using (leaf)
+           first(tail order by texts desc, m) as head_tail
+    from rounds where not near group by leaf
+    having count(*) > 1 and sum(texts) >= 3) h using (leaf)
+  where not l.near
 ), templates as (
-  select leaf, m, head from round1 where near
-  union all select leaf, m, head from round2 where near
-), named as (
-  select p.*, coalesce(t.head, p.m) as template
-  from parsed p left join templates t on p.leaf = t.leaf and p.m = t.m
+  select leaf, m, head as template from rounds where near
+), wide as (
+  select t.leaf, t.template, min(p.doc_id) as first_id
+  from parsed p join templates t on p.leaf = t.leaf and p.m = t.m
+  group by t.leaf, t.template having count(distinct p.text) >= 3
+), shared as (
+  select t.leaf, t.m, w.first_id, false as pair from templates t join wide w using (leaf, template)
 ), again as (
-  select leaf, template, min(doc_id) as first_id
-  from named group by leaf, template having count(distinct text) >= 3
+  select * from shared
+  union all
+  select leaf, m, first_id, texts < 3 from lines
+  where texts >= case when passage then 2 else 3 end
+    and (leaf, m) not in (select (leaf, m) from shared)
+), marked as (
+  select n.row, n.pos, a.pair,
+         sum(case when a.pair then strlen(n.line) else 0 end) over (partition by n.row) * 2
+         > strlen(n.text) as copied
+  from parsed n join again a
+    on n.leaf = a.leaf and n.m = a.m and n.doc_id is distinct from a.first_id
 ), gone as (
-  select row, pos from named n join again a
-    on n.leaf = a.leaf and n.template = a.template and n.doc_id is distinct from a.first_id
+  select row, pos from marked where not (pair and copied)
 ), left_over as (
   select t.row, count(*) as n_lines, count(g.pos) as n_dropped,
          string_agg(case when g.pos is null then e.line end, chr(10) order by e.pos) as kept
