@@ -47,6 +47,35 @@ def test_block_join_equals_brute_force(spark):
     assert ann.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_block_join_of_vectors_beyond_the_range_of_squares(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: (rng.normal(size=4) * s).tolist() for i, s in enumerate(
+        [1.0] * 8 + [1e154] * 6 + [1e200] * 6 + [1e-170] * 6 + [1e307] * 4)}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, frame, 10, block_rows=11, query_rows=7)
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, a in vectors.items():
+        want = sorted((math.hypot(*[x / 4 - y / 4 for x, y in zip(a, b)]), i)
+                      for i, b in vectors.items() if i != q)[:10]
+        assert len(got[q]) == 10
+        assert [s / 4 for _, s in got[q]] == pytest.approx([s for s, _ in want], rel=1e-12)
+
+
+def test_sketches_lose_no_link_between_small_sets():
+    # sets of a few shingles fill their bins with copies: seven deviations must allow for that
+    rng = np.random.default_rng(11)
+    for small, large, percent in ((4, 5, 80), (6, 7, 85), (8, 10, 80), (17, 20, 85), (40, 50, 80), (200, 250, 80)):
+        mean, variance = neardup.bits_moments(percent)
+        allowed = mean + neardup.SLACK_DEVIATIONS * np.sqrt(max(1.0, neardup.BINS / small) * variance)
+        for _ in range(1500):
+            a = np.unique(rng.integers(0, 1 << 64, large, dtype=np.uint64))
+            b = np.sort(rng.permutation(a)[:small])
+            bits = (neardup.signature(a) ^ neardup.signature(b)) & np.uint64(1)
+            assert bits.sum() <= allowed
+
+
 def shingles(text, width):
     words = [w for w in (text or "").encode().lower().split()]
     n = len(words)

@@ -83,9 +83,27 @@ def int8_rows(matrix: np.ndarray) -> tuple[np.ndarray, ...]:
             np.sqrt(((matrix - back) ** 2).sum(axis=1)))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; where squares would leave the range of doubles, of rows scaled."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        off = a - b
+        out = np.sqrt((off ** 2).sum(axis=1))
+        most = np.abs(off).max(axis=1)
+        odd = np.flatnonzero(~(most < 1e150) | ((most < 1e-150) & (most > 0)))
+        if len(odd):
+            half = a[odd] / 2 - b[odd] / 2
+            size = np.abs(half).max(axis=1)
+            half /= size[:, None]
+            out[odd] = np.sqrt((half ** 2).sum(axis=1)) * size * 2
+    return out
+
+
 def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
                  k: int) -> list[tuple[int, list[tuple[float, int]]]]:
-    """(query id, its at most k best (distance, id)) of one tile, exact; own ids left out."""
+    """(query id, its at most k best (distance, id)) of one tile, exact; own ids left out.
+
+    Vectors so large or small that bounds overflow or vanish are computed again, all of them.
+    """
     # products of int8 stay whole numbers in floats of enough bits, and those multiply fast
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     q8, q_scale, q_len, q_off = int8_rows(q)
@@ -100,16 +118,18 @@ def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         near = np.sqrt(np.maximum(product, 0, out=product), out=product)
         slack = q_off[rows, None] + c_off + 1e-6 * (q_len[rows, None] + c_len)
         own = q_ids[rows, None] == c_ids
-        near[own] = np.inf
+        near[~np.isfinite(near)] = np.nan
         upper = near + slack
+        upper[own] = np.nan
         limit = (np.partition(upper, k - 1, axis=1)[:, k - 1] if len(c) > k
                  else np.full(len(upper), np.inf))
-        left = (near - slack <= limit[:, None]) & ~own
+        # without a bound (NaN) a pair is not ruled out
+        left = ~(near - slack > limit[:, None]) & ~own
         at_q, at_c = np.nonzero(left)
         exact = np.empty(len(at_q))
         for j in range(0, len(at_q), PAIRS_AT_ONCE):
             part = slice(j, j + PAIRS_AT_ONCE)
-            exact[part] = np.sqrt(((q[i + at_q[part]] - c[at_c[part]]) ** 2).sum(axis=1))
+            exact[part] = distances(q[i + at_q[part]], c[at_c[part]])
         cuts = np.searchsorted(at_q, np.arange(len(near) + 1))
         names = c_ids[at_c]
         for r in range(len(near)):

@@ -48,10 +48,12 @@ def rows_per_band(percent: int) -> int:
     return max(r for r in range(1, BINS) if (1 - share ** r) ** (BINS // r) <= MISS)
 
 
-def most_bits(percent: int) -> int:
-    """Differing sketch bits allowed: expectation at the threshold and seven deviations."""
+def bits_moments(percent: int) -> tuple[float, float]:
+    """Expectation and variance of a pair's differing sketch bits at the threshold, if all bins are
+    filled. A set of fewer shingles than bins fills some of them with copies: its variance is as
+    many times larger as there are bins for a shingle."""
     p = (1 - percent / 100) / 2
-    return math.ceil(BINS * p + SLACK_DEVIATIONS * math.sqrt(BINS * p * (1 - p)))
+    return BINS * p, BINS * p * (1 - p)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -170,11 +172,14 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 def close(n1: str, n2: str, sketch1: tuple[str, str], sketch2: tuple[str, str],
           percent: int) -> Column:
-    """False for pairs that can't reach the threshold by size, or by sketch in practice."""
+    """False for pairs that can't reach the threshold by size, or by sketch in practice: beyond the
+    expectation at the threshold and ``SLACK_DEVIATIONS`` deviations."""
+    mean, variance = bits_moments(percent)
+    spread = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(BINS)) / F.least(n1, n2)) * F.lit(variance))
     bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
                 for x, y in zip(sketch1, sketch2, strict=True)), F.lit(0))
     return ((F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
-            & (bits <= most_bits(percent)))
+            & (bits <= F.lit(mean) + F.lit(float(SLACK_DEVIATIONS)) * spread))
 
 
 def star_edges(members: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +200,7 @@ def star_edges(members: DataFrame, percent: int) -> DataFrame:
 
 def tile_links(percent: int):
     """Finds links between members of different components in one tile of a bucket."""
-    allowed = most_bits(percent)
+    mean, variance = bits_moments(percent)
 
     def find(table: pa.Table) -> pa.Table:
         left = np.array(table.column("minor").to_pylist(), dtype=bool)
@@ -208,7 +213,9 @@ def tile_links(percent: int):
         cuts = cuts - cuts[0]
         li, ri = np.flatnonzero(left), np.flatnonzero(~left)
         differ = (BINS - bits[li] @ bits[ri].T) / 2
-        small = np.minimum(n[li, None], n[ri]) * 100 >= np.maximum(n[li, None], n[ri]) * percent
+        least = np.minimum(n[li, None], n[ri])
+        small = least * 100 >= np.maximum(n[li, None], n[ri]) * percent
+        allowed = mean + SLACK_DEVIATIONS * np.sqrt(np.maximum(1.0, BINS / least) * variance)
         ok = (differ <= allowed) & small & (label[li, None] != label[ri])
         at = np.argwhere(ok)
         at = at[np.argsort(differ[at[:, 0], at[:, 1]], kind="stable")]
