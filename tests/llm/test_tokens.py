@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavespan.llm import packing, tokenfile
 from wavespan.llm.eliasfano import EliasFano
@@ -53,6 +54,22 @@ def test_token_file_round_trip(spark, odd_docs, tmp_path):
     assert ends[-1] == segment["n_ids"]
 
 
+def test_documents_are_found_by_the_stored_samples(spark, docs, tmp_path):
+    path, broken = f"file://{tmp_path}/ids", f"file://{tmp_path}/broken"
+    frame = docs(*[(i, "one two three") for i in range(600)])
+    tokenfile.write_tokens(frame.coalesce(1), path, default_path(), segment_ids=1 << 20)
+    segments = spark.read.parquet(path)
+    spoilt = F.concat(F.substring("samples", 1, 8), F.lit(bytes([3] + [0] * 7)),
+                      F.expr("substring(samples, 17)"))
+    segments.withColumn("samples", F.when(F.length("samples") > 8, spoilt).otherwise(
+        F.col("samples"))).write.parquet(broken)
+    right = tokenfile.read_tokens(spark, path).orderBy("start").collect()
+    assert segments.where("length(samples) > 8").count()
+    assert len(right) == 600
+    with pytest.raises(Exception):
+        assert tokenfile.read_tokens(spark, broken).orderBy("start").collect() == right
+
+
 def test_token_file_of_no_documents(spark, docs, tmp_path):
     path = f"file://{tmp_path}/none"
     tokenfile.write_tokens(docs(), path, default_path())

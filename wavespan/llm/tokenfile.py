@@ -107,7 +107,8 @@ def _bases(segments: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row a document of a token table: doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers) and, if asked for, the ids."""
+    n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers) and, if asked for, the ids. Ends of
+    documents come from select."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
     schema = ("shard bigint, segment bigint, doc_id bigint, local_start bigint, n_tokens bigint, "
               "ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
@@ -116,7 +117,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 code, ids = read_segment(row)
-                ids, ends = ids.astype("<u4"), code.values()
+                ids = ids.astype("<u4")
+                ends = np.fromiter((code[i] for i in range(code.n)), dtype=np.int64, count=code.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 parts = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
