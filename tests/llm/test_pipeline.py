@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wavespan.llm import QUERIES, linededup, mixing, quality
@@ -80,6 +81,19 @@ def test_stages_equal_their_operators_on_odd_rows(spark, odd_docs):
     assert mixed == sum(r.copies for r in mixing.plan(odd_docs).collect())
 
 
+def test_repeated_rows_and_clashing_names(docs):
+    text = "one two three four five six seven"
+    rows = docs((1, text), (1, text), (2, text), (1, "other words of the same number here now"),
+                (None, text), (None, text)).withColumn("n_lines", F.lit("mine")).withColumn(
+        "n_dropped", F.lit(5))
+    kept = corpus_pipeline.near_dedup(None, rows, "").collect()
+    other = "other words of the same number here now"
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, text), (0, text), (1, text), (1, other)]
+    lines = corpus_pipeline.line_dedup(None, rows, "")
+    assert lines.columns == rows.columns
+    assert {(r.n_lines, r.n_dropped) for r in lines.collect()} == {("mine", 5)}
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
     assert numbers == list(range(1, 14))
