@@ -17,6 +17,11 @@ from wavespan.llm.tokens import default_path
 from wavespan.session import shared_folder
 
 
+#: Remembered words and bytes of text at a time of a packing worker, whose executor has stages of
+#: other kinds behind it.
+WORDS, TEXT_BYTES = 100_000, 4 << 20
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base counts and compression bands."""
     return quality.keep(docs)
@@ -62,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their sequence and offset; the first piece of a
     sequence carries its padded ids."""
-    return packing.packed_sequences(docs, default_path())
+    return packing.packed_sequences(docs, default_path(), max_words=WORDS, batch_bytes=TEXT_BYTES)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

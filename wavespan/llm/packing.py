@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.llm.batches import bounded, whole_groups
-from wavespan.llm.tokens import MAX_WORDS, encoder
+from wavespan.llm.tokens import BATCH_BYTES, MAX_WORDS, encoder
 from wavespan.session import stored
 
 CAPACITY = 2048
@@ -41,14 +41,15 @@ def narrow(ids: np.ndarray) -> bytes:
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY,
                  with_ids: bool = False, binary: bool = False, with_crc: bool = True,
-                 max_words: int = MAX_WORDS) -> DataFrame:
+                 max_words: int = MAX_WORDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Cut every document (doc_id, text), encoded and closed by ``end_id``, into pieces of
     ``capacity`` ids and one shorter piece.
 
     A null text counts as empty and gives one piece with ``end_id`` only. Rows may repeat; each
     is a document of its own. Other columns are ignored. ``binary`` ids are little-endian unsigned
     numbers of ``WIDTH`` bits; a larger id raises. ``part`` and ``nth`` number the pieces of a
-    length in the task that cut them. Without ``with_crc`` the checksums are null.
+    length in the task that cut them. Without ``with_crc`` the checksums are null. ``max_words``
+    remembered words and ``batch_bytes`` of texts encoded at a time bound a worker's memory.
     """
     schema = PIECES + ", part bigint, nth bigint" + (
         ", ids binary" if binary else ", ids array<bigint>") * with_ids
@@ -59,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             doc, start, length, crc, total, nth, ids = [], [], [], [], [], [], []
-            for name, found in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)),
+            for name, found in zip(batch.column(0).to_pylist(), words.encode(batch.column(1), batch_bytes),
                                    strict=True):
                 found = np.concatenate([found, end])
                 for i in range(0, len(found), capacity):
@@ -197,7 +198,7 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = PAD_ID)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pad_id: int = PAD_ID,
-                     max_words: int = MAX_WORDS) -> DataFrame:
+                     max_words: int = MAX_WORDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Every piece of ``docs`` as it lies in its padded sequence.
 
     ``length`` and ``ids_crc32`` are those of the ids found in the sequence at the piece's offset.
@@ -205,7 +206,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     sequence and offset, so that a task joins, pads and checks whole batches of sequences at once.
     """
     pieces = stored(token_pieces(docs, tokenizer, capacity=capacity, with_ids=True, binary=True,
-                                 with_crc=False, max_words=max_words), compression="zstd")
+                                 with_crc=False, max_words=max_words, batch_bytes=batch_bytes),
+                    compression="zstd")
     columns = ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids"]
     dealt = pack(pieces, capacity).select(*columns).repartition("sequence_id").sortWithinPartitions(
         "sequence_id", "offset")
