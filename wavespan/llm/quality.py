@@ -21,7 +21,7 @@ from wavespan.llm.batches import bounded
 
 #: From this many UTF-8 bytes on: least and greatest bytes per compressed byte (level 3), whatever
 #: the corpus. Prose of alphabets lies near 1.5 at 400 bytes, 1.9 at 1,500, 2.2 at 6,000 and 2.4 to
-#: 3 beyond. Fitted limits lie within these, and these hold alone where a corpus has few texts.
+#: 3 beyond. Fitted limits lie within these and come near them where a corpus has few texts.
 BANDS = (
     (0, 0.0, 1000.0),
     (128, 0.0, 2.4),
@@ -39,11 +39,13 @@ CHUNK_BYTES = 2048
 CHUNK_SHARE = 0.5
 LEVEL = 3
 
-#: Lengths are fitted in bins of a quarter octave, from ``FIT_FROM`` to ``FIT_TO`` bytes.
+#: Lengths are fitted in bins of a quarter octave, from ``FIT_FROM`` bytes to the longest string.
 BINS_PER_OCTAVE = 4
-FIT_FROM, FIT_TO = 128, 1 << 26
-#: Different texts a bin needs for limits of its own.
-FIT_LEAST = 50
+FIT_FROM, FIT_TO = 128, 1 << 31
+#: So many texts weigh what a bin's neighbours say of it, and so many what ``BANDS`` say of those.
+FIT_WEIGHT, WIDE_WEIGHT = 5.0, 1.0
+#: A neighbour ``d`` bins away counts ``exp(-d * d / 2)``; farther ones than this not at all.
+REACH = 4
 #: Robust standard deviations around the centre, and the least deviation as a share of the centre.
 WIDTH = 3.5
 LEAST_SPREAD = 0.01
@@ -115,8 +117,11 @@ def fit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) ->
     """Bands of whole texts and bands of chunks, from all ``docs`` that pass the base rule.
 
     A bin of lengths is centred on the median of its ratios and reaches ``WIDTH`` standard
-    deviations, estimated by the median deviation, to both sides, within ``BANDS``. Equal texts
-    and equal chunks count once. Only counts by length bin and ratio cell reach the driver.
+    deviations, estimated by the median deviation, to both sides, within ``BANDS``; both estimates
+    are drawn towards those of the neighbouring bins, the more the fewer texts it has. Equal texts
+    and equal chunks count once. Null texts and those of under ``FIT_FROM`` bytes take no part, very
+    long ones do as a whole and by chunks. Without texts the bands are ``BANDS``. Only counts by
+    length bin and ratio cell reach the driver.
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=level)
@@ -131,7 +136,7 @@ def fit(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL) ->
             rows = set()
             for text in batch.column(0).to_pylist():
                 data = text.encode()
-                if not FIT_FROM <= len(data) < FIT_TO or base_rule(data.split())[1]:
+                if len(data) < FIT_FROM or base_rule(data.split())[1]:
                     continue
                 rows.add(row(False, data))
                 at = cuts(len(data), chunk_bytes)
@@ -157,21 +162,53 @@ def median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order][np.searchsorted(sums, sums[-1] / 2)])
 
 
+def from_neighbours(own: dict[int, tuple[float, float, float]], at: int, least: float,
+                    most: float) -> tuple[float, float]:
+    """Centre and variance that the bins around ``at`` let expect there.
+
+    Centres change steadily with length, so theirs are carried on along a weighted line; variances
+    are averaged. The band from ``least`` to ``most`` counts as ``WIDE_WEIGHT`` texts more.
+    """
+    centre, variance = (least + most) / 2, ((most - least) / (2 * WIDTH)) ** 2
+    near = [(j, *own[at + j]) for j in range(-REACH, REACH + 1) if j and at + j in own]
+    if not near:
+        return centre, variance
+    j, c, spread, n = np.array(near, dtype=float).T
+    w = n * np.exp(-j * j / 2)
+    weight = w.sum()
+    mid, mean = w @ j / weight, w @ c / weight
+    slope = (w * (j - mid)) @ (c - mean) / (w @ (j - mid) ** 2 + WIDE_WEIGHT)
+    total = weight + WIDE_WEIGHT
+    return ((weight * (mean - slope * mid) + WIDE_WEIGHT * centre) / total,
+            (w @ spread ** 2 + WIDE_WEIGHT * variance) / total)
+
+
 def fitted(counts: dict[int, list[tuple[float, int]]]) -> tuple:
-    """Bands from (ratio, how many) of each length bin."""
+    """Bands from (ratio, how many) of each length bin.
+
+    One rule for every number of texts: a bin's own centre and variance count by its ``n`` texts,
+    those expected from its neighbours by ``FIT_WEIGHT``.
+    """
+    own = {}
+    for k, found in counts.items():
+        ratios, n = np.array(found, dtype=float).T
+        centre = median(ratios, n)
+        spread = max(1.4826 * median(np.abs(ratios - centre), n), LEAST_SPREAD * centre)
+        own[k] = centre, spread, n.sum()
     starts = {b[0] for b in BANDS}
     starts |= {int(np.ceil(2 ** (k / BINS_PER_OCTAVE)))
                for k in range(length_bin(FIT_FROM), length_bin(FIT_TO) + 1)}
     rows = []
     for start in sorted(starts):
         _, least, most = [b for b in BANDS if b[0] <= start][-1]
-        found = counts.get(length_bin(start), []) if FIT_FROM <= start < FIT_TO else []
-        if sum(n for _, n in found) >= FIT_LEAST:
-            ratios, n = np.array(found).T
-            centre = median(ratios, n)
-            spread = max(1.4826 * median(np.abs(ratios - centre), n), LEAST_SPREAD * centre)
-            least = max(least, centre - WIDTH * spread)
-            most = min(most, centre + WIDTH * spread)
+        if start >= FIT_FROM:
+            at = length_bin(start)
+            centre, variance = from_neighbours(own, at, least, most)
+            c, spread, n = own.get(at, (0.0, 0.0, 0.0))
+            share = n / (n + FIT_WEIGHT)
+            centre = share * c + (1 - share) * centre
+            reach = WIDTH * np.sqrt(share * spread ** 2 + (1 - share) * variance)
+            least, most = float(max(least, centre - reach)), float(min(most, centre + reach))
         rows.append((start, least, most))
     return tuple(rows)
 
