@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the byte n-grams of its lower-cased, space-normalised characters, hashed
-into a fixed table and counted once. Each is scaled by the log ratio of its smoothed shares among
+A text's features are the n-grams of its lower-cased, space-normalised characters (code points),
+hashed into a fixed table and counted once. Each is scaled by the log ratio of its smoothed shares among
 toxic and other texts, and a logistic regression is fitted on the scaled features.
 """
 
@@ -11,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavespan.llm.batches import bounded
 
 ORDERS = (3, 4, 5)
 BITS = 18
-#: The classifier is fitted on at most this many labelled rows, those of least hash.
-MAX_ROWS = 6_000
+#: The classifier is fitted on at most this many labelled rows, those of least hash, and on no more
+#: of them than have features of so many bytes together.
+MAX_ROWS, MAX_BYTES = 6_000, 512 << 20
 EPOCHS = 8
 RATE = 1.0
 PENALTY = 1e-6
@@ -29,8 +30,8 @@ SCALE = 1 / 30
 
 def features(text: str, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """Hashed n-grams of a whole text, with repeats."""
-    data = (" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace")
-    codes = np.frombuffer(data, np.uint8).astype(np.uint32)
+    data = (" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "replace")
+    codes = np.frombuffer(data, "<u4")
     h, found = np.full(len(codes), 0x9E3779B1, np.uint32), []
     for n in range(1, max(orders) + 1):
         h = h[:len(codes) - n + 1]
@@ -76,12 +77,14 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS,
-          orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, float]:
+          orders: tuple[int, ...] = ORDERS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    Null labels are left out; a document labelled twice counts as toxic if one label says so. The
-    ``max_rows`` labels of least hash take part, so the sample, which goes to one task, and the
-    weights, which come back, have fixed bounds. Ids that occur twice in ``docs`` give two rows.
+    Null labels and ids are left out; a document labelled twice counts as toxic if one label says
+    so; a null text counts as empty. Of rows that share an id, the one whose features have the
+    least fingerprint is fitted. The ``max_rows`` labels of least hash take part, in this order
+    until their features have ``max_bytes``, so the sample, which goes to one task, and the
+    weights, which come back, have fixed bounds. Without rows the weights are 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("y"))
@@ -98,15 +101,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
                 names=["doc_id", "found", "y"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns),
-                                                        strict=True)]
-        all_rows.sort()
-        w, bias = fit_rows([(np.frombuffer(f, "<u4"), y) for _, f, y in all_rows], bits)
+        taken, left = [], max_bytes
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left -= len(row[1])
+                if left >= 0:
+                    taken.append(row)
+        taken.sort()
+        w, bias = fit_rows([(np.frombuffer(f, "<u4"), y) for _, f, y in taken], bits)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()),
                                           pa.array([bias], pa.float64())], names=["w", "bias"])
 
-    found = bounded(rows).mapInArrow(extract, "doc_id bigint, found binary, y bigint").repartition(1)
-    model = found.mapInArrow(fit, "w binary, bias double").first()
+    found = bounded(rows).mapInArrow(extract, "doc_id bigint, found binary, y bigint")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("found"), "found")
+    found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    model = bounded(ordered).mapInArrow(fit, "w binary, bias double").first()
     if model is None:
         return fit_rows([], bits)
     return np.frombuffer(model["w"], np.float32), model["bias"]
