@@ -29,7 +29,10 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, text,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+         case when count(*) over (partition by doc_id, source, text) = 1 then '' else concat(
+           ':', coalesce(lang, ''), ':', coalesce(n_chars::varchar, ''), ':',
+           row_number() over (partition by doc_id, source, text, lang, n_chars)) end as own
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size from sized group by source
@@ -58,7 +61,8 @@ with sized as (
 select doc_id, size::bigint as size, source_size, target,
        (size * (floor(rate)::bigint + case when
           ('0x' || substr(md5(concat('20240229:', coalesce(doc_id::varchar, ''), ':',
-                                     coalesce(d.source, ''), ':', md5(coalesce(text, '')))),
+                                     coalesce(d.source, ''), ':', md5(coalesce(text, '')),
+                                     own)),
                           1, 13))::bigint / 4503599627370496.0::double
           < rate - floor(rate) then 1 else 0 end))::bigint as taken
 from sized d join rates r on d.source is not distinct from r.source
