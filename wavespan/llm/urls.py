@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavespan.session import stored
@@ -23,7 +23,15 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
          "org/fr/": "allow"}
 
 #: Second-level labels that form a suffix together with a country's two letters.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nhs",
+                "nom", "or", "org", "plc", "sch")
+
+#: Further suffixes under which strangers register, in the notation of public suffix lists: a name,
+#: ``*.name`` for every name below it, ``!name`` for one that is none after all.
+SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app",
+            "pages.dev", "vercel.app", "wordpress.com", "*.ck", "!www.ck")
+#: A list of suffixes has at most so many rules; they become part of the plan.
+MOST_SUFFIXES = 50_000
 
 PAIRS = "|".join(SECOND_LEVEL)
 ADDRESS = r"^[\d.]*$|^\["
@@ -53,18 +61,54 @@ def bare_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^.*@", ""), r"(:\d*)?\.?(:\d*)?$", "")
 
 
-def suffix(name: Column) -> Column:
-    """Last label of a host, or the last two of the kind ``co.uk``; "" for addresses."""
-    bare = bare_name(name)
-    found = F.regexp_extract(bare, rf"(?:^|\.)((?:(?:{PAIRS})\.[a-z]{{2}})|[^.]+)$", 1)
-    return F.when(bare.rlike(ADDRESS), "").otherwise(found)
+def read_suffixes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The rules of a public suffix list: a rule a line up to its first space, ``//`` comments."""
+    rule = F.lower(F.regexp_extract("value", r"^(\S+)", 1))
+    lines = spark.read.text(path).select(rule.alias("rule")).where(
+        (F.col("rule") != "") & ~F.col("rule").startswith("//")).distinct()
+    rules = [r["rule"] for r in lines.limit(MOST_SUFFIXES + 1).collect()]
+    if len(rules) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} rules of suffixes")
+    return tuple(sorted(rules))
 
 
-def domain(name: Column) -> Column:
-    """The suffix with one label before it; the whole host where there is none."""
+def parts(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """(suffix, domain) of a host.
+
+    The suffix is what an exception leaves, else the longest name that a rule or ``SECOND_LEVEL``
+    and a country make a suffix, else the last label; the domain has one label more, or is the
+    whole host where there is none. Addresses have the suffix "".
+    """
     bare = bare_name(name)
-    found = F.regexp_extract(bare, rf"(?:^|\.)([^.]+\.(?:(?:{PAIRS})\.[a-z]{{2}}|[^.]+))$", 1)
-    return F.when(bare.rlike(ADDRESS) | (found == ""), bare).otherwise(found)
+    labels = F.split(bare, r"\.", -1)
+    # the host, the host without its first label, and so on
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)),
+                        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    exact = [r for r in suffixes if r[0] not in "*!"]
+    below = [r[2:] for r in suffixes if r.startswith("*.")]
+    never = [r[1:] for r in suffixes if r.startswith("!")]
+
+    def known(tail: Column) -> Column:
+        upper = F.regexp_extract(tail, r"^[^.]+\.(.+)$", 1)
+        return tail.isin(exact) | upper.isin(below) | tail.rlike(rf"^(?:{PAIRS})\.[a-z]{{2}}$")
+
+    last = F.size(labels)
+    first_known = F.array_position(F.transform(tails, known), True)
+    first_never = F.array_position(F.transform(tails, lambda t: t.isin(never)), True)
+    at = F.when(first_never > 0, F.least(first_never + 1, last)).when(
+        first_known > 0, first_known).otherwise(last).cast("int")
+    address = bare.rlike(ADDRESS)
+    return F.struct(F.when(address, "").otherwise(F.element_at(tails, at)).alias("suffix"),
+                    F.when(address, bare).otherwise(
+                        F.element_at(tails, F.greatest(at - 1, F.lit(1)))).alias("domain"))
+
+
+def suffix(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    return parts(name, suffixes)["suffix"]
+
+
+def domain(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    return parts(name, suffixes)["domain"]
 
 
 def fitting_rule(name: Column, where: Column, rules: dict[str, str]) -> Column:
@@ -95,10 +139,20 @@ def strength(children: DataFrame) -> float:
     return round(min(max(found, STRENGTH[0]), STRENGTH[1]), 6)
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for x > 0: Stirling's series from x + 10 on, carried down."""
+    y = x + 10
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    found = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    for i in range(10):
+        found = found - np.log(x + i)
+    return found
+
+
 def upper_tail(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
     """P(share > x) under beta distributions, by the continued fraction of the integral."""
     a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
-    log_gamma = np.vectorize(math.lgamma, otypes=[float])
     front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b)
                    + a * math.log(x) + b * math.log1p(-x))
     swap = x > (a + 1) / (a + b + 2)
@@ -109,15 +163,21 @@ def upper_tail(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
     d = 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    m, change = 0, np.zeros_like(p)
+    while np.any(np.abs(change - 1) > 1e-13):  # about sqrt(max(a, b)) steps
+        m += 1
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        change = np.ones_like(p)
         for step in (even, odd):
             d = 1 + step * d
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + step / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+            change = change * d * c
+        if m > 100_000:
+            raise ArithmeticError("the continued fraction does not converge")
     below = front * h / p
     return np.where(swap, below, 1 - below)
 
@@ -131,7 +191,8 @@ def p_above(bad: pd.Series, n: pd.Series, mean: pd.Series, k: pd.Series,
     return pd.Series(np.round(np.clip(tail, 0, 1), 9))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT,
+               suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """A row per host of ``pages`` (page_id, host): n, bad, prior_mean and p_bad, the posterior
     probability that its share of bad pages is above ``limit``.
 
@@ -147,8 +208,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT) -> D
                                       F.sum(F.col("bad").cast("long")).alias("bad"))
     # distinct hosts and their counts: small beside the pages, read at every level
     hosts = stored(hosts.join(counts, "host", "left").na.fill(0, ["n", "bad"])
-                   .withColumn("domain", domain(F.col("host")))
-                   .withColumn("suffix", suffix(F.col("host"))))
+                   .withColumn("__parts", parts(F.col("host"), suffixes))
+                   .select("host", "n", "bad", "__parts.domain", "__parts.suffix"))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     every = hosts.agg(*sums).first()
     bad, n = (every["bad"] or 0) + 1, (every["n"] or 0) + 2
@@ -169,18 +230,20 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT) -> D
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES,
-          limit: float = LIMIT, confidence: float = CONFIDENCE) -> DataFrame:
+          limit: float = LIMIT, confidence: float = CONFIDENCE,
+          suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Every row of ``pages`` (page_id, url and any others) with host, path, rule, p_bad, verdict.
 
     The longest rule that fits decides; else a host goes if its share of bad pages is above
-    ``limit`` with probability ``confidence``. A null url, or one without ``://``, has an empty
+    ``limit`` with probability ``confidence``. ``suffixes`` say under which names strangers
+    register (``read_suffixes`` takes them from a list). A null url, or one without ``://``, has an empty
     host and path and is judged as a host of that name. Repeated rows stay;
     columns of the names that are added are replaced.
     """
     pages = pages.drop("host", "path", "rule", "p_bad", "verdict")
     named = (pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
              .withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)))
-    known = reputation(named, outcomes, limit).select("host", "p_bad")
+    known = reputation(named, outcomes, limit, suffixes).select("host", "p_bad")
     verdict = F.when(F.col("p_bad") >= confidence, "block").otherwise("allow")
     for rule, says in rules.items():
         verdict = F.when(F.col("rule") == rule, says).otherwise(verdict)
