@@ -1,9 +1,14 @@
+import math
 import random
 
+import duckdb
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wavespan.llm import linededup, mixing, quality, toxicity, urls
+from wavespan.llm.queries import MIX_SQL
 
 
 def by_hand(text):
@@ -232,3 +237,251 @@ def test_a_leaf_forms_as_many_templates_as_it_holds(docs, monkeypatch):
         out = {r.doc_id: r for r in linededup.drop_recurring(docs(*rows)).collect()}
         assert out[0].text == rows[0][1]
         assert all(out[i].text == f"alone {w} here" for i, w in enumerate("abcdef") if i)
+
+
+def mixed_prose(seed, n):
+    rng = random.Random(seed)
+    sounds = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "or", "est")]
+    words = ["".join(rng.choice(sounds) for _ in range(rng.randint(2, 3))) for _ in range(9000)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(60, 900))) for _ in range(n)]
+
+
+def test_quality_verdicts_by_hand(docs):
+    texts = mixed_prose(5, 60) + [" | ".join(t.split()) for t in mixed_prose(6, 12)]
+    texts += [t[:1500] + " so it was" * 300 for t in mixed_prose(7, 3)] + [texts[0], "", "x " * 70]
+    compress = zstandard.ZstdCompressor(level=3).compress
+
+    def ratio(data):
+        return len(data) / len(compress(data))
+
+    def pieces(data):
+        at = [2048 * i for i in range(max(1, len(data) // 2048))] + [len(data)]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def failed(text):
+        n, *_, repeats = by_hand(text)
+        return n < 50 or 100 * repeats > 50 * n
+
+    def middle(values):
+        values = sorted(values)
+        return values[math.ceil(len(values) / 2) - 1]
+
+    def wide(size):
+        return [b[1:] for b in quality.BANDS if b[0] <= size][-1]
+
+    fits = [t.encode() for t in texts if len(t.encode()) >= 128 and not failed(t)]
+    samples = [set(fits), {p for d in fits if len(pieces(d)) > 1 for p in pieces(d)}]
+
+    def limits(sample, size):
+        if size < 128:
+            return wide(size)
+        k = math.floor(4 * math.log2(size))
+        least, most = wide(math.ceil(2 ** (k / 4)))
+        own = {}
+        for j in range(k - 4, k + 5):
+            cells = [(int(ratio(d) / 0.002) + 0.5) * 0.002 for d in sample
+                     if math.floor(4 * math.log2(len(d))) == j]
+            if cells:
+                c = middle(cells)
+                own[j - k] = c, max(1.4826 * middle([abs(x - c) for x in cells]), 0.01 * c), len(cells)
+        centre, variance = (least + most) / 2, ((most - least) / 7) ** 2
+        w = {j: n * math.exp(-j * j / 2) for j, (_, _, n) in own.items() if j}
+        if w:
+            all_ = sum(w.values())
+            mid = sum(w[j] * j for j in w) / all_
+            mean = sum(w[j] * own[j][0] for j in w) / all_
+            slope = (sum(w[j] * (j - mid) * (own[j][0] - mean) for j in w)
+                     / (sum(w[j] * (j - mid) ** 2 for j in w) + 1))
+            centre = (all_ * (mean - slope * mid) + centre) / (all_ + 1)
+            variance = (sum(w[j] * own[j][1] ** 2 for j in w) + variance) / (all_ + 1)
+        c, spread, n = own.get(0, (0, 0, 0))
+        centre = (n * c + 5 * centre) / (n + 5)
+        reach = 3.5 * math.sqrt((n * spread ** 2 + 5 * variance) / (n + 5))
+        return max(least, centre - reach), min(most, centre + reach)
+
+    def out(sample, data):
+        least, most = limits(sample, len(data))
+        return bool(data) and not least <= ratio(data) <= most
+
+    def kept(text):
+        data = text.encode()
+        whole, parts = out(samples[0], data), pieces(data)
+        bad = sum(out(samples[1], p) for p in parts) if len(parts) > 1 else int(whole)
+        return not failed(text) and not whole and bad <= len(parts) / 2
+
+    rows = {r.doc_id: r for r in quality.score(docs(*enumerate(texts))).collect()}
+    expected = {i: kept(t) for i, t in enumerate(texts)}
+    assert {i: r.kept for i, r in rows.items()} == expected
+    assert any(expected.values()) and any(not r.kept and not r.base_failed for r in rows.values())
+
+
+def test_one_text_more_hardly_moves_the_bands():
+    rng = np.random.default_rng(3)
+    ratios = [float(x) for x in rng.normal(2.0, 0.03, 400)]
+    k = quality.length_bin(1500)
+    for n in (5, 20, 49, 50, 99, 200):  # 49 and 50 as any others
+        rows = [quality.fitted({k: [(x, 1) for x in ratios[:m]]}) for m in (n, n + 1)]
+        at = [[b[1:] for b in r if b[0] <= 1500][-1] for r in rows]
+        assert np.abs(np.subtract(*at)).max() < 0.06 * math.sqrt(5 / n)
+    wide = [b[1:] for b in quality.BANDS if b[0] <= 1500][-1]
+    empty = [b[1:] for b in quality.fitted({}) if b[0] <= 1500][-1]
+    assert empty == pytest.approx(wide)
+
+
+def test_equal_rows_toss_their_own_coins(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 64)
+    rows = [(None, "w " * 10, "a")] * 1000 + [(i, "x " * 100, "b") for i in range(300)]
+    rows += [(7, "two words", "c")] * 3 + [(None, None, None)] * 5
+    frame = docs(*rows)
+    frame = frame.withColumn("lang", F.when(F.rand(1) < 0.5, "en"))
+    plan = mixing.plan(frame)
+    found = plan.groupBy("source_size").agg(F.first("target").alias("target"),
+                                            F.sum(F.col("size") * F.col("copies")).alias("taken"))
+    hot = [r for r in found.collect() if r.source_size == 10_000][0]
+    assert 0.9 < hot.taken / hot.target < 1.1 and hot.target % 10_000
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    got = plan.select("doc_id", "size", "source_size", "target",
+                      (F.col("size") * F.col("copies")).alias("taken")).collect()
+    key = str
+    assert sorted(map(tuple, got), key=key) == sorted(con.execute(MIX_SQL).fetchall(), key=key)
+    mixed = mixing.mix(frame).groupBy("source").agg(F.sum(mixing.words("text")).alias("n")).collect()
+    assert {r.n for r in mixed if r.source == "a"} == {hot.taken}
+
+
+def test_suffix_rules(spark, tmp_path):
+    cases = {"a.or.jp": ("or.jp", "a.or.jp"), "x.gob.mx": ("gob.mx", "x.gob.mx"),
+             "x.github.io": ("github.io", "x.github.io"), "b.x.github.io": ("github.io", "x.github.io"),
+             "github.io": ("github.io", "github.io"), "a.b.c.ck": ("c.ck", "b.c.ck"),
+             "www.ck": ("ck", "www.ck"), "m.www.ck": ("ck", "www.ck"), "a.nhs.uk": ("nhs.uk", "a.nhs.uk"),
+             "a.example.com": ("com", "example.com"), "": ("", ""), "[::1]": ("", "[")}
+    frame = spark.createDataFrame([(h,) for h in cases], "h string")
+    found = frame.select("h", urls.suffix(F.col("h")).alias("s"), urls.domain(F.col("h")).alias("d"))
+    got = {r.h: (r.s, r.d) for r in found.collect()}
+    assert got.pop("[::1]")[0] == "" and got == {k: v for k, v in cases.items() if k != "[::1]"}
+    path = tmp_path / "suffixes.txt"
+    path.write_text("// comment\n\nCITY.example trailing\n*.deep.example\n!own.deep.example\n")
+    rules = urls.read_suffixes(spark, str(path))
+    assert rules == ("!own.deep.example", "*.deep.example", "city.example")
+    named = spark.createDataFrame([("a.b.city.example",), ("a.own.deep.example",), ("a.b.deep.example",)],
+                                  "h string")
+    assert [r.d for r in named.select(urls.domain(F.col("h"), rules).alias("d")).collect()] == [
+        "b.city.example", "own.deep.example", "a.b.deep.example"]
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(12)
+    names = {f"{h}.{d}": (h, d) for d in ("p.com", "q.com", "r.org", "s.org") for h in "abc"}
+    pages, bad = [], []
+    for name, (_, d) in names.items():
+        for _ in range(rng.randint(0, 25)):
+            bad.append((len(pages), int(rng.random() < (0.8 if d == "p.com" else 0.2))))
+            pages.append((len(pages), name))
+        pages.append((len(pages), name))
+    counts = {h: [0, 0] for h in names}
+    for page, y in bad:
+        counts[pages[page][1]][0] += 1
+        counts[pages[page][1]][1] += y
+
+    def up(children, parent):
+        sums = {}
+        for c, (n, k) in children.items():
+            a = sums.setdefault(parent(c), [0, 0])
+            a[0] += n
+            a[1] += k
+        return sums
+
+    def strength(children, mean):
+        beyond = weight = 0.0
+        for c, (n, k) in children.items():
+            if n > 1:
+                m = mean(c)
+                beyond += (k / n - m) ** 2 * n - m * (1 - m)
+                weight += m * (1 - m) * (n - 1)
+        found = weight / beyond - 1 if weight and beyond > 0 else 1000.0
+        return round(min(max(found, 1.0), 1000.0), 6)
+
+    domains = up(counts, lambda h: h[2:])
+    suffixes = up(domains, lambda d: d[2:])
+    n, k = map(sum, zip(*suffixes.values()))
+    root = (k + 1) / (n + 2)
+    s = strength(suffixes, lambda _: root)
+    means = {x: (k + s * root) / (n + s) for x, (n, k) in suffixes.items()}
+    s = strength(domains, lambda d: means[d[2:]])
+    means |= {x: (k + s * means[x[2:]]) / (n + s) for x, (n, k) in domains.items()}
+    s = strength(counts, lambda h: means[h[2:]])
+
+    def tail(a, b, steps=200_000):  # the integral itself, by the trapezoid rule
+        x = (np.arange(1, steps) / steps)
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        return density[x > 0.5].sum() / density.sum()
+
+    frame = spark.createDataFrame(pages, "page_id long, host string")
+    outcomes = spark.createDataFrame(bad, "page_id long, bad int")
+    rows = {r.host: r for r in urls.reputation(frame, outcomes).collect()}
+    assert set(rows) == set(names)
+    for h, (n, k) in counts.items():
+        m = means[h[2:]]
+        assert rows[h].prior_mean == pytest.approx(m, abs=1e-6)
+        assert rows[h].p_bad == pytest.approx(tail(s * m + k, s * (1 - m) + n - k), abs=2e-3)
+    x = np.array([1e-3, 0.5, 1, 7.3, 500, 1e6])
+    assert urls.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
+
+
+def slow_features(text, bits):
+    text = " " + " ".join(text.lower().split()) + " "
+    found = set()
+    for n in (3, 4, 5):
+        for i in range(len(text) - n + 1):
+            h = 0x9E3779B1
+            for ch in text[i:i + n]:
+                h = ((h ^ ord(ch)) * 0x85EBCA6B) % 2 ** 32
+                h ^= h >> 15
+            found.add(h * (0xC2B2AE35 + 2 * n) % 2 ** 32 >> (32 - bits))
+    return sorted(found)
+
+
+def test_toxicity_weights_by_hand(spark, docs):
+    words = ["grün", "river", "ärger", "плохо", "日本語", "song", "idiot", "stone"]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(20)]
+    labels = [(i, int("плохо" in t or "idiot" in t)) for i, t in rows]
+    bits = 10
+    model = toxicity.train(docs(*rows), spark.createDataFrame(labels, "doc_id long, toxic int"),
+                           bits=bits)
+    found = [(slow_features(t, bits), y) for (_, t), (_, y) in zip(rows, labels)]
+    ones = sum(y for _, y in found)
+    ratio = {}
+    for x in range(1 << bits):
+        k = [sum(x in f for f, y in found if y == c) for c in (0, 1)]
+        ratio[x] = (math.log((k[1] + 1) / (ones + 2)) - math.log((k[0] + 1) / (20 - ones + 2))) / 30
+    w, steps = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-6)
+    share = (ones + 1) / 22
+    bias, bias_steps = math.log(share / (1 - share)), 1e-6
+    for epoch in range(toxicity.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(20):
+            f, y = found[i]
+            off = 1 / (1 + math.exp(-sum(w[x] * ratio[x] for x in f) - bias)) - y
+            for x in f:
+                slope = off * ratio[x] + 1e-6 * w[x]
+                steps[x] += slope * slope
+                w[x] -= slope / math.sqrt(steps[x])
+            bias_steps += off * off
+            bias -= off / math.sqrt(bias_steps)
+    assert model[1] == pytest.approx(bias, abs=1e-3)
+    assert model[0] == pytest.approx([w[x] * ratio[x] for x in ratio], abs=1e-3)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs(*rows), model, bits=bits).collect()}
+    for i, (f, _) in enumerate(found):
+        by_hand_score = 1 / (1 + math.exp(-sum(w[x] * ratio[x] for x in f) - bias))
+        assert scores[i] == pytest.approx(by_hand_score, abs=1e-3)
+
+
+def test_the_fit_is_bounded_whatever_the_rows(spark, docs, monkeypatch):
+    seen = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    frame = docs(*[(1, f"rude words {i % 7}") for i in range(500)], (2, "kind words"))
+    once = {r: toxicity.train(docs((1, f"rude words {r}"), (2, "kind words")), seen, bits=8)
+            for r in range(7)}
+    model = toxicity.train(frame, seen, bits=8)  # one row of the repeated id
+    assert any(model[1] == b and (model[0] == w).all() for w, b in once.values())
+    none = toxicity.train(frame, seen, bits=8, max_bytes=0)
+    assert not none[0].any() and none[1] == 0.0
