@@ -26,6 +26,9 @@ SEGMENT_IDS = 1 << 17
 #: Words that a worker remembers while it writes; nothing else needs its memory then.
 WORDS = 700_000
 
+#: Characters by which rows that share an id are dealt to tasks.
+HEAD = 64
+
 SEGMENTS = ("shard bigint, segment bigint, n_docs bigint, n_ids bigint, id_bytes bigint, "
             "width bigint, lower binary, upper binary, samples binary, names array<bigint>, "
             "ids binary")
@@ -74,8 +77,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             yield _segment(shard, number, names, sizes, ids, id_bytes)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    (bounded(rows).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(segments, SEGMENTS).write.parquet(path))
+    # rows that share an id spread by their first characters, in the order of their texts
+    (bounded(rows).repartitionByRange(F.col("doc_id"), F.substring("text", 1, HEAD))
+     .sortWithinPartitions("doc_id", "text").mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 
 def read_segment(row: dict) -> tuple[EliasFano, np.ndarray]:
