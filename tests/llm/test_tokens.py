@@ -70,6 +70,24 @@ def test_documents_are_found_by_the_stored_samples(spark, docs, tmp_path):
         assert tokenfile.read_tokens(spark, broken).orderBy("start").collect() == right
 
 
+def test_rows_that_share_id_and_opening_are_dealt_over_tasks(spark, docs, tmp_path):
+    path, opening = f"file://{tmp_path}/ids", "word " * 20
+    frame = docs(*[(None, opening + str(i)) for i in range(200)], *[(7, opening)] * 200)
+    joins_small_tasks = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joins_small_tasks, "false")
+    try:
+        tokenfile.write_tokens(frame, path, default_path())
+    finally:
+        spark.conf.set(joins_small_tasks, "true")
+    per_task = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()
+    assert max(r.n for r in per_task) < 200
+    rows = tokenfile.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 200 + [7] * 200
+    texts = [opening + str(i) for i in range(200)] + [opening] * 200
+    assert sorted(r.ids_crc32 for r in rows) == sorted(
+        zlib.crc32(np.append(x, 2).astype("<u4").tobytes()) for x in whole(texts))
+
+
 def test_token_file_of_no_documents(spark, docs, tmp_path):
     path = f"file://{tmp_path}/none"
     tokenfile.write_tokens(docs(), path, default_path())

@@ -26,7 +26,7 @@ SEGMENT_IDS = 1 << 17
 #: Words that a worker remembers while it writes; nothing else needs its memory then.
 WORDS = 700_000
 
-#: Characters by which rows that share an id are dealt to tasks.
+#: Characters by which rows that share an id are ordered and dealt to tasks.
 HEAD = 64
 
 SEGMENTS = ("shard bigint, segment bigint, n_docs bigint, n_ids bigint, id_bytes bigint, "
@@ -54,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 
     Every document gets ``end_id`` after its ids. A null text counts as empty; documents without
     ``doc_id`` come first; rows that repeat a ``doc_id`` follow each other in the order of their
-    texts. A segment closes with the document that brings it to ``segment_ids`` ids, so one
+    first ``HEAD`` characters, then of a hash of their texts. A segment closes with the document that brings it to ``segment_ids`` ids, so one
     document longer than that makes a segment of its own. Other columns are ignored.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +77,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
             yield _segment(shard, number, names, sizes, ids, id_bytes)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # rows that share an id spread by their first characters, in the order of their texts
-    (bounded(rows).repartitionByRange(F.col("doc_id"), F.substring("text", 1, HEAD))
-     .sortWithinPartitions("doc_id", "text").mapInArrow(segments, SEGMENTS).write.parquet(path))
+    # rows that share an id spread by their first characters and a hash, equal ones by their place
+    order = [F.col("doc_id"), F.substring("text", 1, HEAD), F.xxhash64("text")]
+    (bounded(rows.withColumn("place", F.monotonically_increasing_id()))
+     .repartitionByRange(*order, "place").sortWithinPartitions(*order, "text")
+     .select("doc_id", "text").mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 
 def read_segment(row: dict) -> tuple[EliasFano, np.ndarray]:
