@@ -24,7 +24,9 @@ from wavespan.llm.tokens import encoder
 
 SEGMENT_IDS = 1 << 17
 #: Words that a worker remembers while it writes; nothing else needs its memory then.
-WORDS = 700_000
+WORDS = 500_000
+#: Bytes of text that it encodes at a time.
+TEXT_BYTES = 8 << 20
 
 #: Characters by which rows that share an id are ordered and dealt to tasks.
 HEAD = 64
@@ -64,8 +66,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
         names, sizes, ids, total = [], [], [], 0
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for name, found in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)),
-                                   strict=True):
+            found_in = words.encode(batch.column(1), TEXT_BYTES)
+            for name, found in zip(batch.column(0).to_pylist(), found_in, strict=True):
                 names.append(name)
                 sizes.append(len(found) + 1)
                 ids += [found.astype(f"<u{id_bytes}"), end]
