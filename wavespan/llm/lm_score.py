@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavespan.llm.batches import bounded
@@ -40,7 +40,6 @@ TEXT_BYTES = 3 << 20
 SLICE_TOKENS = 1 << 18
 
 BLOCKS = "block bigint, names array<bigint>, sizes array<bigint>, ids binary"
-TARGET = -1
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -150,14 +149,16 @@ def score(docs: DataFrame, target: DataFrame, tokenizer: str, pull: float = PULL
     asked = stored(counts(blocks, size))
     of_target = Model(singles(wanted, size), pull, floor)
     of_all = Model(singles(asked, size), pull, floor)
-    both = asked.where("pair >= 0").unionByName(
-        wanted.where("pair >= 0").withColumn("block", F.lit(TARGET).cast("long")))
-    # a pair has at most one row a block: however common, a small part of all rows
-    same = Window.partitionBy("pair")
-    wants = F.col("block") == TARGET
-    summed = both.select("block", "pair",
-                         F.sum(F.when(wants, 0).otherwise(F.col("n"))).over(same).alias("n_all"),
-                         F.sum(F.when(wants, F.col("n")).otherwise(0)).over(same).alias("n_target"))
+    # a common bigram has a row a block: its counts add up where they lie, and the join of the sums
+    # with the blocks is one that Spark splits where a key is common
+    counted = asked.where("pair >= 0").select("pair", F.col("n").alias("n_all"),
+                                              F.lit(0).cast("long").alias("n_target"))
+    sums = counted.unionByName(wanted.where("pair >= 0").select(
+        "pair", F.lit(0).cast("long").alias("n_all"), F.col("n").alias("n_target")))
+    sums = sums.groupBy("pair").agg(F.sum("n_all").alias("n_all"),
+                                    F.sum("n_target").alias("n_target"))
+    summed = asked.where("pair >= 0").select("block", "pair").join(sums, "pair").select(
+        "block", "pair", "n_all", "n_target")
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def score(docs: DataFrame, target: DataFrame, tokenizer: str, pull: float = PULL
                  pa.array(of_all.loss(pairs, n_all))],
                 names=["block", "pair", "target_loss", "all_loss"])
 
-    known = summed.where(~wants).mapInArrow(
+    known = summed.mapInArrow(
         losses, "block bigint, pair bigint, target_loss double, all_loss double")
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
